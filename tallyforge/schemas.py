@@ -94,8 +94,13 @@ MAPPINGS = {
 
 
 def shipped_mapping(spark: SparkSession, name: str) -> DataFrame:
-    """One of the four shipped mapping tables, as a local relation of known size."""
+    """One of the four shipped mapping tables.
+
+    An inline table is a local relation whose size Catalyst knows exactly, so
+    joins with it are broadcast without a hint.
+    """
     schema, text = MAPPINGS[name]
-    as_text = T.StructType([T.StructField(f.name, _STR) for f in schema])
-    df = spark.createDataFrame(C.csv_rows(text), as_text)
-    return df.select([df[f.name].cast(f.dataType).alias(f.name) for f in schema])
+    rows = ", ".join(
+        "(" + ", ".join("NULL" if v is None else f"'{v}'" for v in row) + ")" for row in C.csv_rows(text))
+    columns = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in schema)
+    return spark.sql(f"SELECT {columns} FROM VALUES {rows} AS m({', '.join(schema.names)})")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,11 +9,13 @@ from tallyforge.operators import billing as B
 from tallyforge.operators import control as K
 from tallyforge.operators import inventory as I
 from tallyforge.plans import budget
-from tallyforge.session import settle
+from tallyforge.session import scratch_path, settle
 from tallyforge.sources.exports import scan_billing_export
+from tallyforge.sources.sinks import write_cost_log
 from tallyforge.workload import adapters as A
 from tallyforge.workload.oracle_base import NOW, ts
-from tallyforge.workload.q_lookup import current_vms, inputs
+from tallyforge.workload.landing import current_vms
+from tallyforge.workload.q_lookup import inputs
 from tallyforge.workload.registry import query, rounded
 
 LIMITS = budget.Limits(max_cpus=24, egress_multiplier=3.0, pull_multiplier=1.05)
@@ -84,11 +84,11 @@ def _calc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return settle(budget.estimated_costs(inputs(spark, sf_dir), A.AS_OF), "estimated-costs")
 
 
-@query("reconcile_charges", f"""SELECT project_id, {ts('usage_hour')}, sku_id, sku_description, round(calc, 6) AS calc,
-  round(reported, 6) AS reported, round(delta, 5) AS delta FROM reconciled""")
+@query("reconcile_charges", f"""SELECT project_id, {ts('usage_hour')}, sku_id, sku_description, round(calc, 8) AS calc,
+  round(reported, 8) AS reported, round(delta, 8) AS delta FROM reconciled""")
 def reconcile_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = B.reconcile_charges(_calc(spark, sf_dir), _charges(spark, sf_dir))
-    return rounded(rounded(cells, "calc", "reported"), "delta", digits=5)
+    return rounded(cells, "calc", "reported", "delta", digits=8)
 
 
 @query("additional_fees", "SELECT project_id, round(additional_fees, 4) AS additional_fees FROM fees")
@@ -137,9 +137,6 @@ def budget_message(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("cost_log", f"""SELECT line FROM (SELECT {_MESSAGE_SQL} AS line FROM status
   UNION ALL SELECT {_LEFT_SQL} FROM status) WHERE line IS NOT NULL""")
 def cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tallyforge.session import scratch_path
-    from tallyforge.sources.sinks import write_cost_log
-
     path = scratch_path(spark, "cost-log")
     write_cost_log(B.cost_log(B.budget_message(_printable(spark, sf_dir))), path)
     return spark.read.text(path).withColumnRenamed("value", "line")

@@ -12,26 +12,21 @@ from tallyforge.operators import estimate as E
 from tallyforge.operators import inventory as I
 from tallyforge.operators import lookup as L
 from tallyforge.plans import budget
-from tallyforge.plans.price_tables import build_price_tables
+from tallyforge.sources.exports import scan_billing_export
 from tallyforge.workload import adapters as A
+from tallyforge.workload.landing import current_vms, price_tables
 from tallyforge.workload.oracle_base import NOW, ts
 from tallyforge.workload.registry import query, rounded
 
 
-def current_vms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.latest_vms(A.vm_snapshots(spark, sf_dir), A.AS_OF)
-
-
 def inputs(spark: SparkSession, sf_dir: str) -> budget.Inputs:
-    from tallyforge.sources.exports import scan_billing_export
-
     return budget.Inputs(
         vms=current_vms(spark, sf_dir),
         disks=A.disk_inventory(spark, sf_dir),
         billing=scan_billing_export(A.billing_export(spark, sf_dir), A.AS_OF),
         alerts=A.budget_alerts(spark, sf_dir),
         settings=A.project_settings(spark, sf_dir),
-        prices=build_price_tables(A.sku_export(spark, sf_dir)),
+        prices=price_tables(spark, sf_dir),
         mappings=A.mappings(spark),
     )
 
@@ -52,7 +47,6 @@ def vm_price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM gpu_price""")
 def gpu_price_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inputs(spark, sf_dir)
-    # list positions differ from entry numbers only when the first entry is absent, which the data never has
     return L.gpu_price_lookup(i.vms, i.prices["gpu"], i.mappings["gpu_key_to_gpu"])
 
 
@@ -174,18 +168,18 @@ def _known_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.uptime_intervals(snapshots)
 
 
-@query("uptime_this_month", "SELECT project_id, vm_id, round(uptime_minutes, 6) AS uptime_minutes FROM month_uptime")
+@query("uptime_this_month", "SELECT project_id, vm_id, uptime_minutes FROM month_uptime")
 def uptime_this_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.uptime_this_month(_known_intervals(spark, sf_dir), A.AS_OF), "uptime_minutes")
+    return I.uptime_this_month(_known_intervals(spark, sf_dir), A.AS_OF)
 
 
-@query("machine_uptime_hours", f"""SELECT project_id, vm_id, round((epoch_us({NOW}) - epoch_us(started)) / 3.6e9, 6) AS uptime_hours
+@query("machine_uptime_hours", f"""SELECT project_id, vm_id, (epoch_us({NOW}) - epoch_us(started)) / 3.6e9 AS uptime_hours
   FROM vms WHERE status = 'RUNNING'""")
 def machine_uptime_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(I.machine_uptime_hours(current_vms(spark, sf_dir), A.AS_OF), "uptime_hours")
+    return I.machine_uptime_hours(current_vms(spark, sf_dir), A.AS_OF)
 
 
-@query("sustained_discount", """SELECT project_id, vm_id, machine_type, round(uptime_minutes, 6) AS uptime_minutes,
+@query("sustained_discount", """SELECT project_id, vm_id, machine_type, uptime_minutes,
   coalesce((SELECT arg_max(t.multiplier, t.floor) FROM (VALUES ('n1', 0, 1.0), ('n1', 10950, 0.8), ('n1', 21900, 0.6),
     ('n1', 32850, 0.4), ('n2', 0, 1.0), ('n2', 10950, 0.8678), ('n2', 21900, 0.733), ('n2', 32850, 0.6))
     AS t(class, floor, multiplier) WHERE t.class = split_part(machine_type, '-', 1) AND t.floor < uptime_minutes),
@@ -193,17 +187,17 @@ def machine_uptime_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM month_uptime JOIN vms USING (project_id, vm_id)""")
 def sustained_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     uptime = I.uptime_this_month(_known_intervals(spark, sf_dir), A.AS_OF)
-    return rounded(I.sustained_discount(uptime, current_vms(spark, sf_dir)), "uptime_minutes")
+    return I.sustained_discount(uptime, current_vms(spark, sf_dir))
 
 
-@query("usage_hours", f"""SELECT project_id, vm_id AS resource_id, {ts('usage_hour')}, round(minutes, 6) AS minutes FROM vm_usage
-  UNION ALL SELECT project_id, disk_id, {ts('usage_hour')}, round(minutes, 6) FROM disk_usage""")
+@query("usage_hours", f"""SELECT project_id, vm_id AS resource_id, {ts('usage_hour')}, minutes FROM vm_usage
+  UNION ALL SELECT project_id, disk_id, {ts('usage_hour')}, minutes FROM disk_usage""")
 def usage_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     running, _ = I.split_by_status(current_vms(spark, sf_dir))
     vms = I.usage_hours(running, A.AS_OF)
     disks = I.usage_hours(A.disk_inventory(spark, sf_dir), A.AS_OF, ("project_id", "disk_id"), start="created")
     both = vms.withColumnRenamed("vm_id", "resource_id").unionByName(disks.withColumnRenamed("disk_id", "resource_id"))
-    return rounded(both, "minutes")
+    return both
 
 
 @query("inventory_gap", f"""SELECT project_id, {ts('inventory_time')}, CAST(epoch_us(inventory_time) - epoch_us(lag(inventory_time)
@@ -226,8 +220,8 @@ def _costed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _component_sql(*components: str) -> str:
     names = ", ".join(f"'{c}'" for c in components)
-    return f"""SELECT project_id, vm_id, component, sku_id, round((epoch_us({NOW}) - epoch_us(started)) / 3.6e9
-  * coalesce(rate, 0) * quantity, 6) AS cost FROM vm_sku_rows JOIN vms USING (project_id, vm_id)
+    return f"""SELECT project_id, vm_id, component, sku_id, (epoch_us({NOW}) - epoch_us(started)) / 3.6e9
+  * coalesce(rate, 0) * quantity AS cost FROM vm_sku_rows JOIN vms USING (project_id, vm_id)
   WHERE status = 'RUNNING' AND component IN ({names})"""
 
 
@@ -243,55 +237,54 @@ def check_units(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("core_ram_cost", _component_sql("cpu", "ram"))
 def core_ram_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.core_ram_cost(_costed(spark, sf_dir)), "cost")
+    return E.core_ram_cost(_costed(spark, sf_dir))
 
 
 @query("gpu_cost", _component_sql("gpu"))
 def gpu_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.gpu_cost(_costed(spark, sf_dir)), "cost")
+    return E.gpu_cost(_costed(spark, sf_dir))
 
 
 @query("license_cost", _component_sql("cpu_lic", "gpu_lic", "ram_lic"))
 def license_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(E.license_cost(_costed(spark, sf_dir)), "cost")
+    return E.license_cost(_costed(spark, sf_dir))
 
 
-@query("disk_cost", f"""SELECT project_id, disk_id, sku_id, round(rate * ((epoch_us({NOW}) - epoch_us(created)) / 3.6e9 / 730.0)
-  * quantity, 6) AS cost FROM disk_sku_rows""")
+@query("disk_cost", f"""SELECT project_id, disk_id, sku_id, rate * ((epoch_us({NOW}) - epoch_us(created)) / 3.6e9 / 730.0)
+  * quantity AS cost FROM disk_sku_rows""")
 def disk_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inputs(spark, sf_dir)
     skus = L.disk_skus(i.disks, i.prices["pd"], i.mappings["pd_key_to_pd"], carry=("created",))
-    return rounded(E.disk_cost(skus.withColumn("hours", hours_between("created", instant(A.AS_OF)))), "cost")
+    return E.disk_cost(skus.withColumn("hours", hours_between("created", instant(A.AS_OF))))
 
 
-@query("hourly_cost_per_sku", f"SELECT project_id, {ts('usage_hour')}, sku_id, round(calc, 6) AS calc FROM calc")
+@query("hourly_cost_per_sku", f"SELECT project_id, {ts('usage_hour')}, sku_id, round(calc, 8) AS calc FROM calc")
 def hourly_cost_per_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(budget.estimated_costs(inputs(spark, sf_dir), A.AS_OF), "calc")
+    return rounded(budget.estimated_costs(inputs(spark, sf_dir), A.AS_OF), "calc", digits=8)
 
 
-@query("hourly_cost_with_stopped", f"""SELECT project_id, {ts('usage_hour')}, sku_id, round(sum(cost), 6) AS calc FROM (
+@query("hourly_cost_with_stopped", f"""SELECT project_id, {ts('usage_hour')}, sku_id, round(sum(cost), 8) AS calc FROM (
   SELECT project_id, usage_hour, sku_id, cost FROM calc_rows
   UNION ALL SELECT project_id, usage_hour, sku_id, minutes / 60 * coalesce(rate, 0) * quantity
   FROM stopped_usage JOIN vm_sku_rows USING (project_id, vm_id) WHERE sku_id IS NOT NULL)
   GROUP BY project_id, usage_hour, sku_id HAVING sum(cost) <> 0""")
 def hourly_cost_with_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(budget.estimated_costs(inputs(spark, sf_dir), A.AS_OF, include_stopped=True), "calc")
+    return rounded(budget.estimated_costs(inputs(spark, sf_dir), A.AS_OF, include_stopped=True), "calc", digits=8)
 
 
-@query("machine_cost_intervals", """SELECT project_id, vm_id, interval, round(hours, 6) AS hours, round(cost, 6) AS cost
+@query("machine_cost_intervals", """SELECT project_id, vm_id, interval, hours, round(cost, 8) AS cost
   FROM vm_intervals""")
 def machine_cost_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inputs(spark, sf_dir)
     skus = L.vm_skus(i.vms, L.rate_card(i.vms, i.prices, i.mappings), carry=("status", "started"))
-    return rounded(E.machine_cost_intervals(skus, A.AS_OF), "hours", "cost")
+    return rounded(E.machine_cost_intervals(skus, A.AS_OF), "cost", digits=8)
 
 
-@query("disk_cost_intervals", """SELECT project_id, disk_id, interval, round(hours, 6) AS hours, round(cost, 6) AS cost
-  FROM disk_intervals""")
+@query("disk_cost_intervals", """SELECT project_id, disk_id, interval, hours, cost FROM disk_intervals""")
 def disk_cost_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inputs(spark, sf_dir)
     skus = L.disk_skus(i.disks, i.prices["pd"], i.mappings["pd_key_to_pd"], carry=("created",))
-    return rounded(E.disk_cost_intervals(skus, A.AS_OF), "hours", "cost")
+    return E.disk_cost_intervals(skus, A.AS_OF)
 
 
 _CELLS = [f"{k}_{i}" for i in ("uptime", "last_day", "hourly") for k in ("vm", "disk", "total")]

@@ -13,6 +13,7 @@ from tallyforge.plans.price_tables import STEPS, all_prices, build_price_tables
 from tallyforge.session import scratch_path
 from tallyforge.sources import alerts, exports, inventory, mappings, sinks, state
 from tallyforge.workload import adapters as A
+from tallyforge.workload.landing import sku_export
 from tallyforge.workload.oracle_base import ts
 from tallyforge.workload.registry import query
 
@@ -83,7 +84,7 @@ def decode_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("write_price_table", "SELECT * FROM p_cpu")
 def write_price_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.write_price_table(P.cpu_pricing(A.sku_export(spark, sf_dir)), scratch_path(spark, "cpu-pricing"))
+    return sinks.write_price_table(P.cpu_pricing(sku_export(spark, sf_dir)), scratch_path(spark, "cpu-pricing"))
 
 
 @query("save_state", f"""SELECT project_id, {ts('interval_start')}, cost, budget, {ts('event_time')}, message_id FROM (
@@ -118,14 +119,14 @@ def load_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         ("cpu", "cpu"), ("ram", "cpu"), ("gpu", "gpu"), ("pd", "pd"), ("cpu_lic", "lic_key"), ("gpu_lic", "lic_key"),
         ("ram_lic", "lic_key"), ("ip", "ip_key"))))
 def build_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_prices(build_price_tables(A.sku_export(spark, sf_dir)))
+    return all_prices(build_price_tables(sku_export(spark, sf_dir)))
 
 
 # --- 2.2 ------------------------------------------------------------------------
 
 for _step, (_name, _build) in STEPS.items():
     query(f"{_name}_pricing", f"SELECT * FROM p_{_name}")(
-        lambda spark, sf_dir, build=_build: build(A.sku_export(spark, sf_dir)))
+        lambda spark, sf_dir, build=_build: build(sku_export(spark, sf_dir)))
 
 # --- 2.3 ------------------------------------------------------------------------
 
