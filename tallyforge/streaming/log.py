@@ -1,0 +1,55 @@
+"""Micro-batches folded into a merge-on-read table.
+
+Each batch is reduced to a summary that merges with others (newest message per
+interval, run cycle per VM, ...) and stored as its own ``version=<batch>``
+folder of the state table. A batch replayed after a failure overwrites its own
+folder, so the table holds every batch exactly once; order of arrival does not
+matter, because the merge goes by event time. No state store grows with the
+stream, and any executor can be lost.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyforge.sources.state import read_versions, save_state
+
+Summarize = Callable[[DataFrame], DataFrame]
+
+
+def fold_batches(stream: DataFrame, path: str, checkpoint: str, summarize: Callable[[DataFrame, int], DataFrame],
+                 once: bool = True, mode: str = "append") -> StreamingQuery:
+    """Start the query that stores ``summarize(batch, batch_id)`` per batch.
+
+    ``once`` processes what is there and stops; otherwise the query keeps running.
+    """
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(
+        lambda batch, batch_id: save_state(summarize(batch, batch_id), path, batch_id))
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def merged(spark: SparkSession, path: str, schema: T.StructType, merge: Summarize) -> DataFrame:
+    """The state of all batches so far."""
+    return merge(read_versions(spark, path, schema).drop("version"))
+
+
+def newest_versions(spark: SparkSession, path: str, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """Rows as last emitted, for queries in update mode."""
+    rows = read_versions(spark, path, schema)
+    rest = [c for c in schema.names if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_r")).select(*keys, "_r.*")
+
+
+def compact(spark: SparkSession, path: str, schema: T.StructType, merge: Summarize, target: str) -> None:
+    """Merge all versions into one folder of a new table, under the newest version number.
+
+    The stream's next batches may go to ``target``; until the switch both tables are whole.
+    """
+    newest = read_versions(spark, path, T.StructType([])).agg(F.max("version")).first()[0]
+    if newest is not None:
+        save_state(merged(spark, path, schema, merge), target, newest)

@@ -267,8 +267,8 @@ def sku_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(spark, sf_dir, "billing_flat").select(
+def nested_billing(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.struct(F.col("project_id").alias("id"), F.col("project_name").alias("name")).alias("project"),
         F.struct(F.col("service").alias("description")).alias("service"),
         F.struct(F.col("sku_id").alias("id"), F.col("sku_description").alias("description")).alias("sku"),
@@ -279,6 +279,10 @@ def billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nested_billing(flat(spark, sf_dir, "billing_flat"))
+
+
 def vm_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = lambda i: F.struct(
         F.col(f"accel_{i}_count").cast("int").alias("count"), F.col("zone").alias("zone"),
