@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge import constants as C
+from tallyforge.functions.keys import instant
 from tallyforge.operators import billing as B
 from tallyforge.operators import control as K
 from tallyforge.operators import estimate as E
 from tallyforge.operators import inventory as I
 from tallyforge.operators import lookup as L
 from tallyforge.session import settle
+from tallyforge.sources.state import read_versions, save_state
 
 
 @dataclass(frozen=True)
@@ -59,12 +61,23 @@ def burn_rates(inputs: Inputs, as_of: datetime) -> DataFrame:
     return E.project_burn(E.machine_cost_intervals(machines, as_of), E.disk_cost_intervals(disks, as_of))
 
 
-def project_status(inputs: Inputs, as_of: datetime, depth: int = C.CHARGE_DEPTH) -> DataFrame:
-    """Spend, fees to come, fraction and hours left of every project with a budget."""
-    calc = settle(estimated_costs(inputs, as_of), "estimated-costs")
-    charges = B.last_n_charges(inputs.billing, as_of, depth=depth, ordered=False)
-    fees = B.additional_fees(B.reconcile_charges(calc, charges))
-    spend = B.cumulative_spend(B.interval_costs(inputs.alerts))
+def reconciliation(inputs: Inputs, calc: DataFrame, as_of: datetime, depth: int = C.CHARGE_DEPTH) -> DataFrame:
+    """Estimated next to reported cost of the newest reported slots."""
+    return B.reconcile_charges(calc, B.last_n_charges(inputs.billing, as_of, depth=depth, ordered=False))
+
+
+def project_status(inputs: Inputs, as_of: datetime, depth: int = C.CHARGE_DEPTH, calc: DataFrame | None = None,
+                   spend: DataFrame | None = None) -> DataFrame:
+    """Spend, fees to come, fraction and hours left of every project with a budget.
+
+    The estimate feeds two branches, so it is settled once. ``spend`` may come
+    from the state a stream maintains instead of the messages.
+    """
+    if calc is None:
+        calc = settle(estimated_costs(inputs, as_of), "estimated-costs")
+    if spend is None:
+        spend = B.cumulative_spend(B.interval_costs(inputs.alerts))
+    fees = B.additional_fees(reconciliation(inputs, calc, as_of, depth))
     return B.budget_status(spend, fees, B.per_hour_charge(calc, as_of))
 
 
@@ -77,7 +90,7 @@ def current_alerts(inputs: Inputs, status: DataFrame, limits: Limits, as_of: dat
         K.pull_billing_alert(status, limits.pull_multiplier),
     ]
     return reduce(DataFrame.unionByName, alerts).withColumn(
-        "event_time", F.lit(as_of.isoformat(" ") + "+00:00").cast("timestamp"))
+        "event_time", instant(as_of))
 
 
 def excess_stops(inputs: Inputs, limits: Limits) -> DataFrame:
@@ -91,3 +104,39 @@ def decisions(inputs: Inputs, status: DataFrame, limits: Limits) -> DataFrame:
     cpus = I.running_cpus(inputs.vms)
     over_cap = K.cpu_cap_alert(cpus, limits.max_cpus)
     return K.action_plan(status, cpus, inputs.settings, over_cap, limits.pull_multiplier)
+
+
+def control_run(inputs: Inputs, as_of: datetime, limits: Limits, out: str, run: int,
+                spend: DataFrame | None = None) -> dict[str, DataFrame]:
+    """One controller run over all projects; every result is a table below ``out``.
+
+    Alerts already fired this week, by any run before ``run``, stay silent; a
+    repeated run decides as it did the first time.
+    """
+    spark = inputs.vms.sparkSession
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        save_state(df, f"{out}/{name}", run)
+        return read_versions(spark, f"{out}/{name}", df.schema).where(F.col("version") == run).drop("version")
+
+    calc = keep("estimated_costs", estimated_costs(inputs, as_of))
+    cells = keep("reconciliation", reconciliation(inputs, calc, as_of))
+    if spend is None:
+        spend = B.cumulative_spend(B.interval_costs(inputs.alerts))
+    status = keep("budget_status", B.budget_status(spend, B.additional_fees(cells), B.per_hour_charge(calc, as_of)))
+    raised = current_alerts(inputs, status, limits, as_of)
+    fired = read_versions(spark, f"{out}/alerts", K.with_iso_week(raised).schema).where(F.col("version") < run)
+    actions = keep("actions", decisions(inputs, status, limits))
+    full = actions.where("action = 'STOP_ALL_VMS'").select("project_id")
+    excess = actions.where("action = 'STOP_EXCESS'").select("project_id")
+    stops = K.shutdown_list(inputs.vms.join(full, "project_id", "left_semi")).unionByName(
+        excess_stops(inputs, limits).join(excess, "project_id", "left_semi"))
+    return {
+        "estimated_costs": calc,
+        "reconciliation": cells,
+        "budget_status": status,
+        "alerts": keep("alerts", K.weekly_throttle(raised, fired)),
+        "actions": actions,
+        "stops": keep("stops", K.stops_by_zone(stops)),
+        "cost_log": keep("cost_log", B.cost_log(B.budget_message(status))),
+    }

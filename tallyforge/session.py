@@ -46,8 +46,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path below this application's own part of the shared folder.
+
+    Everything an application settles is under one folder named after it, so
+    what a finished one left can be removed as a whole.
+    """
+    app = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/tallyforge-{app}/{name}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, name: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge import constants as C
 from tallyforge.functions.keys import money
-from tallyforge.streaming.log import fold_batches, newest_versions
+from tallyforge.streaming.log import fold_batches, merged, newest_versions
 
 HOURLY = T.StructType([
     T.StructField("project_id", T.StringType()),
@@ -20,21 +20,55 @@ HOURLY = T.StructType([
     T.StructField("first_export", T.TimestampType()),
     T.StructField("last_export", T.TimestampType()),
 ])
+PARTS = T.StructType([
+    T.StructField(f.name, T.DecimalType(38, 9)) if f.name == "total_cost" else f for f in HOURLY])
 _KEYS = ["project_id", "sku_id", "sku_description", "usage_hour"]
 
 
-def hourly_charges(billing: DataFrame, min_charge: float = C.MIN_CHARGE, lateness: str = "2 days") -> DataFrame:
-    """Charges per SKU and usage hour.
-
-    Reports trail usage by half a day and more; an hour stays open for
-    ``lateness`` after the newest usage seen, then its state is released.
-    Watermark and window are on the same column, or state would never go.
-    """
-    rows = billing.where(F.col("cost") > F.lit(min_charge)).select(
+def _rows(billing: DataFrame, min_charge: float) -> DataFrame:
+    return billing.where(F.col("cost") > F.lit(min_charge)).select(
         F.col("project.id").alias("project_id"), F.col("sku.id").alias("sku_id"),
         F.col("sku.description").alias("sku_description"), "usage_start_time", "export_time", money("cost").alias("cost"))
+
+
+def hour_parts(billing: DataFrame, min_charge: float = C.MIN_CHARGE) -> DataFrame:
+    """What one set of rows adds to each SKU and usage hour; parts add up."""
+    return _rows(billing, min_charge).groupBy(
+        "project_id", "sku_id", "sku_description", F.date_trunc("hour", "usage_start_time").alias("usage_hour")).agg(
+        F.sum("cost").cast("decimal(38,9)").alias("total_cost"), F.min("export_time").alias("first_export"),
+        F.max("export_time").alias("last_export"))
+
+
+def add_parts(parts: DataFrame) -> DataFrame:
+    """Hourly totals out of parts."""
+    return parts.groupBy(*_KEYS).agg(
+        F.sum("total_cost").cast("double").alias("total_cost"), F.min("first_export").alias("first_export"),
+        F.max("last_export").alias("last_export"))
+
+
+def stream_hourly_charges(billing: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Add each batch's part of every hour to the table at ``path``.
+
+    Reports trail usage by half a day and more. However late a row is, it is
+    added to its hour, and no state is held for hours that may still change.
+    """
+    return fold_batches(billing, path, checkpoint, lambda batch, _: hour_parts(batch), once)
+
+
+def current_hourly_charges(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly totals as of the last batch."""
+    return merged(spark, path, PARTS, add_parts)
+
+
+def windowed_charges(billing: DataFrame, min_charge: float = C.MIN_CHARGE, lateness: str = "2 days") -> DataFrame:
+    """The same totals as an updating stream, for consumers that want changes at once.
+
+    An hour stays open for ``lateness`` after the newest usage seen, then its
+    state is released and rows for it are too late. Watermark and window are on
+    the same column, or state would never go.
+    """
     hour = F.window("usage_start_time", "1 hour")
-    summed = rows.withWatermark("usage_start_time", lateness).groupBy(
+    summed = _rows(billing, min_charge).withWatermark("usage_start_time", lateness).groupBy(
         "project_id", "sku_id", "sku_description", hour).agg(
         F.sum("cost").alias("_cost"), F.min("export_time").alias("first_export"),
         F.max("export_time").alias("last_export"))
@@ -42,13 +76,13 @@ def hourly_charges(billing: DataFrame, min_charge: float = C.MIN_CHARGE, latenes
                          F.col("_cost").cast("double").alias("total_cost"), "first_export", "last_export")
 
 
-def stream_hourly_charges(billing: DataFrame, path: str, checkpoint: str, once: bool = True,
-                          lateness: str = "2 days") -> StreamingQuery:
+def stream_windowed_charges(billing: DataFrame, path: str, checkpoint: str, once: bool = True,
+                            lateness: str = "2 days") -> StreamingQuery:
     """Store each batch's changed hours; an hour's newest row is its total so far."""
-    return fold_batches(hourly_charges(billing, lateness=lateness), path, checkpoint,
+    return fold_batches(windowed_charges(billing, lateness=lateness), path, checkpoint,
                         lambda batch, _: batch, once, mode="update")
 
 
-def current_hourly_charges(spark: SparkSession, path: str) -> DataFrame:
-    """Hourly totals as of the last batch."""
+def current_windowed_charges(spark: SparkSession, path: str) -> DataFrame:
+    """Hourly totals as last emitted."""
     return newest_versions(spark, path, HOURLY, _KEYS)

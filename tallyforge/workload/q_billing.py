@@ -241,3 +241,14 @@ def stops_by_zone_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inputs(spark, sf_dir)
     return budget.decisions(i, budget.project_status(i, A.AS_OF), LIMITS).select("project_id", "action")
+
+
+@query("control_run", f"""SELECT project_id, zone, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (
+  SELECT project_id, zone, name FROM vms JOIN status USING (project_id) WHERE vms.status = 'RUNNING' AND over_budget
+  UNION ALL SELECT s.project_id, s.zone, s.name FROM ({_STOP_SQL}) AS s JOIN status USING (project_id) WHERE NOT over_budget)
+  GROUP BY ALL""")
+def control_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every step of a controller run, down to the machines it stops per zone."""
+    tables = budget.control_run(inputs(spark, sf_dir), A.AS_OF, LIMITS, scratch_path(spark, "control"), 1)
+    return tables["stops"].groupBy("project_id", "zone").agg(
+        F.sum("n").alias("n"), F.array_join(F.sort_array(F.flatten(F.collect_list("names"))), ",").alias("names"))

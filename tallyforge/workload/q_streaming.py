@@ -93,6 +93,16 @@ def stream_hourly_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hourly(spark, sf_dir)
 
 
+@query("stream_windowed_charges", f"""SELECT project_id, sku_id, sku_description, {ts('usage_hour')}, total_cost, {ts('first_export')},
+  {ts('last_export')} FROM ({_HOURLY_SQL})""")
+def stream_windowed_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With a watermark wider than the ten days of the data, so every row is on time."""
+    path, checkpoint = _paths(spark, "window-stream")
+    SC.stream_windowed_charges(A.nested_billing(_flat(spark, sf_dir, "billing_flat")), path, checkpoint,
+                               lateness="20 days").awaitTermination()
+    return SC.current_windowed_charges(spark, path)
+
+
 @query("retain_13_hours", f"""SELECT project_id, sku_id, {ts('usage_hour')}, total_cost FROM ({_HOURLY_SQL})
   WHERE usage_hour >= date_trunc('hour', {NOW}) - INTERVAL 12 HOUR""")
 def retain_13_hours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -94,18 +94,23 @@ def test_uptime_out_of_order(spark, tmp_path):
 
 
 def test_hourly_charges_take_late_rows(spark, tmp_path):
-    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "hours", "checkpoint"))
+    source = str(tmp_path / "in")
 
     def land(*rows):
         data = [(("p", "P"), ("Compute",), ("S", "text"), cost, (1.0, "hour"), ("202012",), start, start + timedelta(hours=1),
                  start + timedelta(hours=5), start.date()) for cost, start in rows]
         spark.createDataFrame(data, schemas.BILLING_EXPORT).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(schemas.BILLING_EXPORT).parquet(source)
-        SC.stream_hourly_charges(stream, table, checkpoint).awaitTermination()
+        for kind, start_stream in (("exact", SC.stream_hourly_charges), ("window", SC.stream_windowed_charges)):
+            stream = spark.readStream.schema(schemas.BILLING_EXPORT).parquet(source)
+            start_stream(stream, str(tmp_path / kind), str(tmp_path / f"{kind}-checkpoint")).awaitTermination()
+
+    def totals(df):
+        return {r["usage_hour"].astimezone(UTC): r["total_cost"] for r in df.collect()}
 
     land((1.0, T0), (2.0, T0 + timedelta(minutes=10)), (0.000001, T0))
-    land((4.0, T0 + timedelta(hours=30)), (8.0, T0))            # late by 30 hours: still counted
+    land((4.0, T0 + timedelta(hours=30)), (8.0, T0))            # late by 30 hours
     land((16.0, T0 + timedelta(hours=90)))
-    land((32.0, T0))                                             # its hour was closed two days after
-    got = {r["usage_hour"].astimezone(UTC): r["total_cost"] for r in SC.current_hourly_charges(spark, table).collect()}
-    assert got == {T0: 11.0, T0 + timedelta(hours=30): 4.0, T0 + timedelta(hours=90): 16.0}
+    land((32.0, T0))                                             # late by more than the two days
+    later = {T0 + timedelta(hours=30): 4.0, T0 + timedelta(hours=90): 16.0}
+    assert totals(SC.current_hourly_charges(spark, str(tmp_path / "exact"))) == {T0: 43.0, **later}
+    assert totals(SC.current_windowed_charges(spark, str(tmp_path / "window"))) == {T0: 11.0, **later}
