@@ -61,18 +61,27 @@ def upsert_disks(state: DataFrame, snapshot: DataFrame) -> DataFrame:
     return latest(state.unionByName(snapshot), ["project_id", "disk_id"])
 
 
+def _prune(state: DataFrame, current: DataFrame, enabled: DataFrame | None, keys: list[str]) -> DataFrame:
+    listed = current.select(*keys).distinct()
+    if enabled is None:
+        return state.join(listed, keys, "left_semi")
+    on = enabled.select("project_id").distinct()
+    return state.join(on, "project_id", "left_semi").join(listed, keys, "left_semi").unionByName(
+        state.join(on, "project_id", "left_anti"))
+
+
 def prune_vms(state: DataFrame, current: DataFrame, enabled: DataFrame | None = None) -> DataFrame:
     """VMs still listed, running or stopped.
 
     With ``enabled`` (project_id), projects outside it list nothing and keep
     their state.
     """
-    listed = current.select(*_VM).distinct()
-    if enabled is None:
-        return state.join(listed, _VM, "left_semi")
-    on = enabled.select("project_id").distinct()
-    return state.join(on, "project_id", "left_semi").join(listed, _VM, "left_semi").unionByName(
-        state.join(on, "project_id", "left_anti"))
+    return _prune(state, current, enabled, _VM)
+
+
+def prune_disks(state: DataFrame, current: DataFrame, enabled: DataFrame | None = None) -> DataFrame:
+    """Disks still listed, by the same rule."""
+    return _prune(state, current, enabled, ["project_id", "disk_id"])
 
 
 # --- run cycles ---------------------------------------------------------------

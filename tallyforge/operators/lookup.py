@@ -1,7 +1,7 @@
 """Price lookups.
 
-The reference remembers one answer per distinct key. Here the same idea is a
-*rate card*: prices are reduced to one row per lookup key before they meet any
+Machines share few distinct lookup keys, so the answers form a small *rate
+card*: prices are reduced to one row per lookup key before they meet any
 machine, the card is settled as a small written table, and machines join it
 once. Hot keys (everybody runs the same machine type) cost nothing, because
 the machine side is not shuffled while the card is below the broadcast

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 from functools import reduce
 
@@ -45,6 +45,13 @@ class Inputs:
 _CARRY = ("status", "started", "last_stop")
 
 
+def enabled_only(inputs: Inputs) -> Inputs:
+    """The run without machines and disks of projects that have compute switched off."""
+    on = inputs.settings.where("compute_enabled").select("project_id")
+    return replace(inputs, vms=inputs.vms.join(on, "project_id", "left_semi"),
+                   disks=inputs.disks.join(on, "project_id", "left_semi"))
+
+
 def estimated_costs(inputs: Inputs, as_of: datetime, include_stopped: bool = False) -> DataFrame:
     """Estimated cost per project, hour and SKU of everything inventoried."""
     card = L.rate_card(inputs.vms, inputs.prices, inputs.mappings)
@@ -93,10 +100,10 @@ def current_alerts(inputs: Inputs, status: DataFrame, limits: Limits, as_of: dat
         "event_time", instant(as_of))
 
 
-def excess_stops(inputs: Inputs, limits: Limits) -> DataFrame:
+def excess_stops(vms: DataFrame, limits: Limits) -> DataFrame:
     """VMs to stop in projects above the CPU cap."""
-    over = K.cpu_cap_alert(I.running_cpus(inputs.vms), limits.max_cpus)
-    return K.shutdown_list(inputs.vms, over.select("project_id", F.col("excess").alias("stop_count")))
+    over = K.cpu_cap_alert(I.running_cpus(vms), limits.max_cpus)
+    return K.shutdown_list(vms, over.select("project_id", F.col("excess").alias("stop_count")))
 
 
 def decisions(inputs: Inputs, status: DataFrame, limits: Limits) -> DataFrame:
@@ -114,6 +121,7 @@ def control_run(inputs: Inputs, as_of: datetime, limits: Limits, out: str, run:
     repeated run decides as it did the first time.
     """
     spark = inputs.vms.sparkSession
+    inputs = enabled_only(inputs)
 
     def keep(name: str, df: DataFrame) -> DataFrame:
         save_state(df, f"{out}/{name}", run)
@@ -130,7 +138,7 @@ def control_run(inputs: Inputs, as_of: datetime, limits: Limits, out: str, run:
     full = actions.where("action = 'STOP_ALL_VMS'").select("project_id")
     excess = actions.where("action = 'STOP_EXCESS'").select("project_id")
     stops = K.shutdown_list(inputs.vms.join(full, "project_id", "left_semi")).unionByName(
-        excess_stops(inputs, limits).join(excess, "project_id", "left_semi"))
+        excess_stops(inputs.vms, limits).join(excess, "project_id", "left_semi"))
     return {
         "estimated_costs": calc,
         "reconciliation": cells,

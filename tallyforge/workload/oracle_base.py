@@ -256,20 +256,27 @@ WHERE sku_description LIKE '%ownload%' OR sku_description LIKE '%gress%' GROUP B
     "cpus": "SELECT project_id, sum(cpus) AS total_cpus FROM vms WHERE status = 'RUNNING' GROUP BY ALL",
 }
 
+_ENABLED = "WHERE project_id IN (SELECT project_id FROM settings_flat WHERE compute_enabled)"
+ENABLED_ONLY = {name: f"SELECT * FROM ({RELATIONS[name]}) AS x {_ENABLED}" for name in ("vms", "disks_flat")}
+
 _SOURCE = re.compile(r"(?:FROM|JOIN)\s+([a-z_]\w*)")
 
 
-def oracle(final: str) -> str:
-    """``final`` with the relations it names, and those they name, in front of it."""
+def oracle(final: str, replaced: dict[str, str] | None = None) -> str:
+    """``final`` with the relations it names, and those they name, in front of it.
+
+    ``replaced`` gives some of them another definition.
+    """
+    relations = {**RELATIONS, **(replaced or {})}
     order: list[str] = []
 
     def need(text: str) -> None:
         for word in dict.fromkeys(_SOURCE.findall(text)):
-            if word in RELATIONS and word not in order:
-                need(RELATIONS[word])
+            if word in relations and word not in order:
+                need(relations[word])
                 if word not in order:
                     order.append(word)
 
     need(final)
-    ctes = ",\n".join(f"{n} AS ({RELATIONS[n]})" for n in order)
+    ctes = ",\n".join(f"{n} AS ({relations[n]})" for n in order)
     return f"WITH {ctes}\n{final}" if order else final

@@ -13,7 +13,7 @@ from tallyforge.session import scratch_path, settle
 from tallyforge.sources.exports import scan_billing_export
 from tallyforge.sources.sinks import write_cost_log
 from tallyforge.workload import adapters as A
-from tallyforge.workload.oracle_base import NOW, ts
+from tallyforge.workload.oracle_base import ENABLED_ONLY, NOW, ts
 from tallyforge.workload.landing import current_vms
 from tallyforge.workload.q_lookup import inputs
 from tallyforge.workload.registry import query, rounded
@@ -210,7 +210,7 @@ def current_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("shutdown_list", f"""SELECT project_id, zone, vm_id, name, cpus, {ts('started')}, cpus_before FROM ({_STOP_SQL})""")
 def shutdown_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return budget.excess_stops(inputs(spark, sf_dir), LIMITS)
+    return budget.excess_stops(current_vms(spark, sf_dir), LIMITS)
 
 
 @query("stops_by_zone", """SELECT project_id, zone, n, names FROM (SELECT project_id, zone, count(*) AS n,
@@ -246,7 +246,7 @@ def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("control_run", f"""SELECT project_id, zone, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (
   SELECT project_id, zone, name FROM vms JOIN status USING (project_id) WHERE vms.status = 'RUNNING' AND over_budget
   UNION ALL SELECT s.project_id, s.zone, s.name FROM ({_STOP_SQL}) AS s JOIN status USING (project_id) WHERE NOT over_budget)
-  GROUP BY ALL""")
+  GROUP BY ALL""", replaced=ENABLED_ONLY)
 def control_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every step of a controller run, down to the machines it stops per zone."""
     tables = budget.control_run(inputs(spark, sf_dir), A.AS_OF, LIMITS, scratch_path(spark, "control"), 1)

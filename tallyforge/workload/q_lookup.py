@@ -158,6 +158,16 @@ def prune_vms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.prune_vms(I.latest_vms(snapshots, A.AS_OF), listed, enabled).select("project_id", "vm_id")
 
 
+@query("prune_disks", f"""SELECT project_id, disk_id FROM disks_flat WHERE CAST(substr(disk_id, 6) AS INT) % 4 <> 1
+  OR NOT (SELECT bool_and(s.compute_enabled) FROM settings_flat AS s WHERE s.project_id = disks_flat.project_id)""")
+def prune_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth disk is no longer listed."""
+    disks = A.disk_inventory(spark, sf_dir)
+    listed = disks.where("CAST(substr(disk_id, 6) AS INT) % 4 <> 1")
+    enabled = A.project_settings(spark, sf_dir).where("compute_enabled")
+    return I.prune_disks(disks, listed, enabled).select("project_id", "disk_id")
+
+
 @query("uptime_intervals", f"SELECT project_id, vm_id, {ts('start')}, {ts('stop')} FROM intervals")
 def uptime_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.uptime_intervals(A.vm_snapshots(spark, sf_dir))

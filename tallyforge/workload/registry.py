@@ -16,7 +16,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+def query(name: str, sql: str | None = None, replaced: dict[str, str] | None = None) -> Callable[[Query], Query]:
     """Register a query under an operator's name; ``sql`` is its oracle's final select."""
 
     def register(fn: Query) -> Query:
@@ -29,7 +29,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = oracle(sql)
+            ORACLES[name] = oracle(sql, replaced)
         return fn
 
     return register

@@ -141,3 +141,23 @@ def test_billing_partitions_are_pruned(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(export_date" in plan and "2024-01-18" in plan
     assert "ReadSchema: struct<cost:double,export_time:timestamp>" in plan
     assert sorted({r["export_date"].day for r in seen.collect()}) == [19, 20]
+
+
+def test_runs_of_the_controller(spark, tmp_path):
+    """A second run of the week stays silent for throttled alerts; a repeated run does not change."""
+    from tallyforge.plans import budget
+    from tallyforge.workload import adapters as A
+    from tallyforge.workload.q_lookup import inputs
+
+    limits = budget.Limits(max_cpus=4, egress_multiplier=0.0001)
+
+    i = inputs(spark, "/root/testdata/sf0.001")
+    out = str(tmp_path)
+    kinds = lambda t: sorted((r["project_id"], r["alert"]) for r in t["alerts"].collect())
+    first = kinds(budget.control_run(i, A.AS_OF, limits, out, 1))
+    again = kinds(budget.control_run(i, A.AS_OF, limits, out, 1))
+    second = budget.control_run(i, A.AS_OF + timedelta(hours=1), limits, out, 2)
+    assert first == again and {"1", "2"} & {a for _, a in first}
+    assert kinds(second) == [x for x in first if x[1] in ("3", "4")]
+    assert "proj-9" not in {r["project_id"] for r in second["estimated_costs"].select("project_id").distinct().collect()}
+    assert second["cost_log"].count() >= second["budget_status"].count()

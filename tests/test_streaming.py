@@ -114,3 +114,18 @@ def test_hourly_charges_take_late_rows(spark, tmp_path):
     later = {T0 + timedelta(hours=30): 4.0, T0 + timedelta(hours=90): 16.0}
     assert totals(SC.current_hourly_charges(spark, str(tmp_path / "exact"))) == {T0: 43.0, **later}
     assert totals(SC.current_windowed_charges(spark, str(tmp_path / "window"))) == {T0: 11.0, **later}
+
+
+def test_control_decides_after_each_batch(spark, messages, tmp_path):
+    from tallyforge.streaming.control import stream_control
+
+    source = str(tmp_path / "in")
+    for k in range(2):
+        encoded_alerts(spark.createDataFrame(messages[k::2], ALERT)).coalesce(1).write.mode("append").parquet(source)
+    decided = str(tmp_path / "decided")
+    stream_control(SA.stream_budget_alerts(SA.read_messages(spark, source, files_per_trigger=1)), str(tmp_path / "state"),
+                   str(tmp_path / "checkpoint"), lambda spend, run: state.save_state(spend, decided, run)).awaitTermination()
+    batch = B.cumulative_spend(B.interval_costs(spark.createDataFrame(messages, ALERT)))
+    last = state.read_versions(spark, decided, batch.schema)
+    assert last.select("version").distinct().count() == 2
+    same(last.where("version = 1").drop("version"), batch)
