@@ -102,7 +102,7 @@ def save_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("load_state", f"""SELECT project_id, strftime(interval_start, '%Y-%m') AS interval_start, cost,
-  CASE WHEN CAST(substr(project_id, 6) AS INT) % 2 = 0 THEN 1000.0 END AS budget FROM interval_cost""")
+  CASE WHEN CAST(substr(project_id, 6) AS INT) % 2 = 0 THEN CAST(1000 AS DOUBLE) END AS budget FROM interval_cost""")
 def load_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of even projects are new, those of odd ones bare maps of the oldest kind."""
     rows = B.interval_costs(A.budget_alerts(spark, sf_dir))
