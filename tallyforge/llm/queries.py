@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import exact_dedup, html_text, language_id, packing, pii, warc
+from tallyforge.llm import exact_dedup, html_text, language_id, minhash, packing, pii, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -56,6 +56,12 @@ def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.concat_ws(",", filled).alias("spans"))
 
 
+@query
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # this query's own shingle length; the operator's default is five words
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
