@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import exact_dedup, html_text, language_id, minhash, packing, pii, warc
+from tallyforge.llm import decontaminate, exact_dedup, html_text, language_id, minhash, packing, pii, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -79,3 +79,8 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 @query
 def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -16,6 +16,8 @@ import pyarrow as pa
 CHUNK_BYTES = 2 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Everything in ASCII but letters and digits.
+NOT_ALNUM = np.array([b < 0x80 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _CODES = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.uint64) * 2 + 1
@@ -70,13 +72,16 @@ def text_buffers(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[t
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of every word, and for each text the index of its first word (one more at the end)."""
+def words(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of every word, and for each text the index of its first word (one more at the end).
+
+    ``between`` marks the bytes that part words, white space unless told otherwise.
+    """
     n = len(data)
     if not n:
         empty = np.zeros(0, dtype=np.int64)
         return empty, empty, np.zeros(len(offsets), dtype=np.int64)
-    space = _SPACE[data]
+    space = between[data]
     edge = np.empty(n, dtype=bool)
     edge[0] = True
     edge[1:] = space[:-1]
