@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, exact_dedup, html_text, language_id, minhash, packing, pii, warc
+from tallyforge.llm import decontaminate, exact_dedup, html_text, language_id, minhash, packing, pii, substring_dedup, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -84,3 +84,8 @@ def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
