@@ -24,8 +24,9 @@ from tallyforge.llm.columns import parts_for
 BLOCK_BYTES = 16 << 20
 #: Keys a task gathers before it sends them.
 FLUSH_KEYS = 2 << 20
-#: Blocks beyond which a task sends a key once for all.
+#: Blocks beyond which a task sends a key once for all; occurrences beyond which its holder answers to all blocks.
 COMMON_BLOCKS = 256
+COMMON_ENTRIES = 100_000
 ALL, TWICE = 0x7FFFFFFF, 0x80000000
 SENT = "bucket int, keys binary, checks binary, blocks binary"
 ANSWERED = "block int, keys binary"
@@ -89,7 +90,7 @@ class Sender:
                                          names=["bucket", "keys", "checks", "blocks"])
 
 
-def _answers(parts: list[tuple[bytes, bytes | None, bytes]]) -> Iterator[tuple[int, bytes]]:
+def _answers(parts: list[tuple[bytes, bytes | None, bytes]], entries: int) -> Iterator[tuple[int, bytes]]:
     keys = np.frombuffer(b"".join(p[0] for p in parts), dtype=np.uint64)
     checks = np.concatenate([np.frombuffer(c, dtype=np.uint64) if c is not None else np.zeros(len(k) // 8, dtype=np.uint64) for k, c, _ in parts])
     blocks = np.frombuffer(b"".join(p[2] for p in parts), dtype=np.uint32)
@@ -99,7 +100,9 @@ def _answers(parts: list[tuple[bytes, bytes | None, bytes]]) -> Iterator[tuple[i
     width = np.diff(np.append(at, len(keys)))
     twice = np.logical_or.reduceat(blocks >= TWICE, at)
     repeated = np.repeat((width > 1) | twice, width)
-    keys, blocks = keys[repeated], blocks[repeated] & np.uint32(ALL)
+    blocks = blocks & np.uint32(ALL)
+    blocks[np.repeat((width > entries) | np.logical_or.reduceat(blocks == ALL, at), width)] = ALL
+    keys, blocks = keys[repeated], blocks[repeated]
     order = np.lexsort((keys, blocks))
     keys, blocks = keys[order], blocks[order]
     cut = np.append(np.flatnonzero(starts_of_runs(blocks)), len(keys))
@@ -121,12 +124,12 @@ def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tupl
         yield current, held
 
 
-def repeated(sent: DataFrame, buckets: int) -> DataFrame:
+def repeated(sent: DataFrame, buckets: int, entries: int = COMMON_ENTRIES) -> DataFrame:
     """(block, keys): the repeated ones among each block's keys, in packed runs; block -1 stands for all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, parts in by_group(batches):
-            rows = list(_answers(parts))
+            rows = list(_answers(parts, entries))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary()))], names=["block", "keys"])
 
@@ -134,13 +137,13 @@ def repeated(sent: DataFrame, buckets: int) -> DataFrame:
 
 
 def at_blocks(docs: DataFrame, answers: DataFrame, blocks: int,
-              work: Callable[[Iterator[tuple[pa.RecordBatch, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+              work: Callable[[Iterator[tuple[pa.RecordBatch, list[bytes]]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Run ``work`` over (documents, answers) of every block.
 
     ``docs`` is (doc_id, text), ``answers`` (block, keys). A block's answers come
     before its documents, so only these and one batch of documents are held.
-    ``work`` gets batches (block, kind, keys, doc_id, text) of documents with the
-    block's sorted keys.
+    ``work`` gets batches (block, kind, keys, doc_id, text) of documents with all
+    runs of keys of their block, the same list for every batch of a block.
     """
     own = answers.filter("block >= 0").select("block", F.lit(0).alias("kind"), "keys")
     common = (answers.filter("block < 0")
@@ -149,21 +152,19 @@ def at_blocks(docs: DataFrame, answers: DataFrame, blocks: int,
     rows = docs.select(block_of(blocks).alias("block"), F.lit(1).alias("kind"), F.lit(None).cast("binary").alias("keys"), "doc_id", "text")
     together = replies.unionByName(rows).repartition("block").sortWithinPartitions("block", "kind")
 
-    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
-        current, got, keys = None, [], None
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+        current, got = None, []
         for batch in batches:
             block, kind = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             cut = np.append(np.flatnonzero(starts_of_runs(block, kind)), batch.num_rows)
             for a, b in zip(cut[:-1], cut[1:]):
                 if block[a] != current:
-                    current, got, keys = block[a], [], None
+                    current, got = block[a], []
                 part = batch.slice(a, b - a)
                 if kind[a] == 0:
                     got += part.column(2).to_pylist()
                 else:
-                    if keys is None:
-                        keys, got = np.unique(np.frombuffer(b"".join(got), dtype=np.uint64)), []
-                    yield part, keys
+                    yield part, got
 
     return together.mapInArrow(lambda batches: work(pieces(batches)), schema)
 
@@ -173,3 +174,15 @@ def among(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
     if not len(known):
         return np.zeros(len(keys), dtype=bool)
     return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+class Known:
+    """The sorted keys of the block at hand, made once per block."""
+
+    def __init__(self):
+        self.of, self.keys = None, None
+
+    def __call__(self, got: list[bytes]) -> np.ndarray:
+        if got is not self.of:
+            self.of, self.keys = got, np.unique(np.frombuffer(b"".join(got), dtype=np.uint64))
+        return self.keys

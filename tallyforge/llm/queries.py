@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, exact_dedup, html_text, language_id, minhash, packing, pii, substring_dedup, warc
+from tallyforge.llm import decontaminate, exact_dedup, html_text, language_id, minhash, packing, pii, substring_dedup, suffix_dedup, warc
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -43,6 +43,11 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query
+def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
 @query
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))

@@ -102,8 +102,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         yield from sender.flush()
 
     def send_windows(pieces) -> Iterator[pa.RecordBatch]:
-        sender = X.Sender(blocks, common)
-        for part, known in pieces:
+        sender, sorted_keys = X.Sender(blocks, common), X.Known()
+        for part, got in pieces:
+            known = sorted_keys(got)
             block = part.column(0).to_numpy()
             for first, data, _, starts, ends, bounds, words in _words(part.column(4)):
                 at = window_starts(words, bounds, window, length, known)
@@ -114,7 +115,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         yield from sender.flush()
 
     def cut(pieces) -> Iterator[pa.RecordBatch]:
-        for part, known in pieces:
+        sorted_keys = X.Known()
+        for part, got in pieces:
+            known = sorted_keys(got)
             for first, data, offsets, starts, ends, bounds, words in _words(part.column(4)):
                 text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
                 at = np.arange(len(words))
