@@ -1,19 +1,58 @@
 """The corpus pipeline: language ID, exact and near deduplication, decontamination, packing.
 
-Every stage is a function of (spark, docs, sf_dir). Its result is written to
-the shared folder and read back as the next stage's documents, so a lost
-executor never repeats more than one stage.
+Every stage is a function of (spark, docs, sf_dir). ``run`` writes its result to
+the shared folder and reads it back as the next stage's documents, so a lost
+executor never repeats more than one stage. All but the last keep the columns
+of ``documents``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyforge.llm import decontaminate, exact_dedup, language_id, minhash, packing
+from tallyforge.llm.queries import TOKENIZER, held_out
 from tallyforge.session import settle
 
-STAGES: list = []
 
-#: SQL can express neither the compression classifier nor the packing; tests hold run() against brute force.
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a clear language; null, letterless and undecided texts go."""
+    return language_id.keep_identified(docs, language_id.train(docs, ~held_out()))
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
+    return exact_dedup.distinct_rows(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id; rows without an id stay."""
+    gone = settle(minhash.near_duplicates(docs).filter("NOT kept").select("doc_id").distinct(), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all remaining documents in sequences of at most 2048 tokens."""
+    return packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
+
+#: SQL expresses neither the compression classifier nor the tokenizer; tests hold run() against brute force.
 ORACLE_SQL = None
 
 
