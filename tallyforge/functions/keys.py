@@ -66,10 +66,10 @@ def last_path_segment(url: Column | str) -> Column:
     return F.substring_index(as_column(url), "/", -1)
 
 
-def parse_rfc3339(text: Column | str) -> Column:
-    """Timestamp with fraction and offset; the offset may lack its colon."""
+def parse_rfc3339(text: Column | str, strict: bool = True) -> Column:
+    """Timestamp with fraction and offset; the offset may lack its colon. Not ``strict``: NULL instead of an error."""
     with_colon = F.regexp_replace(as_column(text), "([+-][0-9]{2})([0-9]{2})$", "$1:$2")
-    return with_colon.cast("timestamp")
+    return with_colon.cast("timestamp") if strict else with_colon.try_cast("timestamp")
 
 
 def hour_floor(ts: Column | str) -> Column:

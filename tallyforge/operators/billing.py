@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -77,6 +77,12 @@ def last_n_charges(billing: DataFrame, as_of: datetime, min_charge: float = C.MI
     return out.orderBy(*_SKU, F.desc("usage_start_time"), "description", "sku_description", "usage_end_time")
 
 
+def recent_slots(billing: DataFrame, as_of: datetime, min_charge: float = C.MIN_CHARGE) -> DataFrame:
+    """Every reported usage slot that starts within the hours the estimate covers, however many there are."""
+    first = as_of.replace(minute=0, second=0, microsecond=0) - timedelta(hours=C.USAGE_SLOTS - 1)
+    return charge_slots(billing.where(F.col("usage_start_time") >= instant(first)), min_charge)
+
+
 def charge_history(charges: DataFrame) -> DataFrame:
     """Newest-first list of the ranked slots of every SKU.
 
@@ -104,19 +110,20 @@ def reconcile_charges(calc: DataFrame, charges: DataFrame) -> DataFrame:
     """Estimated next to reported cost per project, hour and SKU.
 
     Both sides are summed by one aggregate over their union, which is the full
-    outer join with a single shuffle. A description seen anywhere for a
-    project's SKU describes all its hours.
+    outer join with a single shuffle, and keeps only numbers, so it hashes. A
+    description seen anywhere for a project's SKU describes all its hours; it is
+    taken from the reported side, one row per SKU, and joined last.
     """
-    estimated = calc.select("project_id", "usage_hour", "sku_id", "calc", F.lit(0.0).alias("reported"),
-                            F.lit(None).cast("string").alias("sku_description"))
+    estimated = calc.select("project_id", "usage_hour", "sku_id", "calc", F.lit(0.0).alias("reported"))
     reported = charges.select("project_id", hour_floor("usage_start_time").alias("usage_hour"), "sku_id",
-                              F.lit(0.0).alias("calc"), F.col("total_cost").alias("reported"), "sku_description")
+                              F.lit(0.0).alias("calc"), F.col("total_cost").alias("reported"))
     cells = estimated.unionByName(reported).groupBy("project_id", "usage_hour", "sku_id").agg(
-        F.sum("calc").alias("calc"), F.sum("reported").alias("reported"),
-        F.min("sku_description").alias("_text"))
-    described = F.min("_text").over(W.partitionBy(*_SKU))
-    return cells.select(
-        "project_id", "usage_hour", "sku_id", F.coalesce(described, F.lit(C.NO_DESCRIPTION)).alias("sku_description"),
+        F.sum("calc").alias("calc"), F.sum("reported").alias("reported"))
+    # a SKU has few descriptions, so its set is small
+    described = (charges.select(*_SKU, "sku_description").distinct().groupBy(*_SKU)
+                 .agg(F.array_min(F.collect_set("sku_description")).alias("_text")))
+    return cells.join(described, _SKU, "left").select(
+        "project_id", "usage_hour", "sku_id", F.coalesce("_text", F.lit(C.NO_DESCRIPTION)).alias("sku_description"),
         "calc", "reported", (F.col("calc") - F.col("reported")).alias("delta"),
     ).where((F.col("calc") != 0) | (F.col("reported") != 0))
 
@@ -171,11 +178,10 @@ def budget_status(spend: DataFrame, fees: DataFrame, hourly: DataFrame) -> DataF
 
 def budget_message(status: DataFrame) -> DataFrame:
     """Status line of each project, and the hours-left line where there is one."""
-    message = F.format_string(
-        "Project: %s Budget: $%.2f Charges: $%.2f (including estimated additional charges to come: $%.2f)"
-        " Fraction: %.4f", "project_id", "budget", "total_spend", "additional_fees", "fraction")
+    message = F.format_string("%s: budget $%.2f, charged $%.2f with $%.2f of it still to be reported, used share %.4f",
+                              "project_id", "budget", "total_spend", "additional_fees", "fraction")
     left = F.when(F.col("hours_left").isNotNull(), F.format_string(
-        "Project: %s Has an estimated %.2f hours left", "project_id", "hours_left"))
+        "%s: budget lasts for another %.2f hours", "project_id", "hours_left"))
     return status.select("project_id", message.alias("message"), left.alias("hours_left_message"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyforge import constants as C
 from tallyforge.functions.keys import iso_week, iso_year
 from tallyforge.operators.inventory import is_running
+from tallyforge.operators.projects import SPREADS
 
 
 def _alert(rows: DataFrame, alert: str, value: str, threshold: Column) -> DataFrame:
@@ -118,18 +119,23 @@ def shutdown_list(vms: DataFrame, stop_counts: DataFrame | None = None) -> DataF
     return last.where(F.col("cpus_before") <= F.col("stop_count")).select(*running.columns, "cpus_before")
 
 
+def join_place(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """Rows with facts of their project and zone, a large zone spread by name."""
+    spread = F.explode(F.sequence(F.lit(0), F.lit(SPREADS - 1)))
+    return (rows.withColumn("_spread", F.pmod(F.xxhash64("name"), F.lit(SPREADS)).cast("int"))
+            .join(facts.withColumn("_spread", spread), ["project_id", "zone", "_spread"]).drop("_spread"))
+
+
 def stops_by_zone(stops: DataFrame, max_names: int = 1000) -> DataFrame:
-    """Names to stop per project and zone, in lists of about ``max_names`` at most.
+    """One row per machine to stop: project_id, zone, name, chunk.
 
-    A zone with more names is split by hash into several chunks, so no list
-    grows with the fleet; a zone that fits is one list, chunk 0.
+    ``chunk`` numbers requests of about ``max_names`` names within a zone; the
+    rows are the same whatever the size of a zone.
     """
     place = ["project_id", "zone"]
     chunks = stops.groupBy(*place).agg(F.ceil(F.count("*") / F.lit(max_names)).cast("bigint").alias("chunks"))
     bucket = F.conv(F.substring(F.md5(F.col("name").cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("chunks")
-    rows = stops.select(*place, "name").join(chunks, place).withColumn("chunk", bucket)
-    return rows.groupBy(*place, "chunk").agg(
-        F.sort_array(F.collect_list("name")).alias("names"), F.count("*").alias("n"))
+    return join_place(stops.select(*place, "name"), chunks).select(*place, "name", bucket.alias("chunk"))
 
 
 def action_plan(status: DataFrame, running: DataFrame, settings: DataFrame, excess: DataFrame,

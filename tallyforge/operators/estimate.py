@@ -34,6 +34,18 @@ def check_units(skus: DataFrame, strict: bool = False) -> DataFrame:
     return skus.withColumn("unit_ok", ok)
 
 
+def usable_prices(skus: DataFrame) -> DataFrame:
+    """The rows in the unit their component is billed by; nothing else may be costed."""
+    return check_units(skus).where("unit_ok").drop("unit_ok")
+
+
+def unusable_prices(vm_skus: DataFrame, disk_skus: DataFrame) -> DataFrame:
+    """What a cost run leaves out for its unit: one row per resource and component."""
+    rows = [df.select("project_id", F.col(key).alias("resource_id"), "component", "sku_id", "unit")
+            for df, key in ((vm_skus, "vm_id"), (disk_skus, "disk_id"))]
+    return check_units(rows[0].unionByName(rows[1])).where("NOT unit_ok").drop("unit_ok")
+
+
 def _rate() -> Column:
     return F.coalesce("rate", F.lit(0.0))
 
@@ -77,6 +89,7 @@ def hourly_cost_per_sku(vm_skus: DataFrame, disk_skus: DataFrame, as_of: datetim
     aggregation, and no shuffle sees it.
     """
     now = instant(as_of)
+    vm_skus, disk_skus = usable_prices(vm_skus), usable_prices(disk_skus)
     running = F.col("status") == "RUNNING"
     vm_rate = (_rate() * F.col("quantity")).alias("hour_rate")
     disk_rate = (_rate() * F.col("quantity") / F.lit(C.CONTROLLER_MONTH_HOURS)).alias("hour_rate")
@@ -126,7 +139,7 @@ def machine_cost_intervals(vm_skus: DataFrame, as_of: datetime) -> DataFrame:
     the CPU count, unlike in ``core_ram_cost``.
     """
     quantity = F.when(F.col("component") == "cpu", F.lit(1.0)).otherwise(F.col("quantity"))
-    per_vm = (vm_skus.where(F.col("status") == "RUNNING")
+    per_vm = (usable_prices(vm_skus).where(F.col("status") == "RUNNING")
               .groupBy("project_id", "vm_id", "started")
               .agg(F.sum(_rate() * quantity).alias("hour_rate")))
     spread = per_vm.select("project_id", "vm_id", "hour_rate", F.inline(_interval_hours("started", as_of)))
@@ -136,25 +149,26 @@ def machine_cost_intervals(vm_skus: DataFrame, as_of: datetime) -> DataFrame:
 
 def disk_cost_intervals(disk_skus: DataFrame, as_of: datetime) -> DataFrame:
     """Cost of each disk over the same intervals, with months of 30 days."""
-    spread = disk_skus.select("project_id", "disk_id", "rate", "quantity",
+    spread = usable_prices(disk_skus).select("project_id", "disk_id", "rate", "quantity",
                               F.inline(_interval_hours("created", as_of)))
     months = F.col("hours") / F.lit(24.0) / F.lit(C.ESTIMATOR_MONTH_DAYS)
     return spread.select("project_id", "disk_id", "interval", "hours",
                          (months * _rate() * F.col("quantity")).alias("cost"))
 
 
-def project_burn(vm_costs: DataFrame, disk_costs: DataFrame) -> DataFrame:
-    """VM, disk and total cost of each project for each interval, and its VM count."""
+def project_burn(vm_costs: DataFrame, disk_costs: DataFrame, vms: DataFrame) -> DataFrame:
+    """VM, disk and total cost of each project for each interval, and how many of its VMs run, priced or not."""
+    running = vms.where(F.col("status") == "RUNNING").select(
+        "project_id", F.lit("running").alias("interval"), F.lit(0.0).alias("cost"), F.lit("vm").alias("kind"))
     rows = vm_costs.select("project_id", "interval", "cost", F.lit("vm").alias("kind")).unionByName(
-        disk_costs.select("project_id", "interval", "cost", F.lit("disk").alias("kind")))
+        disk_costs.select("project_id", "interval", "cost", F.lit("disk").alias("kind"))).unionByName(running)
 
     def cell(kind: str, interval: str) -> Column:
         here = (F.col("kind") == kind) & (F.col("interval") == interval)
         return F.sum(F.when(here, F.col("cost")).otherwise(0.0)).alias(f"{kind}_{interval}")
 
     cells = [cell(k, i) for i in _INTERVALS for k in ("vm", "disk")]
-    is_vm = (F.col("kind") == "vm") & (F.col("interval") == "hourly")
-    summed = rows.groupBy("project_id").agg(*cells, F.count_if(is_vm).alias("vm_count"))
+    summed = rows.groupBy("project_id").agg(*cells, F.count_if(F.col("interval") == "running").alias("vm_count"))
     totals = [(F.col(f"vm_{i}") + F.col(f"disk_{i}")).alias(f"total_{i}") for i in _INTERVALS]
     return summed.select("*", *totals)
 
@@ -174,6 +188,16 @@ def burn_projection(burn: DataFrame, horizons: tuple[int, ...] = (6, 12, 24)) ->
 
 def burn_log(burn: DataFrame) -> DataFrame:
     """Status line with the hourly rates of each spending project."""
-    line = F.format_string("Current hourly burn rates: vm cost: %f disk cost: %f total cost: %f",
-                           F.col("vm_hourly"), F.col("disk_hourly"), F.col("total_hourly"))
-    return is_spending(burn).select("project_id", line.alias("line"))
+    return is_spending(burn).select("project_id", _rates("per hour", "hourly").alias("line"))
+
+
+def _rates(title: str, interval: str) -> Column:
+    return F.format_string(f"{title}: machines $%f, disks $%f, together $%f", *[F.col(f"{k}_{interval}") for k in ("vm", "disk", "total")])
+
+
+def burn_report(burn: DataFrame, horizons: tuple[int, ...] = (6, 12, 24)) -> DataFrame:
+    """Lines of each spending project: since start, last day, per hour, and one per horizon with its running VMs."""
+    ahead = [F.format_string(f"next {h} hours with %d running machines: machines $%f, disks $%f, together $%f", F.col("vm_count"),
+                             *[F.lit(h) * F.col(f"{k}_hourly") for k in ("vm", "disk", "total")]) for h in horizons]
+    lines = F.array(_rates("since start", "uptime"), _rates("last day", "last_day"), _rates("per hour", "hourly"), *ahead)
+    return is_spending(burn).select("project_id", F.posexplode(lines).alias("line_no", "line"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyforge import constants as C
 from tallyforge.functions.keys import (
     hour_floor, hours_between, instant, machine_class, minutes_between, month_floor, seconds_between)
+from tallyforge.operators.projects import join_project
 
 _VM = ["project_id", "vm_id"]
 _CYCLE = [*_VM, "started"]
@@ -65,9 +66,9 @@ def _prune(state: DataFrame, current: DataFrame, enabled: DataFrame | None, keys
     listed = current.select(*keys).distinct()
     if enabled is None:
         return state.join(listed, keys, "left_semi")
-    on = enabled.select("project_id").distinct()
-    return state.join(on, "project_id", "left_semi").join(listed, keys, "left_semi").unionByName(
-        state.join(on, "project_id", "left_anti"))
+    on = enabled.select("project_id").distinct().withColumn("_on", F.lit(True))
+    marked = join_project(state.join(listed.withColumn("_listed", F.lit(True)), keys, "left"), on, "left", keys[-1])
+    return marked.where(F.col("_listed").isNotNull() | F.col("_on").isNull()).select(state.columns)
 
 
 def prune_vms(state: DataFrame, current: DataFrame, enabled: DataFrame | None = None) -> DataFrame:

@@ -232,35 +232,49 @@ def vm_requests(vms: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return base.select(*kept, F.explode(requests).alias("_r")).select(*kept, "_r.*")
 
 
+def _card_rows(card: DataFrame, component: str, key: Column) -> DataFrame:
+    return card.select(
+        key.alias(_REQUEST), F.lit(component).alias("component"), "sku_id", F.col("max_usd").alias("rate"),
+        F.col("pricing_unit").alias("unit"), F.lit(None).cast("bigint").alias("cpus_per_core"), "n_matches")
+
+
+def price_cards(prices: dict[str, DataFrame], mappings: dict[str, DataFrame], mode: str = "first") -> DataFrame:
+    """The cards that depend on prices and mappings alone, to be written next to the price tables."""
+    vm = vm_card(prices["cpu"], prices["ram"], mappings["machine_key_to_cpu"], mode)
+
+    def of(component: str, per_core: Column) -> Column:
+        return F.struct(F.lit(component).alias("component"), F.col(f"{component}_sku_id").alias("sku_id"),
+                        F.col(f"{component}_max_usd").alias("rate"), F.col(f"{component}_pricing_unit").alias("unit"),
+                        per_core.cast("bigint").alias("cpus_per_core"))
+
+    machines = vm.select(_request_key(F.lit("vm"), "machine_key", "region", "preemptible").alias(_REQUEST),
+                         F.inline(F.array(of("cpu", F.col("cpus_per_core")), of("ram", F.lit(None)))), "n_matches")
+    gpus = _card_rows(gpu_card(prices["gpu"], mappings["gpu_key_to_gpu"], mode), "gpu",
+                      _request_key(F.lit("gpu"), "gpu_key", "region", "preemptible"))
+    memory = _card_rows(ram_lic_card(prices["ram_lic"], mappings["lic_key_to_lic"], mode), "ram_lic",
+                        _request_key(F.lit("ram_lic"), "license"))
+    return machines.unionByName(gpus).unionByName(memory)
+
+
 def rate_card(vms: DataFrame, prices: dict[str, DataFrame], mappings: dict[str, DataFrame],
-              mode: str = "first") -> DataFrame:
-    """All cards under one request key, settled: (request_key, component, sku_id, rate, unit, ...)."""
+              mode: str = "first", fixed: DataFrame | None = None) -> DataFrame:
+    """All cards under one request key, settled: (request_key, component, sku_id, rate, unit, ...).
+
+    ``fixed`` is ``price_cards`` as written with the price tables; only the two
+    license bands, which need the machines' sizes, are made here then.
+    """
     lic_map = mappings["lic_key_to_lic"]
     keyed = _license_columns(vms)
     wanted = keyed.select("license", "cpus", "special_class", "num_gpu").distinct()
-    vm = vm_card(prices["cpu"], prices["ram"], mappings["machine_key_to_cpu"], mode)
-    vm_key = _request_key(F.lit("vm"), "machine_key", "region", "preemptible")
-
-    def rows(card: DataFrame, component: str, key: Column, prefix: str = "") -> DataFrame:
-        per_core = F.col("cpus_per_core") if component == "cpu" else F.lit(None).cast("bigint")
-        return card.select(
-            key.alias(_REQUEST), F.lit(component).alias("component"), F.col(f"{prefix}sku_id").alias("sku_id"),
-            F.col(f"{prefix}max_usd").alias("rate"), F.col(f"{prefix}pricing_unit").alias("unit"),
-            per_core.alias("cpus_per_core"), "n_matches")
-
-    cards = [
-        rows(vm, "cpu", vm_key, "cpu_"),
-        rows(vm, "ram", vm_key, "ram_"),
-        rows(gpu_card(prices["gpu"], mappings["gpu_key_to_gpu"], mode), "gpu",
-             _request_key(F.lit("gpu"), "gpu_key", "region", "preemptible")),
-        rows(cpu_lic_card(prices["cpu_lic"], lic_map, wanted, mode), "cpu_lic",
-             _request_key(F.lit("cpu_lic"), "license", "cpus", "special_class")),
-        rows(gpu_lic_card(prices["gpu_lic"], lic_map, wanted, mode), "gpu_lic",
-             _request_key(F.lit("gpu_lic"), "license", "num_gpu")),
-        rows(ram_lic_card(prices["ram_lic"], lic_map, mode), "ram_lic",
-             _request_key(F.lit("ram_lic"), "license")),
+    bands = [
+        _card_rows(cpu_lic_card(prices["cpu_lic"], lic_map, wanted, mode), "cpu_lic",
+                   _request_key(F.lit("cpu_lic"), "license", "cpus", "special_class")),
+        _card_rows(gpu_lic_card(prices["gpu_lic"], lic_map, wanted, mode), "gpu_lic",
+                   _request_key(F.lit("gpu_lic"), "license", "num_gpu")),
     ]
-    return settle(reduce(DataFrame.unionByName, cards), "rate-card")
+    if fixed is None:
+        fixed = price_cards(prices, mappings, mode)
+    return settle(reduce(DataFrame.unionByName, bands, fixed), "rate-card")
 
 
 def vm_skus(vms: DataFrame, card: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -276,9 +290,10 @@ def vm_skus(vms: DataFrame, card: DataFrame, carry: tuple[str, ...] = ()) -> Dat
 
 
 def disk_skus(disks: DataFrame, pd_prices: DataFrame, pd_map: DataFrame, mode: str = "first",
-              carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per priced disk: SKU, rate, unit and size."""
-    card = settle(pd_card(pd_prices, pd_map, mode), "pd-card")
+              carry: tuple[str, ...] = (), card: DataFrame | None = None) -> DataFrame:
+    """One row per priced disk: SKU, rate, unit and size. ``card`` is a ``pd_card`` written before."""
+    if card is None:
+        card = settle(pd_card(pd_prices, pd_map, mode), "pd-card")
     keyed = disks.select("project_id", "disk_id", *carry, F.col("size_gb").cast("double").alias("quantity"),
                          F.col("type").alias("pd_key"),
                          disk_region("is_regional", "disk_region", "zone").alias("region"), "is_regional")
@@ -294,9 +309,11 @@ def unpriced_resources(vms: DataFrame, card: DataFrame) -> DataFrame:
             .select("project_id", F.col("vm_id").alias("resource_id"), F.col("part").alias("missing"), _REQUEST))
 
 
-def unpriced_disks(disks: DataFrame, pd_prices: DataFrame, pd_map: DataFrame) -> DataFrame:
+def unpriced_disks(disks: DataFrame, pd_prices: DataFrame, pd_map: DataFrame, card: DataFrame | None = None) -> DataFrame:
     """Disks that no price answers."""
-    card = settle(pd_card(pd_prices, pd_map).select("pd_key", "region", "is_regional"), "pd-keys")
+    if card is None:
+        card = settle(pd_card(pd_prices, pd_map), "pd-card")
+    card = card.select("pd_key", "region", "is_regional")
     keyed = disks.select("project_id", F.col("disk_id").alias("resource_id"), F.col("type").alias("pd_key"),
                          disk_region("is_regional", "disk_region", "zone").alias("region"), "is_regional")
     return keyed.join(card, ["pd_key", "region", "is_regional"], "left_anti").select(

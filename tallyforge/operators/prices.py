@@ -34,6 +34,11 @@ def flatten_skus(export: DataFrame) -> DataFrame:
     )
 
 
+def _skus(export: DataFrame) -> DataFrame:
+    """The export flattened, unless it is already."""
+    return export if "tier_max" in export.columns else flatten_skus(export)
+
+
 def _has(fragment: str) -> Column:
     return _desc().contains(fragment)
 
@@ -77,35 +82,35 @@ def cpu_pricing(export: DataFrame) -> DataFrame:
     """Core prices per key, preemptibility, region and SKU."""
     keep = _any("Instance", "Core") & _regular() & ~_has("Ram") & _compute()
     keys = {"cpu": _core_key(), "preemptible": _preemptible()}
-    return _fold(flatten_skus(export), keep, keys, by_region=True)
+    return _fold(_skus(export), keep, keys, by_region=True)
 
 
 def ram_pricing(export: DataFrame) -> DataFrame:
     """Memory prices; the key column keeps the name ``cpu``."""
     keep = _any("Instance", "Core", "Ram") & _regular() & _any("Ram", "RAM") & _compute()
     keys = {"cpu": _core_key(), "preemptible": _preemptible()}
-    return _fold(flatten_skus(export), keep, keys, by_region=True)
+    return _fold(_skus(export), keep, keys, by_region=True)
 
 
 def gpu_pricing(export: DataFrame) -> DataFrame:
     """Accelerator prices; rows whose description has no model keep a NULL key."""
     keep = _has("GPU") & _regular() & ~_has("Ram") & _compute()
     key = F.concat(F.lit("Nvidia "), extract_or_null(_desc(), C.GPU_KEY_PATTERN))
-    return _fold(flatten_skus(export), keep, {"gpu": key, "preemptible": _preemptible()}, by_region=True)
+    return _fold(_skus(export), keep, {"gpu": key, "preemptible": _preemptible()}, by_region=True)
 
 
 def pd_pricing(export: DataFrame) -> DataFrame:
     """Persistent-disk prices of all services."""
     key = F.concat(extract_or_null(_desc(), C.PD_KEY_PATTERN), F.lit(" PD Capacity"))
     key = F.trim(F.replace(key, F.lit("Regional "), F.lit("")))
-    return _fold(flatten_skus(export), _has("PD Capacity"),
+    return _fold(_skus(export), _has("PD Capacity"),
                  {"pd": key, "is_regional": _has("Regional")}, by_region=True)
 
 
 def ip_pricing(export: DataFrame) -> DataFrame:
     """Address prices, regions ignored."""
     key = F.trim(extract_or_null(_desc(), C.IP_KEY_PATTERN))
-    return _fold(flatten_skus(export), _has(" IP ") & _compute(),
+    return _fold(_skus(export), _has(" IP ") & _compute(),
                  {"ip_key": key, "preemptible": _preemptible()}, by_region=False)
 
 
@@ -137,7 +142,7 @@ def gpu_lic_pricing(export: DataFrame) -> DataFrame:
     key = F.when(_has(" on VM with "), F.trim(extract_or_null(_desc(), C.LICENSE_ON_VM_PATTERN))).otherwise(
         _flat_license_key("(GPU cost)"))
     keys = {"lic_key": key, "min_gpu": _lower_bound("GPU"), "max_gpu": _upper_bound("GPU")}
-    return _fold(flatten_skus(export), _has("Licen") & _has("GPU") & _compute(), keys, by_region=False)
+    return _fold(_skus(export), _has("Licen") & _has("GPU") & _compute(), keys, by_region=False)
 
 
 def cpu_lic_pricing(export: DataFrame) -> DataFrame:
@@ -156,10 +161,10 @@ def cpu_lic_pricing(export: DataFrame) -> DataFrame:
         "max_cpu": _upper_bound("VCPU").when(exact, exact_size),
     }
     keep = _has("Licen") & ~_has("GPU") & ~_has("RAM cost") & _compute()
-    return _fold(flatten_skus(export), keep, keys, by_region=False)
+    return _fold(_skus(export), keep, keys, by_region=False)
 
 
 def ram_lic_pricing(export: DataFrame) -> DataFrame:
     """License prices per gibibyte of memory."""
-    return _fold(flatten_skus(export), _has("Licen") & _has("RAM") & _compute(),
+    return _fold(_skus(export), _has("Licen") & _has("RAM") & _compute(),
                  {"lic_key": _flat_license_key("(RAM cost)")}, by_region=False)

@@ -9,14 +9,15 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge import constants as C
 from tallyforge.functions.keys import instant
 from tallyforge.operators import billing as B
 from tallyforge.operators import control as K
 from tallyforge.operators import estimate as E
 from tallyforge.operators import inventory as I
 from tallyforge.operators import lookup as L
+from tallyforge.operators.projects import join_project
 from tallyforge.session import settle
+from tallyforge.sources.exports import scan_billing_export
 from tallyforge.sources.state import read_versions, save_state
 
 
@@ -31,7 +32,13 @@ class Limits:
 
 @dataclass(frozen=True)
 class Inputs:
-    """Domain tables of a run."""
+    """Domain tables of a run.
+
+    ``billing`` is the whole export; each step reads the part it needs.
+    ``listed_vms`` and ``listed_disks`` are what the last listing showed; state
+    that it lacks is pruned (None: everything is still there). The cards are
+    those written with the price tables, made anew where they are None.
+    """
 
     vms: DataFrame
     disks: DataFrame
@@ -40,6 +47,10 @@ class Inputs:
     settings: DataFrame
     prices: dict[str, DataFrame]
     mappings: dict[str, DataFrame]
+    listed_vms: DataFrame | None = None
+    listed_disks: DataFrame | None = None
+    cards: DataFrame | None = None
+    disk_card: DataFrame | None = None
 
 
 _CARRY = ("status", "started", "last_stop")
@@ -47,33 +58,46 @@ _CARRY = ("status", "started", "last_stop")
 
 def enabled_only(inputs: Inputs) -> Inputs:
     """The run without machines and disks of projects that have compute switched off."""
-    on = inputs.settings.where("compute_enabled").select("project_id")
-    return replace(inputs, vms=inputs.vms.join(on, "project_id", "left_semi"),
-                   disks=inputs.disks.join(on, "project_id", "left_semi"))
+    on = inputs.settings.where("compute_enabled").select("project_id").distinct()
+    return replace(inputs, vms=join_project(inputs.vms, on, "left_semi", "vm_id"),
+                   disks=join_project(inputs.disks, on, "left_semi", "disk_id"))
+
+
+def listed_only(inputs: Inputs) -> Inputs:
+    """The run without machines and disks that the last listing no longer shows."""
+    vms, disks = inputs.vms, inputs.disks
+    if inputs.listed_vms is not None:
+        vms = I.prune_vms(vms, inputs.listed_vms)
+    if inputs.listed_disks is not None:
+        disks = I.prune_disks(disks, inputs.listed_disks)
+    return replace(inputs, vms=vms, disks=disks)
+
+
+def priced(inputs: Inputs) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rate card, priced rows of machines and of disks."""
+    card = L.rate_card(inputs.vms, inputs.prices, inputs.mappings, fixed=inputs.cards)
+    disks = L.disk_skus(inputs.disks, inputs.prices["pd"], inputs.mappings["pd_key_to_pd"], carry=("created",), card=inputs.disk_card)
+    return card, L.vm_skus(inputs.vms, card, carry=_CARRY), disks
 
 
 def estimated_costs(inputs: Inputs, as_of: datetime, include_stopped: bool = False) -> DataFrame:
-    """Estimated cost per project, hour and SKU of everything inventoried."""
-    card = L.rate_card(inputs.vms, inputs.prices, inputs.mappings)
-    machines = L.vm_skus(inputs.vms, card, carry=_CARRY)
-    disks = L.disk_skus(inputs.disks, inputs.prices["pd"], inputs.mappings["pd_key_to_pd"], carry=("created",))
+    """Estimated cost per project, hour and SKU of everything inventoried and priced in the right unit."""
+    _, machines, disks = priced(inputs)
     return E.hourly_cost_per_sku(machines, disks, as_of, include_stopped)
 
 
 def burn_rates(inputs: Inputs, as_of: datetime) -> DataFrame:
     """Cost since start, in the last day and per hour of every project."""
-    card = L.rate_card(inputs.vms, inputs.prices, inputs.mappings)
-    machines = L.vm_skus(inputs.vms, card, carry=("status", "started"))
-    disks = L.disk_skus(inputs.disks, inputs.prices["pd"], inputs.mappings["pd_key_to_pd"], carry=("created",))
-    return E.project_burn(E.machine_cost_intervals(machines, as_of), E.disk_cost_intervals(disks, as_of))
+    _, machines, disks = priced(inputs)
+    return E.project_burn(E.machine_cost_intervals(machines, as_of), E.disk_cost_intervals(disks, as_of), inputs.vms)
 
 
-def reconciliation(inputs: Inputs, calc: DataFrame, as_of: datetime, depth: int = C.CHARGE_DEPTH) -> DataFrame:
-    """Estimated next to reported cost of the newest reported slots."""
-    return B.reconcile_charges(calc, B.last_n_charges(inputs.billing, as_of, depth=depth, ordered=False))
+def reconciliation(inputs: Inputs, calc: DataFrame, as_of: datetime) -> DataFrame:
+    """Estimated next to reported cost of every slot in the hours that the estimate covers."""
+    return B.reconcile_charges(calc, B.recent_slots(scan_billing_export(inputs.billing, as_of), as_of))
 
 
-def project_status(inputs: Inputs, as_of: datetime, depth: int = C.CHARGE_DEPTH, calc: DataFrame | None = None,
+def project_status(inputs: Inputs, as_of: datetime, calc: DataFrame | None = None,
                    spend: DataFrame | None = None) -> DataFrame:
     """Spend, fees to come, fraction and hours left of every project with a budget.
 
@@ -84,14 +108,15 @@ def project_status(inputs: Inputs, as_of: datetime, depth: int = C.CHARGE_DEPTH,
         calc = settle(estimated_costs(inputs, as_of), "estimated-costs")
     if spend is None:
         spend = B.cumulative_spend(B.interval_costs(inputs.alerts))
-    fees = B.additional_fees(reconciliation(inputs, calc, as_of, depth))
+    fees = B.additional_fees(reconciliation(inputs, calc, as_of))
     return B.budget_status(spend, fees, B.per_hour_charge(calc, as_of))
 
 
 def current_alerts(inputs: Inputs, status: DataFrame, limits: Limits, as_of: datetime) -> DataFrame:
-    """Alerts of all four kinds, dated with the run."""
+    """Alerts of all four kinds, dated with the run; transfer charges count over the whole export."""
+    exported = scan_billing_export(inputs.billing, as_of, lookback=None)
     alerts = [
-        K.egress_alert(B.egress_total(inputs.billing), status, limits.egress_multiplier),
+        K.egress_alert(B.egress_total(exported), status, limits.egress_multiplier),
         K.over_budget_alert(status),
         K.cpu_cap_alert(I.running_cpus(inputs.vms), limits.max_cpus).drop("excess"),
         K.pull_billing_alert(status, limits.pull_multiplier),
@@ -114,36 +139,55 @@ def decisions(inputs: Inputs, status: DataFrame, limits: Limits) -> DataFrame:
 
 
 def control_run(inputs: Inputs, as_of: datetime, limits: Limits, out: str, run: int,
-                spend: DataFrame | None = None) -> dict[str, DataFrame]:
+                spend: DataFrame | None = None, estimate_only: bool = False) -> dict[str, DataFrame]:
     """One controller run over all projects; every result is a table below ``out``.
 
+    What the run leaves out of the costs is a table too: ``unpriced`` has the
+    requests that no price answers, ``unusable_prices`` those priced in another
+    unit. With ``estimate_only`` nothing is decided: no budget, alert or stop.
+
     Alerts already fired this week, by any run before ``run``, stay silent; a
-    repeated run decides as it did the first time.
+    repeated run decides as it did the first time. Fired alerts are stored by
+    week, and only this week's are read.
     """
     spark = inputs.vms.sparkSession
-    inputs = enabled_only(inputs)
+    inputs = listed_only(enabled_only(inputs))
+    # every later step reads the pruned state
+    inputs = replace(inputs, vms=settle(inputs.vms, "run-vms"), disks=settle(inputs.disks, "run-disks"))
 
-    def keep(name: str, df: DataFrame) -> DataFrame:
-        save_state(df, f"{out}/{name}", run)
+    def keep(name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+        save_state(df, f"{out}/{name}", run, by)
         return read_versions(spark, f"{out}/{name}", df.schema).where(F.col("version") == run).drop("version")
 
-    calc = keep("estimated_costs", estimated_costs(inputs, as_of))
+    card, machines, disks = priced(inputs)
+    unpriced = L.unpriced_resources(inputs.vms, card).unionByName(
+        L.unpriced_disks(inputs.disks, inputs.prices["pd"], inputs.mappings["pd_key_to_pd"], inputs.disk_card))
+    calc = keep("estimated_costs", E.hourly_cost_per_sku(machines, disks, as_of))
     cells = keep("reconciliation", reconciliation(inputs, calc, as_of))
+    estimates = {
+        "estimated_costs": calc,
+        "reconciliation": cells,
+        "unpriced": keep("unpriced", unpriced),
+        "unusable_prices": keep("unusable_prices", E.unusable_prices(machines, disks)),
+    }
+    if estimate_only:
+        return estimates
     if spend is None:
         spend = B.cumulative_spend(B.interval_costs(inputs.alerts))
     status = keep("budget_status", B.budget_status(spend, B.additional_fees(cells), B.per_hour_charge(calc, as_of)))
     raised = current_alerts(inputs, status, limits, as_of)
-    fired = read_versions(spark, f"{out}/alerts", K.with_iso_week(raised).schema).where(F.col("version") < run)
+    year, week, _ = as_of.isocalendar()
+    fired = read_versions(spark, f"{out}/alerts", K.with_iso_week(raised).schema).where(
+        (F.col("version") < run) & (F.col("iso_year") == year) & (F.col("iso_week") == week))
     actions = keep("actions", decisions(inputs, status, limits))
     full = actions.where("action = 'STOP_ALL_VMS'").select("project_id")
     excess = actions.where("action = 'STOP_EXCESS'").select("project_id")
-    stops = K.shutdown_list(inputs.vms.join(full, "project_id", "left_semi")).unionByName(
-        excess_stops(inputs.vms, limits).join(excess, "project_id", "left_semi"))
+    stops = K.shutdown_list(join_project(inputs.vms, full, "left_semi", "vm_id")).unionByName(
+        join_project(excess_stops(inputs.vms, limits), excess, "left_semi", "vm_id"))
     return {
-        "estimated_costs": calc,
-        "reconciliation": cells,
+        **estimates,
         "budget_status": status,
-        "alerts": keep("alerts", K.weekly_throttle(raised, fired)),
+        "alerts": keep("alerts", K.weekly_throttle(raised, fired), ("iso_year", "iso_week")),
         "actions": actions,
         "stops": keep("stops", K.stops_by_zone(stops)),
         "cost_log": keep("cost_log", B.cost_log(B.budget_message(status))),

@@ -7,6 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 
 from tallyforge.operators import prices
+from tallyforge.session import settle
 from tallyforge.sources.sinks import write_price_table
 
 STEPS = {
@@ -28,16 +29,18 @@ def build_price_tables(sku_export: DataFrame, steps: Iterable[str] | None = None
     Without ``target`` the tables are declared only. With it (a folder, or a
     ``database.`` prefix) each is written before the next starts, so a failure
     stops the build and leaves the earlier tables in place. An unknown step
-    fails before anything is written.
+    fails before anything is written. The export is read once: its SKUs are
+    flattened and settled, and every table is made from those.
     """
     chosen = list(STEPS if steps is None else steps)
     unknown = [s for s in chosen if s not in STEPS]
     if unknown:
         raise ValueError(f"unknown steps: {unknown}")
     tables: dict[str, DataFrame] = {}
+    skus = settle(prices.flatten_skus(sku_export), "skus") if "tier_max" not in sku_export.columns else sku_export
     for step in chosen:
         name, build = STEPS[step]
-        df = build(sku_export)
+        df = build(skus)
         if target is not None:
             place = f"{target}{name}_pricing" if target.endswith(".") else f"{target.rstrip('/')}/{name}_pricing"
             df = write_price_table(df, place)

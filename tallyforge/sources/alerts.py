@@ -13,15 +13,33 @@ def decode_budget_alerts(messages: DataFrame, data: str = "data") -> DataFrame:
     """Base64 JSON payloads to columns; works on batch and streaming input.
 
     The project is the budget name without ``-budget``. Other columns of
-    ``messages`` (event time, message id) are kept.
+    ``messages`` (event time, message id) are kept. Messages that cannot be
+    decoded are left out; ``rejected_budget_alerts`` has them.
     """
     kept = [c for c in messages.columns if c != data]
-    text = F.decode(F.unbase64(data), "UTF-8")
-    body = F.from_json(text, schemas.BUDGET_MESSAGE, {"mode": "FAILFAST"})
-    return messages.select(*kept, body.alias("_m")).select(
-        *kept,
+    return _decoded(messages, data).where("_reason IS NULL").select(*kept, "project_id", "interval_start", "cost", "budget")
+
+
+def rejected_budget_alerts(messages: DataFrame, data: str = "data") -> DataFrame:
+    """Messages that cannot be decoded, as they came, with ``reason``."""
+    return _decoded(messages, data).where("_reason IS NOT NULL").select(*messages.columns, F.col("_reason").alias("reason"))
+
+
+def _decoded(messages: DataFrame, data: str) -> DataFrame:
+    """Payload columns next to the raw message; ``_reason`` is NULL where everything is there."""
+    raw = F.try_to_binary(data, F.lit("base64"))
+    text = F.try_validate_utf8(raw.cast("string"))
+    body = F.from_json(text, schemas.BUDGET_MESSAGE, {"mode": "PERMISSIVE"})
+    rows = messages.withColumn("_text", text).withColumn("_m", body).select(
+        *messages.columns, "_text",
         F.replace(F.col("_m.budgetDisplayName"), F.lit("-budget"), F.lit("")).alias("project_id"),
-        parse_rfc3339("_m.costIntervalStart").alias("interval_start"),
+        parse_rfc3339("_m.costIntervalStart", strict=False).alias("interval_start"),
         F.col("_m.costAmount").alias("cost"),
         F.col("_m.budgetAmount").alias("budget"),
     )
+    required = ("project_id", "interval_start", "cost", "budget")
+    missing = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in required])
+    reason = (F.when(F.col("_text").isNull(), "not base64 text")
+              .when(F.coalesce(*[F.col(c).cast("string") for c in required]).isNull(), "not a budget document")
+              .when(missing != "", F.concat(F.lit("missing or malformed: "), missing)))
+    return rows.withColumn("_reason", reason)

@@ -13,7 +13,7 @@ from tallyforge.functions.keys import last_path_segment, num_gpu, parse_rfc3339
 
 def _zone_items(pages: DataFrame, raw: str, schema: T.StructType, field: str) -> DataFrame:
     """One row per resource of a page: the page is a map zone -> list or warning."""
-    parsed = pages.withColumn("_page", F.from_json(raw, schema, {"mode": "FAILFAST"}))
+    parsed = pages.withColumn("_page", F.from_json(raw, schema, {"mode": "PERMISSIVE"}))
     kept = [c for c in pages.columns if c != raw]
     zones = parsed.select(*kept, F.explode("_page.items").alias("_zone", "_scope"))
     listed = zones.where(F.coalesce(F.col("_scope.warning.code") != C.EMPTY_PAGE_CODE, F.lit(True)))
@@ -21,6 +21,16 @@ def _zone_items(pages: DataFrame, raw: str, schema: T.StructType, field: str) ->
         *kept, last_path_segment("_zone").alias("zone"), F.explode(f"_scope.{field}").alias("_item"))
 
 
+def rejected_pages(pages: DataFrame, schema: T.StructType, raw: str = "raw_json") -> DataFrame:
+    """Pages that are no document of ``schema``, as they came, with ``reason``; the flatteners leave them out."""
+    broken = F.from_json(raw, T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]),
+                         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
+    rows = pages.withColumn("_page", broken)
+    reason = (F.when(F.col(raw).isNull(), "no document").when(F.col("_page._bad").isNotNull(), "malformed document")
+              .when(F.col("_page.items").isNull(), "no items"))
+    return rows.withColumn("reason", reason).where("reason IS NOT NULL").select(*pages.columns, "reason")
+
+
 def _accelerator(entry: Column) -> Column:
     parts = F.split(entry["acceleratorType"], "/")
     return F.struct(
@@ -47,9 +57,9 @@ def flatten_vm_inventory(pages: DataFrame, raw: str = "raw_json") -> DataFrame:
         item["status"].alias("status"),
         last_path_segment(item["machineType"]).alias("machine_type"),
         last_path_segment(F.get(first_disk["licenses"], F.lit(0))).alias("license"),
-        parse_rfc3339(item["creationTimestamp"]).alias("created"),
-        parse_rfc3339(item["lastStartTimestamp"]).alias("started"),
-        parse_rfc3339(item["lastStopTimestamp"]).alias("last_stop"),
+        parse_rfc3339(item["creationTimestamp"], strict=False).alias("created"),
+        parse_rfc3339(item["lastStartTimestamp"], strict=False).alias("started"),
+        parse_rfc3339(item["lastStopTimestamp"], strict=False).alias("last_stop"),
         first_disk["diskSizeGb"].alias("first_disk_size"),
         first_disk["kind"].alias("first_disk_kind"),
         item["scheduling"]["preemptible"].alias("preemptible"),
@@ -68,7 +78,7 @@ def flatten_disk_inventory(pages: DataFrame, raw: str = "raw_json") -> DataFrame
         item["id"].alias("disk_id"),
         "zone",
         item["name"].alias("name"),
-        parse_rfc3339(item["creationTimestamp"]).alias("created"),
+        parse_rfc3339(item["creationTimestamp"], strict=False).alias("created"),
         item["sizeGb"].cast("int").alias("size_gb"),
         regional.alias("is_regional"),
         F.when(regional, last_path_segment(item["region"])).alias("disk_region"),

@@ -1,8 +1,7 @@
 """State kept between runs as an append-only table, merged when read.
 
-Each save adds one ``version=N`` folder and never rewrites another, so a reader
-or a restarted job sees whole versions only, and saving a version again (a
-replayed micro-batch) replaces exactly itself.
+Each save adds one ``version=N`` folder and never touches another; saving a
+version again (a replayed micro-batch) replaces exactly itself.
 """
 
 from __future__ import annotations
@@ -16,9 +15,13 @@ _ANY_MAP = T.MapType(T.StringType(), T.StringType())
 _AMOUNTS = T.MapType(T.StringType(), T.DoubleType())
 
 
-def save_state(df: DataFrame, path: str, version: int) -> None:
-    """Store the state rows of the projects present in ``df`` as ``version``."""
-    df.write.mode("overwrite").parquet(f"{path}/version={version}")
+def save_state(df: DataFrame, path: str, version: int, by: tuple[str, ...] = ()) -> None:
+    """Store the state rows of the projects present in ``df`` as ``version``, in folders by the columns ``by``.
+
+    Saving a version again deletes it before it is written anew: a reader at
+    that moment may see it missing, never two of it.
+    """
+    df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/version={version}")
 
 
 def read_versions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

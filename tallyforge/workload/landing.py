@@ -8,10 +8,14 @@ columns with pruning and pushdown, and small tables carry their true size.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyforge.operators import inventory as I
+from tallyforge.operators import lookup as L
+from tallyforge.operators.prices import flatten_skus
 from tallyforge.plans.price_tables import STEPS, build_price_tables
 from tallyforge.session import scratch_path
 from tallyforge.workload import adapters as A
@@ -19,13 +23,13 @@ from tallyforge.workload import adapters as A
 _LANDED: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
-def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], by: tuple[str, ...] = ()) -> DataFrame:
     """``build()`` written once; later calls read what is there."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _LANDED:
         df = build()
         path = scratch_path(spark, name)
-        df.write.parquet(path)
+        df.write.partitionBy(*by).parquet(path)
         _LANDED[key] = (path, df.schema)
     path, schema = _LANDED[key]
     return spark.read.schema(schema).parquet(path)
@@ -36,12 +40,30 @@ def sku_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def price_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """The eight price tables as written by the build."""
-    export = sku_export(spark, sf_dir)
-    return {name: landed(spark, sf_dir, f"{name}-pricing", lambda s=step, n=name: build_price_tables(export, [s])[n])
+    """The eight price tables as written by the build, from one scan of the export."""
+    skus = landed(spark, sf_dir, "skus", lambda: flatten_skus(sku_export(spark, sf_dir)))
+    return {name: landed(spark, sf_dir, f"{name}-pricing", lambda s=step, n=name: build_price_tables(skus, [s])[n])
             for step, (name, _) in STEPS.items()}
 
 
+def price_cards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The machine and disk cards that the build writes next to the price tables."""
+    prices, maps = price_tables(spark, sf_dir), A.mappings(spark)
+    return (landed(spark, sf_dir, "price-cards", lambda: L.price_cards(prices, maps)),
+            landed(spark, sf_dir, "disk-card", lambda: L.pd_card(prices["pd"], maps["pd_key_to_pd"])))
+
+
+def billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The billing export in its date partitions."""
+    return landed(spark, sf_dir, "billing-export", lambda: A.billing_export(spark, sf_dir).repartition("export_date"), ("export_date",))
+
+
+def listed_vms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Machines that a listing of the last two days shows."""
+    seen = F.col("inventory_time").between(F.lit(A.AS_OF - timedelta(days=2)), F.lit(A.AS_OF))
+    return A.vm_snapshots(spark, sf_dir).where(seen).select("project_id", "vm_id").distinct()
+
+
 def current_vms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The VM state: newest snapshot of every VM."""
     return landed(spark, sf_dir, "vm-state", lambda: I.latest_vms(A.vm_snapshots(spark, sf_dir), A.AS_OF))

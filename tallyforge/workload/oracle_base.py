@@ -197,24 +197,29 @@ WHERE greatest(started, usage_hour) < least(last_stop, usage_hour + INTERVAL 1 H
     "disk_usage": f"""SELECT project_id, disk_id, usage_hour, (epoch_us(least({NOW}, usage_hour + INTERVAL 1 HOUR))
   - epoch_us(greatest(created, usage_hour))) / 6e7 AS minutes FROM disks_flat CROSS JOIN slots
 WHERE greatest(created, usage_hour) < least({NOW}, usage_hour + INTERVAL 1 HOUR)""",
+    # only prices in the unit a component is billed by may be costed; a machine may lack a memory price
+    "usable_vm_rows": """SELECT * FROM vm_sku_rows WHERE (component IN ('cpu', 'gpu', 'cpu_lic', 'gpu_lic') AND unit = 'HOUR')
+  OR (component IN ('ram', 'ram_lic') AND unit = 'GIBIBYTE_HOUR') OR (component = 'ram' AND unit IS NULL)""",
+    "usable_disk_rows": "SELECT * FROM disk_sku_rows WHERE unit = 'GIBIBYTE_MONTH'",
     "calc_rows": """SELECT project_id, usage_hour, sku_id, minutes / 60 * coalesce(rate, 0) * quantity AS cost
-FROM vm_usage JOIN vm_sku_rows USING (project_id, vm_id) WHERE sku_id IS NOT NULL
+FROM vm_usage JOIN usable_vm_rows USING (project_id, vm_id) WHERE sku_id IS NOT NULL
 UNION ALL SELECT project_id, usage_hour, sku_id, rate * (minutes / 60 / 730.0) * quantity
-FROM disk_usage JOIN disk_sku_rows USING (project_id, disk_id)""",
+FROM disk_usage JOIN usable_disk_rows USING (project_id, disk_id)""",
     "calc": "SELECT project_id, usage_hour, sku_id, sum(cost) AS calc FROM calc_rows GROUP BY ALL HAVING sum(cost) <> 0",
     "vm_intervals": f"""SELECT project_id, vm_id, i.name AS interval, hours, sum(hours * coalesce(rate, 0)
   * CASE WHEN component = 'cpu' THEN 1 ELSE quantity END) AS cost FROM (
   SELECT *, CASE i.name WHEN 'uptime' THEN up WHEN 'last_day' THEN least(up, 24) ELSE 1 END AS hours
   FROM (SELECT project_id, vm_id, (epoch_us({NOW}) - epoch_us(started)) / 3.6e9 AS up FROM vms WHERE status = 'RUNNING') AS v,
-    (VALUES ('uptime'), ('last_day'), ('hourly')) AS i(name)) AS i JOIN vm_sku_rows USING (project_id, vm_id) GROUP BY ALL""",
+    (VALUES ('uptime'), ('last_day'), ('hourly')) AS i(name)) AS i JOIN usable_vm_rows USING (project_id, vm_id) GROUP BY ALL""",
     "disk_intervals": f"""SELECT project_id, disk_id, i.name AS interval, CASE i.name WHEN 'uptime' THEN up
   WHEN 'last_day' THEN least(up, 24) ELSE 1 END AS hours, CASE i.name WHEN 'uptime' THEN up WHEN 'last_day'
   THEN least(up, 24) ELSE 1 END / 24.0 / 30.0 * rate * quantity AS cost
-FROM (SELECT *, (epoch_us({NOW}) - epoch_us(created)) / 3.6e9 AS up FROM disk_sku_rows) AS v,
+FROM (SELECT *, (epoch_us({NOW}) - epoch_us(created)) / 3.6e9 AS up FROM usable_disk_rows) AS v,
   (VALUES ('uptime'), ('last_day'), ('hourly')) AS i(name)""",
-    "burn": """SELECT project_id, {cells}, count(*) FILTER (WHERE kind = 'vm' AND interval = 'hourly') AS vm_count, {totals}
+    "burn": """SELECT project_id, {cells}, count(*) FILTER (WHERE kind = 'running') AS vm_count, {totals}
 FROM (SELECT project_id, interval, cost, 'vm' AS kind FROM vm_intervals
-  UNION ALL SELECT project_id, interval, cost, 'disk' FROM disk_intervals) GROUP BY ALL""".format(
+  UNION ALL SELECT project_id, interval, cost, 'disk' FROM disk_intervals
+  UNION ALL SELECT project_id, NULL, 0, 'running' FROM vms WHERE status = 'RUNNING') GROUP BY ALL""".format(
         cells=", ".join(f"sum(CASE WHEN kind = '{k}' AND interval = '{i}' THEN cost ELSE 0 END) AS {k}_{i}"
                         for i in ("uptime", "last_day", "hourly") for k in ("vm", "disk")),
         totals=", ".join(f"sum(CASE WHEN interval = '{i}' THEN cost ELSE 0 END) AS total_{i}"
@@ -228,13 +233,15 @@ FROM seen_billing WHERE cost > 0.00001 GROUP BY ALL""",
     "charges": f"""SELECT *, CAST((epoch_us({NOW}) - epoch_us(usage_end_time)) // 1000000 AS BIGINT) AS delay_seconds
 FROM (SELECT *, rank() OVER (PARTITION BY project_id, sku_id ORDER BY usage_end_time DESC) AS rank FROM charge_slots)
 WHERE rank <= 4""",
+    "window_charges": f"""SELECT * FROM charge_slots
+WHERE usage_start_time >= date_trunc('hour', {NOW}) - INTERVAL 12 HOUR""",
     "reconciled": """SELECT coalesce(c.project_id, g.project_id) AS project_id, coalesce(c.usage_hour, g.usage_hour) AS usage_hour,
   coalesce(c.sku_id, g.sku_id) AS sku_id, coalesce(d.text, 'No description collected') AS sku_description,
   coalesce(c.calc, 0) AS calc, coalesce(g.reported, 0) AS reported, coalesce(c.calc, 0) - coalesce(g.reported, 0) AS delta
 FROM calc AS c FULL OUTER JOIN (SELECT project_id, date_trunc('hour', usage_start_time) AS usage_hour, sku_id,
-  sum(total_cost) AS reported FROM charges GROUP BY ALL) AS g
+  sum(total_cost) AS reported FROM window_charges GROUP BY ALL) AS g
   ON g.project_id = c.project_id AND g.usage_hour = c.usage_hour AND g.sku_id = c.sku_id
-LEFT JOIN (SELECT project_id, sku_id, min(sku_description) AS text FROM charges GROUP BY ALL) AS d
+LEFT JOIN (SELECT project_id, sku_id, min(sku_description) AS text FROM window_charges GROUP BY ALL) AS d
   ON d.project_id = coalesce(c.project_id, g.project_id) AND d.sku_id = coalesce(c.sku_id, g.sku_id)
 WHERE coalesce(c.calc, 0) <> 0 OR coalesce(g.reported, 0) <> 0""",
     "fees": "SELECT project_id, sum(CASE WHEN delta > 0 THEN delta ELSE 0 END) AS additional_fees FROM reconciled GROUP BY ALL",
@@ -257,7 +264,9 @@ WHERE sku_description LIKE '%ownload%' OR sku_description LIKE '%gress%' GROUP B
 }
 
 _ENABLED = "WHERE project_id IN (SELECT project_id FROM settings_flat WHERE compute_enabled)"
-ENABLED_ONLY = {name: f"SELECT * FROM ({RELATIONS[name]}) AS x {_ENABLED}" for name in ("vms", "disks_flat")}
+#: What a controller run starts from: enabled projects, and machines listed in the last two days.
+OF_RUN = {"vms": f"SELECT * FROM ({RELATIONS['vms']}) AS x {_ENABLED} AND inventory_time >= {NOW} - INTERVAL 2 DAY",
+          "disks_flat": f"SELECT * FROM ({RELATIONS['disks_flat']}) AS x {_ENABLED}"}
 
 _SOURCE = re.compile(r"(?:FROM|JOIN)\s+([a-z_]\w*)")
 

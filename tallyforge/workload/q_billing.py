@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +15,9 @@ from tallyforge.session import scratch_path, settle
 from tallyforge.sources.exports import scan_billing_export
 from tallyforge.sources.sinks import write_cost_log
 from tallyforge.workload import adapters as A
-from tallyforge.workload.oracle_base import ENABLED_ONLY, NOW, ts
-from tallyforge.workload.landing import current_vms
-from tallyforge.workload.q_lookup import inputs
+from tallyforge.workload.oracle_base import NOW, OF_RUN, ts
+from tallyforge.workload.landing import billing_export, current_vms, listed_vms
+from tallyforge.workload.q_lookup import UNPRICED_SQL, inputs
 from tallyforge.workload.registry import query, rounded
 
 LIMITS = budget.Limits(max_cpus=24, egress_multiplier=3.0, pull_multiplier=1.05)
@@ -38,8 +40,11 @@ def egress_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = scan_billing_export(A.billing_export(spark, sf_dir), A.AS_OF)
-    return B.last_n_charges(seen, A.AS_OF, ordered=False)
+    return B.last_n_charges(scan_billing_export(billing_export(spark, sf_dir), A.AS_OF), A.AS_OF, ordered=False)
+
+
+def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return B.recent_slots(scan_billing_export(billing_export(spark, sf_dir), A.AS_OF), A.AS_OF)
 
 
 _CHARGE_COLUMNS = f"""project_id, description, sku_id, sku_description, {ts('usage_start_time')}, {ts('usage_end_time')},
@@ -48,7 +53,7 @@ _CHARGE_COLUMNS = f"""project_id, description, sku_id, sku_description, {ts('usa
 
 @query("last_n_charges", f"SELECT {_CHARGE_COLUMNS} FROM charges".replace(" rank,", " CAST(rank AS INTEGER) AS rank,"))
 def last_n_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return B.last_n_charges(scan_billing_export(A.billing_export(spark, sf_dir), A.AS_OF), A.AS_OF)
+    return B.last_n_charges(scan_billing_export(billing_export(spark, sf_dir), A.AS_OF), A.AS_OF)
 
 
 @query("last_n_charges_all_time", f"""SELECT project_id, sku_id, {ts('usage_start_time')}, {ts('usage_end_time')},
@@ -57,7 +62,7 @@ def last_n_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
   WHERE cost > 1000 AND export_time <= {NOW} GROUP BY project_id, service, sku_id, sku_description, usage_start_time, usage_end_time
   QUALIFY rank <= 3""")
 def last_n_charges_all_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = scan_billing_export(A.billing_export(spark, sf_dir), A.AS_OF, lookback=None)
+    seen = scan_billing_export(billing_export(spark, sf_dir), A.AS_OF, lookback=None)
     return B.last_n_charges(seen, A.AS_OF, min_charge=1000.0, depth=3, ordered=False).select(
         "project_id", "sku_id", "usage_start_time", "usage_end_time", "total_cost", "rank")
 
@@ -87,13 +92,13 @@ def _calc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("reconcile_charges", f"""SELECT project_id, {ts('usage_hour')}, sku_id, sku_description, round(calc, 8) AS calc,
   round(reported, 8) AS reported, round(delta, 8) AS delta FROM reconciled""")
 def reconcile_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = B.reconcile_charges(_calc(spark, sf_dir), _charges(spark, sf_dir))
+    cells = B.reconcile_charges(_calc(spark, sf_dir), _recent(spark, sf_dir))
     return rounded(cells, "calc", "reported", "delta", digits=8)
 
 
 @query("additional_fees", "SELECT project_id, round(additional_fees, 4) AS additional_fees FROM fees")
 def additional_fees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = B.reconcile_charges(_calc(spark, sf_dir), _charges(spark, sf_dir))
+    cells = B.reconcile_charges(_calc(spark, sf_dir), _recent(spark, sf_dir))
     return rounded(B.additional_fees(cells), "additional_fees", digits=4)
 
 
@@ -117,9 +122,8 @@ def budget_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(status, *_STATUS_ROUNDED, digits=3), "fraction", digits=8)
 
 
-_MESSAGE_SQL = """printf('Project: %s Budget: $%.2f Charges: $%.2f (including estimated additional charges to come: $%.2f)'
-  || ' Fraction: %.4f', project_id, budget, round(total_spend, 4), round(additional_fees, 4), round(fraction, 7))"""
-_LEFT_SQL = """CASE WHEN hours_left IS NOT NULL THEN printf('Project: %s Has an estimated %.2f hours left', project_id,
+_MESSAGE_SQL = """printf('%s: budget $%.2f, charged $%.2f with $%.2f of it still to be reported, used share %.4f', project_id, budget, round(total_spend, 4), round(additional_fees, 4), round(fraction, 7))"""
+_LEFT_SQL = """CASE WHEN hours_left IS NOT NULL THEN printf('%s: budget lasts for another %.2f hours', project_id,
   round(hours_left, 5)) END"""
 
 
@@ -197,7 +201,7 @@ def weekly_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("current_alerts", f"""SELECT project_id, '1' AS alert FROM (SELECT project_id, CAST(sum(CAST(cost AS DECIMAL(28, 9))) AS DOUBLE)
-    AS total_egress FROM seen_billing WHERE sku_description LIKE '%ownload%' OR sku_description LIKE '%gress%' GROUP BY ALL)
+    AS total_egress FROM billing_flat WHERE export_time <= {NOW} AND (sku_description LIKE '%ownload%' OR sku_description LIKE '%gress%') GROUP BY ALL)
     JOIN status USING (project_id) WHERE total_egress > {LIMITS.egress_multiplier} * budget
   UNION ALL SELECT project_id, '2' FROM status WHERE over_budget
   UNION ALL SELECT project_id, '3' FROM cpus WHERE total_cpus > {LIMITS.max_cpus}
@@ -213,23 +217,23 @@ def shutdown_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return budget.excess_stops(current_vms(spark, sf_dir), LIMITS)
 
 
-@query("stops_by_zone", """SELECT project_id, zone, n, names FROM (SELECT project_id, zone, count(*) AS n,
-  string_agg(name, ',' ORDER BY name) AS names FROM vms WHERE status = 'RUNNING' GROUP BY ALL)""")
+def _chunk_sql(max_names: int) -> str:
+    return f"""SELECT project_id, zone, name, CAST(('0x' || substr(md5(name), 1, 8)) AS BIGINT) % CAST(ceil(count(*) OVER (
+    PARTITION BY project_id, zone) / {max_names}.0) AS BIGINT) AS chunk FROM vms WHERE status = 'RUNNING'"""
+
+
+@query("stops_by_zone", _chunk_sql(1000))
 def stops_by_zone(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All running VMs; chunks are put back together here only to compare them."""
-    chunks = K.stops_by_zone(K.shutdown_list(current_vms(spark, sf_dir)))
-    return chunks.select("project_id", "zone", "n", F.array_join("names", ",").alias("names"))
+    """All running VMs."""
+    return K.stops_by_zone(K.shutdown_list(current_vms(spark, sf_dir)))
 
 
-@query("stops_by_zone_chunked", """SELECT project_id, zone, chunk, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names
-  FROM (SELECT project_id, zone, name, CAST(('0x' || substr(md5(name), 1, 8)) AS BIGINT) % CAST(ceil(count(*) OVER (
-    PARTITION BY project_id, zone) / 4.0) AS BIGINT) AS chunk FROM vms WHERE status = 'RUNNING') GROUP BY ALL""")
+@query("stops_by_zone_chunked", _chunk_sql(4))
 def stops_by_zone_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = K.stops_by_zone(K.shutdown_list(current_vms(spark, sf_dir)), max_names=4)
-    return chunks.withColumn("names", F.array_join("names", ","))
+    return K.stops_by_zone(K.shutdown_list(current_vms(spark, sf_dir)), max_names=4)
 
 
-@query("action_plan", f"""SELECT project_id, action FROM (
+_ACTION_SQL = f"""SELECT project_id, action FROM (
   SELECT project_id, 'STOP_ALL_VMS' AS action FROM status JOIN cpus USING (project_id) WHERE over_budget
   UNION ALL SELECT project_id, 'STOP_APP' FROM status JOIN settings_flat USING (project_id) WHERE over_budget AND has_app
   UNION ALL SELECT project_id, 'DETACH_BILLING' FROM status WHERE over_budget AND fraction >= {LIMITS.pull_multiplier}
@@ -237,18 +241,99 @@ def stops_by_zone_chunked(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHERE NOT over_budget AND total_cpus > {LIMITS.max_cpus}
   UNION ALL SELECT project_id, 'NONE' FROM status LEFT JOIN cpus USING (project_id) LEFT JOIN settings_flat USING (project_id)
     WHERE (NOT over_budget AND coalesce(total_cpus, 0) <= {LIMITS.max_cpus}) OR (over_budget AND total_cpus IS NULL
-      AND NOT coalesce(has_app, false) AND fraction < {LIMITS.pull_multiplier}))""")
+      AND NOT coalesce(has_app, false) AND fraction < {LIMITS.pull_multiplier}))"""
+
+
+@query("action_plan", _ACTION_SQL)
 def action_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inputs(spark, sf_dir)
     return budget.decisions(i, budget.project_status(i, A.AS_OF), LIMITS).select("project_id", "action")
 
 
-@query("control_run", f"""SELECT project_id, zone, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names FROM (
+# --- every table of a controller run --------------------------------------------
+
+_RUNS: dict[tuple[str, str, bool], dict[str, DataFrame]] = {}
+
+
+def _run(spark: SparkSession, sf_dir: str, estimate_only: bool = False) -> dict[str, DataFrame]:
+    """The tables of one run, made once per session and read by a query each."""
+    key = (spark.sparkContext.applicationId, sf_dir, estimate_only)
+    if key not in _RUNS:
+        i = replace(inputs(spark, sf_dir), listed_vms=listed_vms(spark, sf_dir))
+        _RUNS[key] = budget.control_run(i, A.AS_OF, LIMITS, scratch_path(spark, "control"), 1, estimate_only=estimate_only)
+    return _RUNS[key]
+
+
+def _run_query(name: str, sql: str):
+    return query(name, sql, replaced=OF_RUN)
+
+
+@_run_query("control_run", f"""SELECT project_id, zone, name FROM (
   SELECT project_id, zone, name FROM vms JOIN status USING (project_id) WHERE vms.status = 'RUNNING' AND over_budget
-  UNION ALL SELECT s.project_id, s.zone, s.name FROM ({_STOP_SQL}) AS s JOIN status USING (project_id) WHERE NOT over_budget)
-  GROUP BY ALL""", replaced=ENABLED_ONLY)
+  UNION ALL SELECT s.project_id, s.zone, s.name FROM ({_STOP_SQL}) AS s JOIN status USING (project_id) WHERE NOT over_budget)""")
 def control_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every step of a controller run, down to the machines it stops per zone."""
-    tables = budget.control_run(inputs(spark, sf_dir), A.AS_OF, LIMITS, scratch_path(spark, "control"), 1)
-    return tables["stops"].groupBy("project_id", "zone").agg(
-        F.sum("n").alias("n"), F.array_join(F.sort_array(F.flatten(F.collect_list("names"))), ",").alias("names"))
+    """Every step of a controller run, down to the machines it stops."""
+    return _run(spark, sf_dir)["stops"].select("project_id", "zone", "name")
+
+
+@_run_query("control_run_estimated_costs", f"SELECT project_id, {ts('usage_hour')}, sku_id, round(calc, 8) AS calc FROM calc")
+def control_run_estimated_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_run(spark, sf_dir)["estimated_costs"], "calc", digits=8)
+
+
+@_run_query("control_run_reconciliation", f"""SELECT project_id, {ts('usage_hour')}, sku_id, sku_description, round(calc, 8) AS calc,
+  round(reported, 8) AS reported, round(delta, 8) AS delta FROM reconciled""")
+def control_run_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_run(spark, sf_dir)["reconciliation"], "calc", "reported", "delta", digits=8)
+
+
+@_run_query("control_run_status", "SELECT project_id, budget, reported_spend, " + ", ".join(
+    f"round({c}, 3) AS {c}" for c in _STATUS_ROUNDED) + ", round(fraction, 8) AS fraction, over_budget FROM status")
+def control_run_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(rounded(_run(spark, sf_dir)["budget_status"], *_STATUS_ROUNDED, digits=3), "fraction", digits=8)
+
+
+@_run_query("control_run_alerts", f"""SELECT project_id, '1' AS alert, round(total_egress, 6) AS value,
+    round({LIMITS.egress_multiplier} * budget, 6) AS threshold FROM (SELECT project_id, CAST(sum(CAST(cost AS DECIMAL(28, 9))) AS DOUBLE)
+    AS total_egress FROM billing_flat WHERE export_time <= {NOW} AND (sku_description LIKE '%ownload%' OR sku_description LIKE '%gress%')
+    GROUP BY ALL) JOIN status USING (project_id) WHERE total_egress > {LIMITS.egress_multiplier} * budget
+  UNION ALL SELECT project_id, '2', round(fraction, 6), 1.0 FROM status WHERE over_budget
+  UNION ALL SELECT project_id, '3', round(total_cpus, 6), {LIMITS.max_cpus} FROM cpus WHERE total_cpus > {LIMITS.max_cpus}
+  UNION ALL SELECT project_id, '4', round(fraction, 6), {LIMITS.pull_multiplier} FROM status
+    WHERE over_budget AND fraction >= {LIMITS.pull_multiplier}""")
+def control_run_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_run(spark, sf_dir)["alerts"].select("project_id", "alert", "value", "threshold"), "value", "threshold")
+
+
+@_run_query("control_run_actions", f"{_ACTION_SQL}")
+def control_run_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["actions"].select("project_id", "action")
+
+
+@_run_query("control_run_cost_log", f"""SELECT project_id, CAST(0 AS INTEGER) AS line_no, {_MESSAGE_SQL} AS line FROM status
+  UNION ALL SELECT project_id, CAST(1 AS INTEGER), {_LEFT_SQL} FROM status WHERE hours_left IS NOT NULL""")
+def control_run_cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["cost_log"]
+
+
+@_run_query("control_run_unpriced", UNPRICED_SQL)
+def control_run_unpriced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["unpriced"].drop("request_key")
+
+
+@_run_query("control_run_unusable_prices", """SELECT project_id, vm_id AS resource_id, component, sku_id, unit FROM vm_sku_rows
+    EXCEPT ALL SELECT project_id, vm_id, component, sku_id, unit FROM usable_vm_rows
+  UNION ALL (SELECT project_id, disk_id, component, sku_id, unit FROM disk_sku_rows
+    EXCEPT ALL SELECT project_id, disk_id, component, sku_id, unit FROM usable_disk_rows)""")
+def control_run_unusable_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run(spark, sf_dir)["unusable_prices"]
+
+
+@_run_query("control_run_estimate_only", f"""SELECT 'estimated' AS kind, project_id, {ts('usage_hour')}, sku_id, round(calc, 8) AS amount FROM calc
+  UNION ALL SELECT 'reported', project_id, {ts('usage_hour')}, sku_id, round(reported, 8) FROM reconciled""")
+def control_run_estimate_only(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that decides nothing: estimates next to what was reported."""
+    tables = _run(spark, sf_dir, estimate_only=True)
+    rows = tables["estimated_costs"].selectExpr("'estimated' AS kind", "project_id", "usage_hour", "sku_id", "round(calc, 8) AS amount")
+    return rows.unionByName(tables["reconciliation"].selectExpr(
+        "'reported' AS kind", "project_id", "usage_hour", "sku_id", "round(reported, 8) AS amount"))

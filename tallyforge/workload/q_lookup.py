@@ -12,18 +12,20 @@ from tallyforge.operators import estimate as E
 from tallyforge.operators import inventory as I
 from tallyforge.operators import lookup as L
 from tallyforge.plans import budget
-from tallyforge.sources.exports import scan_billing_export
 from tallyforge.workload import adapters as A
-from tallyforge.workload.landing import current_vms, price_tables
+from tallyforge.workload.landing import billing_export, current_vms, price_cards, price_tables
 from tallyforge.workload.oracle_base import NOW, ts
 from tallyforge.workload.registry import query, rounded
 
 
 def inputs(spark: SparkSession, sf_dir: str) -> budget.Inputs:
+    cards, disk_card = price_cards(spark, sf_dir)
     return budget.Inputs(
+        cards=cards,
+        disk_card=disk_card,
         vms=current_vms(spark, sf_dir),
         disks=A.disk_inventory(spark, sf_dir),
-        billing=scan_billing_export(A.billing_export(spark, sf_dir), A.AS_OF),
+        billing=billing_export(spark, sf_dir),
         alerts=A.budget_alerts(spark, sf_dir),
         settings=A.project_settings(spark, sf_dir),
         prices=price_tables(spark, sf_dir),
@@ -83,17 +85,20 @@ def one_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.one_price(inputs(spark, sf_dir).prices["ip"], ["ip_key", "preemptible"])
 
 
-@query("unpriced_resources", """
+UNPRICED_SQL = """
 SELECT project_id, vm_id AS resource_id, 'vm' AS missing FROM vms WHERE (project_id, vm_id) NOT IN (SELECT (project_id, vm_id) FROM vm_price)
 UNION ALL SELECT project_id, vm_id, 'gpu' FROM (SELECT project_id, vm_id, entry FROM accels EXCEPT SELECT project_id, vm_id, entry FROM gpu_price)
 UNION ALL SELECT project_id, vm_id, 'cpu_lic' FROM (SELECT project_id, vm_id FROM vms EXCEPT SELECT project_id, vm_id FROM cpu_lic_price)
 UNION ALL SELECT project_id, vm_id, 'gpu_lic' FROM (SELECT project_id, vm_id FROM vm_keys WHERE num_gpu > 0
   EXCEPT SELECT project_id, vm_id FROM gpu_lic_price)
 UNION ALL SELECT project_id, vm_id, 'ram_lic' FROM (SELECT project_id, vm_id FROM vms EXCEPT SELECT project_id, vm_id FROM ram_lic_price)
-UNION ALL SELECT project_id, disk_id, 'disk' FROM (SELECT project_id, disk_id FROM disks_flat EXCEPT SELECT project_id, disk_id FROM pd_price)""")
+UNION ALL SELECT project_id, disk_id, 'disk' FROM (SELECT project_id, disk_id FROM disks_flat EXCEPT SELECT project_id, disk_id FROM pd_price)"""
+
+
+@query("unpriced_resources", UNPRICED_SQL)
 def unpriced_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inputs(spark, sf_dir)
-    card = L.rate_card(i.vms, i.prices, i.mappings)
+    card = L.rate_card(i.vms, i.prices, i.mappings, fixed=i.cards)
     missing = L.unpriced_resources(i.vms, card).unionByName(
         L.unpriced_disks(i.disks, i.prices["pd"], i.mappings["pd_key_to_pd"]))
     return missing.drop("request_key")
@@ -102,7 +107,7 @@ def unpriced_resources(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("vm_skus", "SELECT * FROM vm_sku_rows")
 def vm_skus(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = inputs(spark, sf_dir)
-    return L.vm_skus(i.vms, L.rate_card(i.vms, i.prices, i.mappings))
+    return L.vm_skus(i.vms, L.rate_card(i.vms, i.prices, i.mappings, fixed=i.cards))
 
 
 @query("disk_skus", "SELECT * EXCLUDE (created) FROM disk_sku_rows")
@@ -276,7 +281,7 @@ def hourly_cost_per_sku(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("hourly_cost_with_stopped", f"""SELECT project_id, {ts('usage_hour')}, sku_id, round(sum(cost), 8) AS calc FROM (
   SELECT project_id, usage_hour, sku_id, cost FROM calc_rows
   UNION ALL SELECT project_id, usage_hour, sku_id, minutes / 60 * coalesce(rate, 0) * quantity
-  FROM stopped_usage JOIN vm_sku_rows USING (project_id, vm_id) WHERE sku_id IS NOT NULL)
+  FROM stopped_usage JOIN usable_vm_rows USING (project_id, vm_id) WHERE sku_id IS NOT NULL)
   GROUP BY project_id, usage_hour, sku_id HAVING sum(cost) <> 0""")
 def hourly_cost_with_stopped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(budget.estimated_costs(inputs(spark, sf_dir), A.AS_OF, include_stopped=True), "calc", digits=8)
@@ -321,8 +326,22 @@ def is_spending(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(burn.select("project_id", "vm_count", "total_hourly"), "total_hourly", digits=4)
 
 
-@query("burn_log", """SELECT project_id, printf('Current hourly burn rates: vm cost: %f disk cost: %f total cost: %f',
+@query("burn_log", """SELECT project_id, printf('per hour: machines $%f, disks $%f, together $%f',
   round(vm_hourly, 4), round(disk_hourly, 4), round(total_hourly, 4)) AS line FROM burn
   WHERE total_uptime + total_last_day + total_hourly > 0""")
 def burn_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.burn_log(rounded(budget.burn_rates(inputs(spark, sf_dir), A.AS_OF), *_CELLS, digits=4))
+
+
+_RATES_SQL = " UNION ALL ".join(
+    f"""SELECT project_id, {n} AS line_no, printf('{title}: machines $%f, disks $%f, together $%f', round(vm_{i}, 4), round(disk_{i}, 4),
+  round(total_{i}, 4)) AS line FROM burn WHERE total_uptime + total_last_day + total_hourly > 0"""
+    for n, (title, i) in enumerate((("since start", "uptime"), ("last day", "last_day"), ("per hour", "hourly"))))
+_AHEAD_SQL = """SELECT project_id, h.line_no, printf('next %d hours with %d running machines: machines $%f, disks $%f, together $%f',
+  h.hours, vm_count, h.hours * round(vm_hourly, 4), h.hours * round(disk_hourly, 4), h.hours * round(total_hourly, 4)) AS line
+  FROM burn, (VALUES (3, 6), (4, 12), (5, 24)) AS h(line_no, hours) WHERE total_uptime + total_last_day + total_hourly > 0"""
+
+
+@query("burn_report", f"{_RATES_SQL} UNION ALL {_AHEAD_SQL}")
+def burn_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.burn_report(rounded(budget.burn_rates(inputs(spark, sf_dir), A.AS_OF), *_CELLS, digits=4))

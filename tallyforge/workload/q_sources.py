@@ -13,7 +13,7 @@ from tallyforge.plans.price_tables import STEPS, all_prices, build_price_tables
 from tallyforge.session import scratch_path
 from tallyforge.sources import alerts, exports, inventory, mappings, sinks, state
 from tallyforge.workload import adapters as A
-from tallyforge.workload.landing import sku_export
+from tallyforge.workload.landing import billing_export, sku_export
 from tallyforge.workload.oracle_base import ts
 from tallyforge.workload.registry import query
 
@@ -45,7 +45,7 @@ def scan_sku_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("scan_billing_export", f"""SELECT project_id, sku_id, {ts('usage_start_time')}, {ts('export_time')},
   CAST(cost AS DOUBLE) AS cost FROM seen_billing""")
 def scan_billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    seen = exports.scan_billing_export(A.billing_export(spark, sf_dir), A.AS_OF)
+    seen = exports.scan_billing_export(billing_export(spark, sf_dir), A.AS_OF)
     return seen.select(F.col("project.id").alias("project_id"), F.col("sku.id").alias("sku_id"),
                        "usage_start_time", "export_time", "cost")
 
@@ -82,6 +82,43 @@ def decode_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alerts.decode_budget_alerts(A.encoded_alerts(A.budget_alerts(spark, sf_dir)))
 
 
+def _spoiled(rows: DataFrame, column: str, key: str) -> DataFrame:
+    """Every 11th document cut short, every 13th replaced by other text."""
+    k = F.col(key)
+    cut = F.substring(column, 1, 20)
+    return rows.withColumn(column, F.when(k % 11 == 0, cut).when(k % 13 == 0, F.lit("e30=")).otherwise(F.col(column)))
+
+
+@query("decode_budget_alerts_lenient", f"""SELECT {ts('event_time')}, message_id, project_id, {ts('interval_start')}, cost, budget
+  FROM alerts_flat WHERE message_id % 11 <> 0 AND message_id % 13 <> 0""")
+def decode_budget_alerts_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good messages among malformed ones."""
+    return alerts.decode_budget_alerts(_spoiled(A.encoded_alerts(A.budget_alerts(spark, sf_dir)), "data", "message_id"))
+
+
+@query("rejected_budget_alerts", """SELECT message_id FROM alerts_flat WHERE message_id % 11 = 0 OR message_id % 13 = 0""")
+def rejected_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alerts.rejected_budget_alerts(_spoiled(A.encoded_alerts(A.budget_alerts(spark, sf_dir)), "data", "message_id")).select("message_id")
+
+
+def _disk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = F.regexp_extract("raw_json", '"id":"disk-([0-9]+)"', 1).cast("bigint")
+    return _spoiled(A.disk_pages(spark, sf_dir).withColumn("page", number), "raw_json", "page")
+
+
+@query("flatten_disk_inventory_lenient", """SELECT project_id, disk_id, size_gb FROM disks_flat
+  WHERE CAST(substr(disk_id, 6) AS BIGINT) % 11 <> 0 AND CAST(substr(disk_id, 6) AS BIGINT) % 13 <> 0""")
+def flatten_disk_inventory_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disks of good pages among malformed ones."""
+    return inventory.flatten_disk_inventory(_disk_pages(spark, sf_dir)).select("project_id", "disk_id", "size_gb")
+
+
+@query("rejected_pages", """SELECT project_id, CAST(substr(disk_id, 6) AS BIGINT) AS page FROM disks_flat
+  WHERE CAST(substr(disk_id, 6) AS BIGINT) % 11 = 0 OR CAST(substr(disk_id, 6) AS BIGINT) % 13 = 0""")
+def rejected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inventory.rejected_pages(_disk_pages(spark, sf_dir), schemas.DISK_PAGE).select("project_id", "page")
+
+
 @query("write_price_table", "SELECT * FROM p_cpu")
 def write_price_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.write_price_table(P.cpu_pricing(sku_export(spark, sf_dir)), scratch_path(spark, "cpu-pricing"))

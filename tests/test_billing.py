@@ -143,6 +143,36 @@ def test_billing_partitions_are_pruned(spark, tmp_path):
     assert sorted({r["export_date"].day for r in seen.collect()}) == [19, 20]
 
 
+def test_every_slot_of_the_grid_is_reconciled(spark):
+    """More slots than the ranking keeps, and one before the first hour of the estimate."""
+    hour = lambda h, m=0: datetime(2024, 1, 20, h, m, tzinfo=UTC)
+    last = AS_OF.hour
+    starts = [hour(h, m) for h in range(last - 8, last) for m in (0, 30)]
+    early = AS_OF.replace(tzinfo=UTC) - timedelta(hours=14)
+    seen = billing(spark, *[charge(start=s, hours=0.5, cost=1.0) for s in [*starts, early]])
+    calc = spark.createDataFrame([("p", hour(h), "S", 2.0) for h in range(last - 8, last)],
+                                 "project_id string, usage_hour timestamp, sku_id string, calc double")
+    cells = B.reconcile_charges(calc, B.recent_slots(seen, AS_OF))
+    assert {(r["calc"], r["reported"]) for r in cells.collect()} == {(2.0, 2.0)}
+    assert B.additional_fees(cells).first()["additional_fees"] == 0.0
+    assert "SortAggregate" not in B.reconcile_charges(calc, B.recent_slots(seen, AS_OF))._jdf.queryExecution().executedPlan().toString()
+
+
+def test_estimate_only_run_decides_nothing(spark, tmp_path):
+    from dataclasses import replace
+
+    from tallyforge.plans import budget
+    from tallyforge.workload import adapters as A
+    from tallyforge.workload.landing import listed_vms
+    from tallyforge.workload.q_lookup import inputs
+
+    sf = "/root/testdata/sf0.001"
+    i = replace(inputs(spark, sf), listed_vms=listed_vms(spark, sf))
+    tables = budget.control_run(i, A.AS_OF, budget.Limits(), str(tmp_path), 1, estimate_only=True)
+    assert set(tables) == {"estimated_costs", "reconciliation", "unpriced", "unusable_prices"}
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(tables)
+
+
 def test_runs_of_the_controller(spark, tmp_path):
     """A second run of the week stays silent for throttled alerts; a repeated run does not change."""
     from tallyforge.plans import budget

@@ -152,12 +152,15 @@ def test_hourly_cost_equals_plain_sum_over_slots(spark):
                      start + (now - start) / 2 if stopped else None, f"S{i % 4}" if i % 9 else None, 0.5 + i % 5, 2.0))
     skus = spark.createDataFrame(rows, "project_id string, vm_id string, status string, started timestamp, "
                                        "last_stop timestamp, sku_id string, rate double, quantity double")
+    skus = skus.withColumn("component", F.lit("cpu")).withColumn("unit", F.when(F.col("rate") < 4, "HOUR").otherwise("COUNT"))
     disks = spark.createDataFrame([("p0", "d", now - timedelta(hours=2), "D", 7.3, 100.0)],
                                   "project_id string, disk_id string, created timestamp, sku_id string, rate double, quantity double")
+    disks = disks.withColumn("component", F.lit("disk")).withColumn("unit", F.lit("GIBIBYTE_MONTH"))
     for include in (False, True):
         want = {}
         for p, _, status, a, b, sku, rate, q in rows + [("p0", "d", "RUNNING", now - timedelta(hours=2), None, "D", 7.3 / 730, 100.0)]:
-            if sku is None or (b is not None and not include):
+            # rates from 4 up are in another unit and must not be costed
+            if sku is None or (4 <= rate and sku != "D") or (b is not None and not include):
                 continue
             for h in range(13):
                 slot = datetime(2024, 1, 20, h, tzinfo=UTC)
@@ -200,9 +203,27 @@ def test_stops_by_zone_loses_nothing(spark):
     rows = [("p", f"z{i % 2}", f"n{i}") for i in range(101)]
     df = spark.createDataFrame(rows, "project_id string, zone string, name string")
     one = K.stops_by_zone(df).collect()
-    assert sorted((r["zone"], r["chunk"], r["n"]) for r in one) == [("z0", 0, 51), ("z1", 0, 50)]
+    assert sorted((r["zone"], r["name"], r["chunk"]) for r in one) == sorted((z, n, 0) for _, z, n in rows)
     many = K.stops_by_zone(df, max_names=5).collect()
-    assert len(many) > 10 and sorted(n for r in many for n in r["names"]) == sorted(r[2] for r in rows)
+    assert sorted(r["name"] for r in many) == sorted(r[2] for r in rows) and len({(r["zone"], r["chunk"]) for r in many}) > 10
+
+
+def test_prune_reads_the_state_once_and_spreads_a_large_project(spark, tmp_path):
+    rows = [("big" if i % 2 else f"p{i % 7}", f"v{i}", i) for i in range(400)]
+    spark.createDataFrame(rows, "project_id string, vm_id string, x int").write.parquet(str(tmp_path / "state"))
+    spark.createDataFrame([r[:2] for r in rows if r[2] % 3], "project_id string, vm_id string").write.parquet(str(tmp_path / "listed"))
+    state, listed = (spark.read.parquet(str(tmp_path / n)) for n in ("state", "listed"))
+    enabled = spark.createDataFrame([("big",), ("p2",), ("big",)], "project_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = I.prune_vms(state, listed, enabled)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["vm_id"] for r in got.collect()) == sorted(v for p, v, i in rows if i % 3 or p not in ("big", "p2"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert plan.count("FileScan parquet") == 2
+    assert "hashpartitioning(project_id#" in plan and not any(
+        line.split("hashpartitioning(")[1].count(",") == 1 for line in plan.splitlines() if "hashpartitioning(project_id" in line)
 
 
 def test_inventory_gap_across_hours_and_days(spark):
@@ -264,3 +285,22 @@ def test_scalar_keys(spark):
     assert tuple(row) == ("n1-standard", "n1", "us-east1", "", "c", None)
     week = spark.sql("SELECT TIMESTAMP '2021-01-03 00:00:00' AS t").select(KEYS.iso_year("t"), KEYS.iso_week("t")).first()
     assert tuple(week) == (2020, 53)
+
+
+def test_burn_counts_running_machines_priced_or_not(spark):
+    vm = spark.createDataFrame([("p", "v1", "RUNNING"), ("p", "v2", "RUNNING"), ("p", "v3", "TERMINATED"), ("q", "v4", "RUNNING")],
+                               "project_id string, vm_id string, status string")
+    cost = "project_id string, {} string, interval string, hours double, cost double"
+    vms = spark.createDataFrame([("p", "v1", i, 1.0, 2.0) for i in ("uptime", "last_day", "hourly")], cost.format("vm_id"))
+    burn = E.project_burn(vms, spark.createDataFrame([], cost.format("disk_id")), vm)
+    got = {r["project_id"]: (r["vm_count"], r["total_hourly"]) for r in burn.collect()}
+    assert got == {"p": (2, 2.0), "q": (1, 0.0)}
+    lines = [r["line"] for r in E.burn_report(burn).orderBy("project_id", "line_no").collect()]
+    assert len(lines) == 6 and lines[3].startswith("next 6 hours with 2 running machines: machines $12.0")
+
+
+def test_unusable_prices_names_what_is_left_out(spark):
+    columns = "project_id string, {} string, component string, sku_id string, unit string"
+    vms = spark.createDataFrame([("p", "v", "cpu", "S", "COUNT"), ("p", "v", "ram", None, None), ("p", "w", "gpu", "G", "HOUR")], columns.format("vm_id"))
+    disks = spark.createDataFrame([("p", "d", "disk", "D", "HOUR")], columns.format("disk_id"))
+    assert {(r["resource_id"], r["component"]) for r in E.unusable_prices(vms, disks).collect()} == {("v", "cpu"), ("d", "disk")}

@@ -55,3 +55,17 @@ def test_no_single_partition_or_pairwise_plan(spark, name):
 def test_rank_limit_is_applied_before_the_shuffle(spark):
     plan = entry.queries()["last_n_charges"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "Partial" in plan
+
+
+@pytest.mark.parametrize("name", ["scan_billing_export", "last_n_charges", "reconcile_charges", "budget_status"])
+def test_registered_queries_read_few_billing_dates(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(export_date" in plan
+
+
+def test_price_tables_scan_the_export_once(spark):
+    from tallyforge.plans.price_tables import all_prices, build_price_tables
+    from tallyforge.workload.landing import sku_export
+
+    plan = all_prices(build_price_tables(sku_export(spark, SF)))._jdf.queryExecution().executedPlan().toString()
+    assert "geo_taxonomy" not in plan and "tiered_rates" not in plan
