@@ -56,12 +56,12 @@ _PARAGRAPH_END = BLOCKS - {"html", "body"}
 
 
 class Page(HTMLParser):
-    """Text blocks of a page in order, each with the element paths above it."""
+    """Text blocks of a page in order, without noise, each with the element paths above it."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.stack: list[tuple[str, str, bool]] = []      # tag, path, noise
-        self.blocks: list[tuple[str, tuple[str, ...], bool, bool]] = []   # text, paths, noise, in article
+        self.blocks: list[tuple[str, tuple[str, ...], bool]] = []         # text, paths, in article
         self.children: dict[str, list[str]] = {}
         self.parts: list[str] = []
         self.articles = 0
@@ -71,7 +71,7 @@ class Page(HTMLParser):
         text = " ".join("".join(self.parts).split())
         self.parts = []
         if text:
-            self.blocks.append((text, tuple(p for _, p, _ in self.stack), bool(self.stack) and self.stack[-1][2], self.articles > 0))
+            self.blocks.append((text, tuple(p for _, p, _ in self.stack), self.articles > 0))
 
     def _pop(self) -> None:
         tag, _, noise = self.stack.pop()
@@ -129,7 +129,9 @@ class Page(HTMLParser):
             self._pop()
 
     def handle_data(self, data: str) -> None:
-        self.parts.append(data)
+        # noise may stand inside a line of text, as a script or a button does
+        if not (self.stack and self.stack[-1][2]):
+            self.parts.append(data)
 
     def close(self) -> None:
         super().close()
@@ -151,19 +153,18 @@ def is_box(path: str) -> bool:
 def style_nodes(page: Page) -> dict[str, tuple[int, list[int]]]:
     """For each removable box of a page: a hash of its structure, and hashes of the texts below it."""
     texts: dict[str, set[int]] = {}
-    for text, paths, noise, _ in page.blocks:
-        if not noise:
-            h = xxhash.xxh64_intdigest(text) - (1 << 63)
-            for p in paths:
-                if is_box(p):
-                    texts.setdefault(p, set()).add(h)
+    for text, paths, _ in page.blocks:
+        h = xxhash.xxh64_intdigest(text) - (1 << 63)
+        for p in paths:
+            if is_box(p):
+                texts.setdefault(p, set()).add(h)
     return {p: (xxhash.xxh64_intdigest(" ".join(dict.fromkeys(page.children.get(p, [])))) - (1 << 63), sorted(t)) for p, t in texts.items()}
 
 
 def main_text(page: Page, low: set[str]) -> str:
     """The page's blocks without noise and low-importance branches; those of its article, if it marks one."""
-    return "\n".join(text for text, paths, noise, inside in page.blocks
-                     if not noise and (inside or not page.found_article) and not (low and any(p in low for p in paths)))
+    return "\n".join(text for text, paths, inside in page.blocks
+                     if (inside or not page.found_article) and not (low and any(p in low for p in paths)))
 
 
 def host_of(url):
