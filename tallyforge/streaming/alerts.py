@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,8 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tallyforge.operators import billing as B
 from tallyforge.operators import control as K
 from tallyforge.sources.alerts import decode_budget_alerts
-from tallyforge.sources.state import read_versions
-from tallyforge.streaming.log import fold_batches, merged
+from tallyforge.streaming.table import PROVIDER, current, keep_current
 
 MESSAGES = T.StructType([
     T.StructField("event_time", T.TimestampType()),
@@ -39,34 +40,36 @@ def stream_budget_alerts(messages: DataFrame) -> DataFrame:
     return decode_budget_alerts(messages)
 
 
-def stream_cumulative_spend(alerts: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Keep the newest cost per budget interval in the state table at ``path``."""
-    return fold_batches(alerts, path, checkpoint, lambda batch, _: B.interval_costs(batch), once)
+def stream_cumulative_spend(alerts: DataFrame, path: str, checkpoint: str, once: bool = True,
+                            after: Callable[[int], object] | None = None) -> StreamingQuery:
+    """Keep the newest cost per budget interval in the table at ``path``."""
+    return keep_current(B.interval_costs(alerts), path, checkpoint, ["project_id", "interval_start"], once, after=after)
 
 
 def current_spend(spark: SparkSession, path: str) -> DataFrame:
-    """Cumulative spend out of the state table. An older message never overwrites a newer one."""
-    return B.cumulative_spend(merged(spark, path, INTERVAL_COSTS, B.interval_costs))
+    """Cumulative spend out of the table. An older message never overwrites a newer one."""
+    return B.cumulative_spend(current(spark, path, INTERVAL_COSTS))
 
 
-def stream_weekly_throttle(alerts: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append the alerts that fire to the table at ``path``.
+def throttled_alerts(alerts: DataFrame) -> DataFrame:
+    """The alerts that fire, as a stream: throttled kinds once per project and ISO week, the first to arrive.
 
-    What fired in earlier batches is read back from that table itself, earlier
-    versions only, so a replayed batch decides as it did the first time. Alerts
-    that come late still fire if nothing did in their week; none is dropped for
-    its age.
+    The week keys that fired are the state. Alerts that come late still fire if
+    nothing did in their week; none is dropped for its age.
     """
-    spark = alerts.sparkSession
-    schema = K.with_iso_week(alerts).schema
+    dated = K.with_iso_week(alerts)
+    throttled = F.col("alert").isin(*K.THROTTLED)
+    return dated.where(throttled).dropDuplicates(K.WEEK_KEY).unionByName(dated.where(~throttled))
 
-    def fire(batch: DataFrame, batch_id: int) -> DataFrame:
-        earlier = read_versions(spark, path, schema).where(F.col("version") < batch_id)
-        return K.weekly_throttle(batch, fired=earlier)
 
-    return fold_batches(alerts, path, checkpoint, fire, once)
+def stream_weekly_throttle(alerts: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+    """Append the alerts that fire to the table at ``path``, in folders by ISO year and week."""
+    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    writer = (throttled_alerts(alerts).writeStream.outputMode("append").format("parquet").partitionBy("iso_year", "iso_week")
+              .option("path", path).option("checkpointLocation", checkpoint))
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def fired_alerts(spark: SparkSession, path: str, alerts: DataFrame) -> DataFrame:
-    """Everything fired so far."""
-    return read_versions(spark, path, K.with_iso_week(alerts).schema).drop("version")
+    """Everything fired so far; a filter on year and week reads only these."""
+    return spark.read.schema(K.with_iso_week(alerts).schema).parquet(path)

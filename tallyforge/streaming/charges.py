@@ -9,7 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge import constants as C
 from tallyforge.functions.keys import money
-from tallyforge.streaming.log import fold_batches, merged, newest_versions
+from tallyforge.streaming.table import current, keep_current
 
 HOURLY = T.StructType([
     T.StructField("project_id", T.StringType()),
@@ -32,40 +32,34 @@ def _rows(billing: DataFrame, min_charge: float) -> DataFrame:
 
 
 def hour_parts(billing: DataFrame, min_charge: float = C.MIN_CHARGE) -> DataFrame:
-    """What one set of rows adds to each SKU and usage hour; parts add up."""
+    """Exact sums per SKU and usage hour."""
     return _rows(billing, min_charge).groupBy(
         "project_id", "sku_id", "sku_description", F.date_trunc("hour", "usage_start_time").alias("usage_hour")).agg(
         F.sum("cost").cast("decimal(38,9)").alias("total_cost"), F.min("export_time").alias("first_export"),
         F.max("export_time").alias("last_export"))
 
 
-def add_parts(parts: DataFrame) -> DataFrame:
-    """Hourly totals out of parts."""
-    return parts.groupBy(*_KEYS).agg(
-        F.sum("total_cost").cast("double").alias("total_cost"), F.min("first_export").alias("first_export"),
-        F.max("last_export").alias("last_export"))
-
-
 def stream_hourly_charges(billing: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Add each batch's part of every hour to the table at ``path``.
+    """Keep the total of every hour in the table at ``path``.
 
     Reports trail usage by half a day and more. However late a row is, it is
-    added to its hour, and no state is held for hours that may still change.
+    added to its hour; the state of all hours is on disk, in the state store.
     """
-    return fold_batches(billing, path, checkpoint, lambda batch, _: hour_parts(batch), once)
+    return keep_current(hour_parts(billing), path, checkpoint, _KEYS, once)
 
 
 def current_hourly_charges(spark: SparkSession, path: str) -> DataFrame:
     """Hourly totals as of the last batch."""
-    return merged(spark, path, PARTS, add_parts)
+    return current(spark, path, PARTS).withColumn("total_cost", F.col("total_cost").cast("double")).select(*HOURLY.names)
 
 
-def windowed_charges(billing: DataFrame, min_charge: float = C.MIN_CHARGE, lateness: str = "2 days") -> DataFrame:
-    """The same totals as an updating stream, for consumers that want changes at once.
+def windowed_charges(billing: DataFrame, lateness: str, min_charge: float = C.MIN_CHARGE) -> DataFrame:
+    """A preview of the same totals with bounded state, for consumers that want changes at once.
 
     An hour stays open for ``lateness`` after the newest usage seen, then its
-    state is released and rows for it are too late. Watermark and window are on
-    the same column, or state would never go.
+    state is released and later rows are missing here; only
+    ``stream_hourly_charges`` has them all. There is no default: whoever asks
+    for a preview says what it may miss.
     """
     hour = F.window("usage_start_time", "1 hour")
     summed = _rows(billing, min_charge).withWatermark("usage_start_time", lateness).groupBy(
@@ -76,13 +70,11 @@ def windowed_charges(billing: DataFrame, min_charge: float = C.MIN_CHARGE, laten
                          F.col("_cost").cast("double").alias("total_cost"), "first_export", "last_export")
 
 
-def stream_windowed_charges(billing: DataFrame, path: str, checkpoint: str, once: bool = True,
-                            lateness: str = "2 days") -> StreamingQuery:
-    """Store each batch's changed hours; an hour's newest row is its total so far."""
-    return fold_batches(windowed_charges(billing, lateness=lateness), path, checkpoint,
-                        lambda batch, _: batch, once, mode="update")
+def stream_windowed_charges(billing: DataFrame, path: str, checkpoint: str, lateness: str, once: bool = True) -> StreamingQuery:
+    """Keep each open hour's total so far in the table at ``path``."""
+    return keep_current(windowed_charges(billing, lateness), path, checkpoint, _KEYS, once)
 
 
 def current_windowed_charges(spark: SparkSession, path: str) -> DataFrame:
     """Hourly totals as last emitted."""
-    return newest_versions(spark, path, HOURLY, _KEYS)
+    return current(spark, path, HOURLY)

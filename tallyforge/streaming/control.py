@@ -7,23 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tallyforge.operators import billing as B
-from tallyforge.sources.state import save_state
-from tallyforge.streaming.alerts import current_spend
+from tallyforge.streaming.alerts import current_spend, stream_cumulative_spend
 
 
 def stream_control(alerts: DataFrame, state_path: str, checkpoint: str,
                    decide: Callable[[DataFrame, int], object], once: bool = True) -> StreamingQuery:
-    """Fold each batch of messages into the spend state, then decide on all projects.
+    """Bring each batch of messages into the spend table, then decide on all projects.
 
     ``decide(spend, batch_id)`` is usually ``control_run`` with ``spend`` and
     ``run`` filled in. Both steps replace what a failed attempt left.
     """
     spark = alerts.sparkSession
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        save_state(B.interval_costs(batch), state_path, batch_id)
-        decide(current_spend(spark, state_path), batch_id)
-
-    writer = alerts.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step)
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    return stream_cumulative_spend(alerts, state_path, checkpoint, once,
+                                   after=lambda batch_id: decide(current_spend(spark, state_path), batch_id))

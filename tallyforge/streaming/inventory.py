@@ -1,6 +1,6 @@
 """VM run history from a stream of snapshots.
 
-The state per VM is the summary of its run cycles. It merges by inventory time
+The state per VM is the summary of its run cycles. It is taken by inventory time
 in any order, so late and repeated snapshots lead to the same history as a
 batch over all of them.
 """
@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tallyforge.operators import inventory as I
-from tallyforge.streaming.log import fold_batches, merged
+from tallyforge.streaming.table import current, keep_current
 
 _TS, _STR = T.TimestampType(), T.StringType()
 
@@ -31,12 +31,12 @@ CYCLES = T.StructType([
 
 def stream_vm_uptime(snapshots: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Fold snapshots into the cycle summaries at ``path``."""
-    return fold_batches(snapshots, path, checkpoint, lambda batch, _: I.vm_cycles(batch), once)
+    return keep_current(I.vm_cycles(snapshots), path, checkpoint, ["project_id", "vm_id", "started"], once)
 
 
 def current_cycles(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
     """Cycle summaries of all batches, of VMs still listed if ``listed`` is given."""
-    cycles = merged(spark, path, CYCLES, I.merge_cycles)
+    cycles = current(spark, path, CYCLES)
     return cycles if listed is None else I.prune_vms(cycles, listed)
 
 

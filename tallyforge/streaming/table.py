@@ -1,0 +1,103 @@
+"""Tables kept current by stateful streaming aggregates.
+
+The aggregate runs in update mode on Spark's RocksDB state store, so a batch
+brings the whole value of every key it changed. Rows are kept in a fixed number
+of parts by a hash of their key; a batch writes the parts it touches, as a new
+``generation=<batch>`` with Spark's success marker, and a reader takes each
+part's newest finished generation. A replayed batch writes the same values into
+its own generation, so it changes nothing. Of each part one older generation
+stays for readers under way; what a batch costs does not grow with its number.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from tallyforge.session import settle
+
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PARTS = 16
+
+
+def keep_current(changes: DataFrame, path: str, checkpoint: str, keys: list[str], once: bool = True, parts: int = PARTS,
+                 after: Callable[[int], object] | None = None) -> StreamingQuery:
+    """Start the query that keeps the aggregate ``changes`` in the table at ``path``.
+
+    ``after`` is called with the batch number once the batch is in the table.
+    ``once`` processes what is there and stops; otherwise the query keeps running.
+    """
+    changes.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        write_changes(batch, path, batch_id, keys, parts)
+        if after is not None:
+            after(batch_id)
+
+    writer = changes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(store)
+    return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def write_changes(batch: DataFrame, path: str, generation: int, keys: list[str], parts: int = PARTS) -> None:
+    """Bring the changed rows into the parts they belong to."""
+    spark = batch.sparkSession
+    changed = settle(batch.withColumn("part", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")), "changes")
+    touched = sorted(r["part"] for r in changed.select("part").distinct().collect())   # at most ``parts``
+    if not touched:
+        return
+    before = _read(spark, path, batch.schema, {p: g for p, g in _newest(spark, path, generation).items() if p in touched})
+    rows = before.join(changed.select(*keys), keys, "left_anti").select(*batch.columns, "part").unionByName(changed)
+    rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/generation={generation}")
+    _forget(spark, path, _newest(spark, path, generation))
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """All rows as of the newest finished batch."""
+    return _read(spark, path, schema, _newest(spark, path)).drop("part")
+
+
+def _read(spark: SparkSession, path: str, schema: T.StructType, newest: dict[int, int]) -> DataFrame:
+    full = T.StructType([*schema.fields, T.StructField("generation", T.LongType()), T.StructField("part", T.IntegerType())])
+    if not newest:
+        return spark.createDataFrame([], full).drop("generation")
+    folders = [f"{path}/generation={g}/part={p}" for p, g in sorted(newest.items())]
+    return spark.read.schema(full).option("basePath", path).parquet(*folders).drop("generation")
+
+
+def _listed(spark: SparkSession, path: str) -> tuple[object, dict[int, list[int]]]:
+    """The table's file system, and the parts of its finished generations."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    found: dict[int, list[int]] = {}
+    if system.exists(root):
+        for folder in system.listStatus(root):
+            name = folder.getPath().getName()
+            if name.startswith("generation="):
+                inside = [s.getPath().getName() for s in system.listStatus(folder.getPath())]
+                if "_SUCCESS" in inside:
+                    found[int(name[11:])] = [int(n[5:]) for n in inside if n.startswith("part=")]
+    return system, found
+
+
+def _newest(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
+    """Newest finished generation of each part, earlier than ``before`` if given."""
+    newest: dict[int, int] = {}
+    for generation, parts in _listed(spark, path)[1].items():
+        if before is None or generation < before:
+            for part in parts:
+                newest[part] = max(generation, newest.get(part, -1))
+    return newest
+
+
+def _forget(spark: SparkSession, path: str, kept: dict[int, int]) -> None:
+    """Delete generations of a part older than the one in ``kept``."""
+    system, found = _listed(spark, path)
+    for generation, parts in found.items():
+        for part in parts:
+            if generation < kept.get(part, -1):
+                system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={generation}/part={part}"), True)

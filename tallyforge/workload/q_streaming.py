@@ -1,18 +1,23 @@
 """Queries for the streaming operators.
 
-Each streams a whole given table through Structured Streaming, then reads the
-table it maintains; the oracle is the batch result in SQL.
+Each streams a whole given table through Structured Streaming, in several
+batches out of order and over a restart, then reads the table it maintains; the
+oracle is the batch result in SQL.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import inventory as I
 from tallyforge.session import scratch_path
+from tallyforge.sources.state import read_versions, save_state
 from tallyforge.streaming import alerts as SA
 from tallyforge.streaming import charges as SC
+from tallyforge.streaming import control as SK
 from tallyforge.streaming import inventory as SI
 from tallyforge.workload import adapters as A
 from tallyforge.workload.oracle_base import NOW, ts
@@ -20,15 +25,39 @@ from tallyforge.workload.q_billing import _MESSAGE_ALERTS, message_alerts
 from tallyforge.workload.registry import query
 
 
-def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The table as a file stream. A pattern also fits tables that are one file, not a folder."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1000).parquet(f"{sf_dir}/{table}.parque[t]")
+FILES = 6
+
+
+class Landing:
+    """A given table landed as several files out of order, streamed one file per batch, with one restart.
+
+    The last file comes after the restart, and with ``repeats`` a tenth of all
+    rows once more.
+    """
 
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str, repeats: bool):
+        self.spark, self.name, self.repeats = spark, name, repeats
+        self.table = A.FLAT[name][1][0]
+        self.rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        self.path = scratch_path(spark, f"{self.table}-files")
+        self.dealt = self.rows.withColumn("_file", F.pmod(F.xxhash64(*self.rows.columns), F.lit(FILES)))
 
-def _flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text, (table,) = A.FLAT[name]
-    return spark.sql(text(A.Spark), **{table: _stream(spark, sf_dir, table)})
+    def _add(self, rows: DataFrame) -> None:
+        rows.select(self.rows.columns).coalesce(1).write.mode("append").parquet(self.path)
+
+    def stream(self) -> DataFrame:
+        source = self.spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", 1).parquet(self.path)
+        return self.spark.sql(A.FLAT[self.name][0](A.Spark), **{self.table: source})
+
+    def run(self, start) -> None:
+        """``start()`` starts the query, which stops when it has read what is there."""
+        for k in range(1, FILES):
+            self._add(self.dealt.where(F.col("_file") == k))
+        start().awaitTermination()
+        self._add(self.dealt.where("_file = 0"))
+        if self.repeats:
+            self._add(self.dealt.where(F.pmod(F.xxhash64(F.lit("again"), *self.rows.columns), F.lit(10)) == 0))
+        start().awaitTermination()
 
 
 def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
@@ -36,49 +65,70 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/state", f"{base}/checkpoint"
 
 
-def _decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return SA.stream_budget_alerts(A.encoded_alerts(_flat(spark, sf_dir, "alerts_flat")))
+def _messages(spark: SparkSession, sf_dir: str) -> tuple[Landing, Callable[[], DataFrame]]:
+    landing = Landing(spark, sf_dir, "alerts_flat", repeats=True)
+    # the folder exists once the first files are there, so the stream is declared when it starts
+    return landing, lambda: SA.stream_budget_alerts(A.encoded_alerts(landing.stream()))
 
 
 @query("stream_budget_alerts", f"""SELECT {ts('event_time')}, message_id, project_id, {ts('interval_start')}, cost, budget
   FROM alerts_flat""")
 def stream_budget_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stateless: every message once, so nothing is repeated here."""
     path, checkpoint = _paths(spark, "alert-stream")
-    decoded = _decoded(spark, sf_dir)
-    decoded.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(
-        availableNow=True).start().awaitTermination()
-    return spark.read.schema(decoded.schema).parquet(path)
+    landing = Landing(spark, sf_dir, "alerts_flat", repeats=False)
+    decoded = lambda: SA.stream_budget_alerts(A.encoded_alerts(landing.stream()))
+    landing.run(lambda: decoded().writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True).start())
+    return spark.read.schema(decoded().schema).parquet(path)
 
 
 @query("stream_cumulative_spend", "SELECT * FROM spend")
 def stream_cumulative_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _paths(spark, "spend-stream")
-    SA.stream_cumulative_spend(_decoded(spark, sf_dir), path, checkpoint).awaitTermination()
+    landing, messages = _messages(spark, sf_dir)
+    landing.run(lambda: SA.stream_cumulative_spend(messages(), path, checkpoint))
     return SA.current_spend(spark, path)
 
 
+@query("stream_control", "SELECT project_id, reported_spend, budget, reported_spend >= 0.4 * budget AS warned FROM spend")
+def stream_control(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decision on all projects after every batch; the last one stands."""
+    path, checkpoint = _paths(spark, "control-stream")
+    decided = scratch_path(spark, "decided")
+    decide = lambda spend: spend.withColumn("warned", F.col("reported_spend") >= 0.4 * F.col("budget"))
+    landing, messages = _messages(spark, sf_dir)
+    landing.run(lambda: SK.stream_control(messages(), path, checkpoint, lambda spend, run: save_state(decide(spend), decided, run)))
+    schema = decide(SA.current_spend(spark, path)).schema
+    runs = read_versions(spark, decided, schema)
+    return runs.join(runs.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")
+
+
 @query("stream_weekly_throttle", f"""SELECT project_id, alert, CAST(isoyear(event_time) AS INTEGER) AS iso_year,
   CAST(weekofyear(event_time) AS INTEGER) AS iso_week, CASE WHEN alert = '2' THEN 1 ELSE count(*) END AS fired
   FROM {_MESSAGE_ALERTS} GROUP BY 1, 2, 3, 4""")
 def stream_weekly_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _paths(spark, "throttle-stream")
-    alerts = message_alerts(_decoded(spark, sf_dir))
-    SA.stream_weekly_throttle(alerts, path, checkpoint).awaitTermination()
-    return SA.fired_alerts(spark, path, alerts).groupBy("project_id", "alert", "iso_year", "iso_week").agg(
-        F.count("*").alias("fired"))
+    landing, messages = _messages(spark, sf_dir)
+    landing.run(lambda: SA.stream_weekly_throttle(message_alerts(messages()), path, checkpoint))
+    # a repeated message repeats its alert of an unthrottled kind
+    return (SA.fired_alerts(spark, path, message_alerts(messages())).groupBy("project_id", "alert", "iso_year", "iso_week")
+            .agg(F.count_distinct("message_id").alias("fired")))
 
 
 @query("stream_vm_uptime", f"SELECT project_id, vm_id, {ts('start')}, {ts('stop')} FROM intervals")
 def stream_vm_uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _paths(spark, "uptime-stream")
-    snapshots = _flat(spark, sf_dir, "snapshots_flat")
-    SI.stream_vm_uptime(snapshots, path, checkpoint).awaitTermination()
+    landing = Landing(spark, sf_dir, "snapshots_flat", repeats=True)
+    landing.run(lambda: SI.stream_vm_uptime(landing.stream(), path, checkpoint))
     return SI.current_intervals(spark, path)
 
 
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _paths(spark, "charge-stream")
-    SC.stream_hourly_charges(A.nested_billing(_flat(spark, sf_dir, "billing_flat")), path, checkpoint).awaitTermination()
+    # every exported row is a charge of its own, so none is repeated
+    landing = Landing(spark, sf_dir, "billing_flat", repeats=False)
+    landing.run(lambda: SC.stream_hourly_charges(A.nested_billing(landing.stream()), path, checkpoint))
     return SC.current_hourly_charges(spark, path)
 
 
@@ -98,8 +148,8 @@ def stream_hourly_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windowed_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a watermark wider than the ten days of the data, so every row is on time."""
     path, checkpoint = _paths(spark, "window-stream")
-    SC.stream_windowed_charges(A.nested_billing(_flat(spark, sf_dir, "billing_flat")), path, checkpoint,
-                               lateness="20 days").awaitTermination()
+    landing = Landing(spark, sf_dir, "billing_flat", repeats=False)
+    landing.run(lambda: SC.stream_windowed_charges(A.nested_billing(landing.stream()), path, checkpoint, lateness="20 days"))
     return SC.current_windowed_charges(spark, path)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -16,7 +17,7 @@ from tallyforge.sources import state
 from tallyforge.streaming import alerts as SA
 from tallyforge.streaming import charges as SC
 from tallyforge.streaming import inventory as SI
-from tallyforge.streaming.log import compact
+from tallyforge.streaming.table import current, write_changes
 from tallyforge.workload.adapters import encoded_alerts
 
 UTC = timezone.utc
@@ -52,14 +53,27 @@ def test_messages_to_spend(spark, messages, tmp_path):
     stream()             # restart from the checkpoint
     batch = B.cumulative_spend(B.interval_costs(spark.createDataFrame(messages, ALERT)))
     same(SA.current_spend(spark, table), batch)
-    assert state.read_versions(spark, table, SA.INTERVAL_COSTS).select("version").distinct().count() == 5
 
-    # a replayed batch replaces itself; a compacted table says the same
-    first = state.read_versions(spark, table, SA.INTERVAL_COSTS).where("version = 0").drop("version")
-    state.save_state(spark.createDataFrame(first.collect(), first.schema), table, 0)
-    same(SA.current_spend(spark, table), batch)
-    compact(spark, table, SA.INTERVAL_COSTS, B.interval_costs, str(tmp_path / "compacted"))
-    same(SA.current_spend(spark, str(tmp_path / "compacted")), batch)
+    # replaying the last batch, or writing an older one's values again, changes nothing
+    newest = max(int(p.name[11:]) for p in (tmp_path / "state").iterdir() if p.name.startswith("generation="))
+    last = spark.createDataFrame(B.interval_costs(spark.createDataFrame(messages, ALERT)).collect()[:5], SA.INTERVAL_COSTS)
+    for _ in range(2):
+        write_changes(last, table, newest, ["project_id", "interval_start"])
+        same(SA.current_spend(spark, table), batch)
+    # of each part at most two generations are left
+    kept = [(p.parent.name, p.name) for p in (tmp_path / "state").glob("generation=*/part=*")]
+    assert max(Counter(part for _, part in kept).values()) <= 2
+
+
+def test_unfinished_generations_are_not_read(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    table = str(tmp_path / "t")
+    write_changes(rows(("a", 1), ("b", 1)), table, 0, ["k"], parts=2)
+    write_changes(rows(("a", 2)), table, 1, ["k"], parts=2)
+    schema = rows(("a", 1)).schema
+    assert sorted(map(tuple, current(spark, table, schema).collect())) == [("a", 2), ("b", 1)]
+    (tmp_path / "t" / "generation=1" / "_SUCCESS").unlink()
+    assert sorted(map(tuple, current(spark, table, schema).collect())) == [("a", 1), ("b", 1)]
 
 
 def test_throttle_fires_once_per_week(spark, messages, tmp_path):
@@ -100,7 +114,8 @@ def test_hourly_charges_take_late_rows(spark, tmp_path):
         data = [(("p", "P"), ("Compute",), ("S", "text"), cost, (1.0, "hour"), ("202012",), start, start + timedelta(hours=1),
                  start + timedelta(hours=5), start.date()) for cost, start in rows]
         spark.createDataFrame(data, schemas.BILLING_EXPORT).coalesce(1).write.mode("append").parquet(source)
-        for kind, start_stream in (("exact", SC.stream_hourly_charges), ("window", SC.stream_windowed_charges)):
+        for kind, start_stream in (("exact", SC.stream_hourly_charges),
+                                   ("window", lambda *a: SC.stream_windowed_charges(*a, lateness="2 days"))):
             stream = spark.readStream.schema(schemas.BILLING_EXPORT).parquet(source)
             start_stream(stream, str(tmp_path / kind), str(tmp_path / f"{kind}-checkpoint")).awaitTermination()
 
