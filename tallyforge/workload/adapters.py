@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge import constants as C
@@ -328,24 +328,42 @@ def _page(zone_items):
     return F.to_json(F.struct(items.alias("items"))).alias("raw_json")
 
 
-def vm_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw inventory pages, one per snapshot row, with the API's document shape."""
+def _instance() -> Column:
+    """A machine as the API describes it; a second disk, if any, says nothing about the license."""
     url = lambda kind, name: F.concat(F.lit(f"{_API}/zones/"), F.col("zone"), F.lit(f"/{kind}/"), name)
     gpus = F.transform("accel", lambda a: F.struct(
         url("acceleratorTypes", a["type"]).alias("acceleratorType"), a["count"].alias("acceleratorCount")))
     licenses = F.when(F.col("license").isNotNull(), F.array(F.concat(F.lit(f"{_API}/global/licenses/"), F.col("license"))))
     disk = F.struct(F.col("first_disk_size").alias("diskSizeGb"), F.col("first_disk_kind").alias("kind"),
                     licenses.alias("licenses"))
-    instance = F.struct(
+    second = F.struct(F.lit("7").alias("diskSizeGb"), F.lit("compute#second").alias("kind"),
+                      F.array(F.lit(f"{_API}/global/licenses/of-the-second")).alias("licenses"))
+    disks = F.when(F.length("name") % 2 == 0, F.array(disk, second)).otherwise(F.array(disk))
+    return F.struct(
         F.col("vm_id").alias("id"), "name", "status", _rfc3339("created").alias("creationTimestamp"),
         _rfc3339("started").alias("lastStartTimestamp"), _rfc3339("last_stop", False).alias("lastStopTimestamp"),
-        url("machineTypes", F.col("machine_type")).alias("machineType"), F.array(disk).alias("disks"),
+        url("machineTypes", F.col("machine_type")).alias("machineType"), disks.alias("disks"),
         F.struct("preemptible").alias("scheduling"), F.when(F.size("accel") > 0, gpus).alias("guestAccelerators"))
+
+
+def vm_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw inventory pages, one per snapshot row, with the API's document shape."""
+    instance = _instance()
     no_warning = F.lit(None).cast("struct<code:string>")
     page = F.struct(no_warning.alias("warning"), F.array(instance).alias("instances"))
     return vm_snapshots(spark, sf_dir).select("project_id", "inventory_time", _page(page))
 
 
+def vm_listing(spark: SparkSession, sf_dir: str, machines: DataFrame, pages: int = 8) -> DataFrame:
+    """The machines as a listing at AS_OF: a few pages per project, each with many machines in many zones."""
+    no_warning = F.lit(None).cast("struct<code:string>")
+    by_zone = machines.withColumn("page", F.pmod(F.xxhash64("vm_id"), F.lit(pages))).groupBy("project_id", "page", "zone").agg(
+        F.struct(no_warning.alias("warning"), F.collect_list(_instance()).alias("instances")).alias("scope"))
+    items = F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("zones/"), F.col("zone")), "scope")))
+    return by_zone.groupBy("project_id", "page").agg(F.to_json(F.struct(items.alias("items"))).alias("raw_json")).select(
+        "project_id", F.lit(AS_OF).cast("timestamp").alias("inventory_time"), "raw_json")
+
+
 def machine_type_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Type descriptions as landed: one per snapshot, so each comes many times."""
     zone = F.concat(F.lit(f"{_API}/zones/"), F.col("zone"))

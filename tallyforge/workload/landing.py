@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tallyforge.operators import inventory as I
 from tallyforge.operators import lookup as L
 from tallyforge.operators.prices import flatten_skus
+from tallyforge.plans.inventory import inventory_state
 from tallyforge.plans.price_tables import STEPS, build_price_tables
 from tallyforge.session import scratch_path
 from tallyforge.workload import adapters as A
@@ -58,10 +59,26 @@ def billing_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed(spark, sf_dir, "billing-export", lambda: A.billing_export(spark, sf_dir).repartition("export_date"), ("export_date",))
 
 
-def listed_vms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Machines that a listing of the last two days shows."""
-    seen = F.col("inventory_time").between(F.lit(A.AS_OF - timedelta(days=2)), F.lit(A.AS_OF))
-    return A.vm_snapshots(spark, sf_dir).where(seen).select("project_id", "vm_id").distinct()
+def vm_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "vm-pages", lambda: A.vm_pages(spark, sf_dir))
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of the machines polled in the last two days, as one listing."""
+    since = F.col("inventory_time") >= F.lit(A.AS_OF - timedelta(days=2))
+    return landed(spark, sf_dir, "listing", lambda: A.vm_listing(spark, sf_dir, I.latest_vms(A.vm_snapshots(spark, sf_dir).where(since), A.AS_OF)))
+
+
+def machine_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return landed(spark, sf_dir, "machine-types", lambda: A.machine_type_records(spark, sf_dir))
+
+
+def listed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state of three days ago brought up to date by the listing."""
+    before = I.latest_vms(A.vm_snapshots(spark, sf_dir), A.AS_OF - timedelta(days=3))
+    enabled = A.project_settings(spark, sf_dir).where("compute_enabled")
+    return landed(spark, sf_dir, "listed-state", lambda: inventory_state(
+        before, listing(spark, sf_dir), machine_types(spark, sf_dir), enabled))
 
 
 def current_vms(spark: SparkSession, sf_dir: str) -> DataFrame:

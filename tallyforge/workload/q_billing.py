@@ -16,7 +16,7 @@ from tallyforge.sources.exports import scan_billing_export
 from tallyforge.sources.sinks import write_cost_log
 from tallyforge.workload import adapters as A
 from tallyforge.workload.oracle_base import NOW, OF_RUN, ts
-from tallyforge.workload.landing import billing_export, current_vms, listed_vms
+from tallyforge.workload.landing import billing_export, current_vms, listed_state
 from tallyforge.workload.q_lookup import UNPRICED_SQL, inputs
 from tallyforge.workload.registry import query, rounded
 
@@ -259,7 +259,7 @@ def _run(spark: SparkSession, sf_dir: str, estimate_only: bool = False) -> dict[
     """The tables of one run, made once per session and read by a query each."""
     key = (spark.sparkContext.applicationId, sf_dir, estimate_only)
     if key not in _RUNS:
-        i = replace(inputs(spark, sf_dir), listed_vms=listed_vms(spark, sf_dir))
+        i = replace(inputs(spark, sf_dir), vms=listed_state(spark, sf_dir))
         _RUNS[key] = budget.control_run(i, A.AS_OF, LIMITS, scratch_path(spark, "control"), 1, estimate_only=estimate_only)
     return _RUNS[key]
 

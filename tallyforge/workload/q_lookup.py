@@ -13,7 +13,7 @@ from tallyforge.operators import inventory as I
 from tallyforge.operators import lookup as L
 from tallyforge.plans import budget
 from tallyforge.workload import adapters as A
-from tallyforge.workload.landing import billing_export, current_vms, price_cards, price_tables
+from tallyforge.workload.landing import billing_export, current_vms, listed_state, price_cards, price_tables
 from tallyforge.workload.oracle_base import NOW, ts
 from tallyforge.workload.registry import query, rounded
 
@@ -151,6 +151,19 @@ def upsert_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.upsert_disks(known, listed).select("project_id", "disk_id", "size_gb", "created")
 
 
+@query("inventory_state", f"""SELECT project_id, vm_id, status, zone, machine_type, license, cpus, CAST(memory_mb AS INTEGER) AS memory_mb,
+  first_disk_size, {ts('started')}, strftime(inventory_time, '%Y-%m-%d %H:%M:%S') AS inventory_time FROM (
+  SELECT * REPLACE ({NOW} AS inventory_time) FROM vms WHERE inventory_time >= {NOW} - INTERVAL 2 DAY
+  UNION ALL BY NAME SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY project_id, vm_id ORDER BY inventory_time DESC) AS rn
+    FROM snapshots_flat WHERE inventory_time <= {NOW} - INTERVAL 3 DAY)
+    WHERE rn = 1 AND project_id NOT IN (SELECT project_id FROM settings_flat WHERE compute_enabled)
+    AND (project_id, vm_id) NOT IN (SELECT (project_id, vm_id) FROM vms WHERE inventory_time >= {NOW} - INTERVAL 2 DAY))""")
+def inventory_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages to machines with sizes, merged into the state of three days ago, pruned by the listing."""
+    return listed_state(spark, sf_dir).select("project_id", "vm_id", "status", "zone", "machine_type", "license", "cpus", "memory_mb",
+                                              "first_disk_size", "started", "inventory_time")
+
+
 @query("prune_vms", f"""SELECT v.project_id, v.vm_id FROM vms AS v JOIN settings_flat AS s ON s.project_id = v.project_id
   WHERE NOT s.compute_enabled OR EXISTS (SELECT 1 FROM snapshots_flat AS c WHERE c.project_id = v.project_id
     AND c.vm_id = v.vm_id AND c.inventory_time <= {NOW} AND c.inventory_time > {NOW} - INTERVAL 2 DAY)""")

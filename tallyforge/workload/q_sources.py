@@ -13,7 +13,7 @@ from tallyforge.plans.price_tables import STEPS, all_prices, build_price_tables
 from tallyforge.session import scratch_path
 from tallyforge.sources import alerts, exports, inventory, mappings, sinks, state
 from tallyforge.workload import adapters as A
-from tallyforge.workload.landing import billing_export, sku_export
+from tallyforge.workload.landing import billing_export, sku_export, vm_pages
 from tallyforge.workload.oracle_base import ts
 from tallyforge.workload.registry import query
 
@@ -60,7 +60,7 @@ _ACCEL_SQL = """array_to_string(list_filter([CAST(accel_1_count AS VARCHAR) || '
   AS INTEGER) AS num_gpu FROM snapshots_flat""")
 def flatten_vm_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     entry = lambda a: F.concat_ws(":", a["count"].cast("string"), a["zone"], a["type"])
-    vms = inventory.flatten_vm_inventory(A.vm_pages(spark, sf_dir))
+    vms = inventory.flatten_vm_inventory(vm_pages(spark, sf_dir))
     return vms.withColumn("accel", F.array_join(F.transform("accel", entry), ","))
 
 
