@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,9 +60,3 @@ def _checked(field: T.StructField) -> Column:
         return c
     failure = F.raise_error(F.lit(f"REQUIRED column {field.name} is empty")).cast(field.dataType)
     return F.when(c.isNull(), failure).otherwise(c)
-
-
-def missing_required(raw: DataFrame, schema: T.StructType) -> DataFrame:
-    """Rows that lack a REQUIRED value, for a load that reports instead of failing."""
-    checks = [F.col(f.name).isNull() for f in schema if not f.nullable]
-    return raw.where(reduce(Column.__or__, checks, F.lit(False)))

@@ -26,6 +26,8 @@ def _values(text: str, columns: str) -> str:
     return f"SELECT * FROM (VALUES {', '.join(rows)}) AS m({columns})"
 
 
+# The fragments and patterns of price descriptions, as in constants.py, spelled for this dialect here and in
+# the price relations below.
 REGULAR = "NOT regexp_matches(description, 'Sole Tenancy|Proxy Instance Charge|Upgrade Premium|Reserved|Commitment')"
 COMPUTE = "contains(service, 'Compute')"
 PREEMPTIBLE = "contains(description, 'reemptible') AS preemptible"

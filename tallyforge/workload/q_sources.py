@@ -124,18 +124,16 @@ def write_price_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.write_price_table(P.cpu_pricing(sku_export(spark, sf_dir)), scratch_path(spark, "cpu-pricing"))
 
 
-@query("save_state", f"""SELECT project_id, {ts('interval_start')}, cost, budget, {ts('event_time')}, message_id FROM (
-  SELECT *, row_number() OVER (PARTITION BY project_id, interval_start ORDER BY event_time DESC, message_id DESC) AS rn
-  FROM alerts_flat WHERE event_time < TIMESTAMP '1999-01-01' OR CAST(substr(project_id, 6) AS INT) % 2 = 0) WHERE rn = 1""")
+@query("save_state", f"""SELECT project_id, {ts('interval_start')}, cost + CASE WHEN CAST(substr(project_id, 6) AS INT) % 2 = 0
+  THEN 1 ELSE 0 END AS cost, budget, {ts('event_time')}, message_id FROM interval_cost""")
 def save_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two saves: all projects early on, then the even ones again; each keeps its newest."""
+    """Two saves: all projects, then the even ones again a little dearer; each project keeps its newest."""
     path = scratch_path(spark, "budget-state")
-    messages = A.budget_alerts(spark, sf_dir)
-    early = B.interval_costs(messages.where("event_time < TIMESTAMP '1999-01-01'"))
-    even = B.interval_costs(messages.where("CAST(substr(project_id, 6) AS INT) % 2 = 0"))
-    state.save_state(early, path, 1)
-    state.save_state(even, path, 2)
-    return state.load_state(spark, path, early.schema)
+    rows = B.interval_costs(A.budget_alerts(spark, sf_dir))
+    even = F.substring("project_id", 6, 10).cast("int") % 2 == 0
+    state.save_state(rows, path, 1)
+    state.save_state(rows.where(even).withColumn("cost", F.col("cost") + 1), path, 2)
+    return state.load_state(spark, path, rows.schema)
 
 
 @query("load_state", f"""SELECT project_id, strftime(interval_start, '%Y-%m') AS interval_start, cost,
