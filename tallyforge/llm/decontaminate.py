@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import text_keys as K
-from tallyforge.llm.columns import col, parts_for
+from tallyforge.llm.columns import col, parts_for, short_batches
 
 MIN_WORDS = 5
 MAX_EDITS = 0.2
@@ -202,6 +202,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                items_per_pass: int = 20_000) -> DataFrame:
     """Per document and item found in it: the best window (start_word, n_words), item_words and edits."""
     rows = docs.select(col(id_col).cast("long").alias("doc_id"), F.lower(F.coalesce(col(text_col), F.lit(""))).alias("text"))
+    short_batches(docs.sparkSession)
     found = docs.sparkSession.createDataFrame([], FOUND)
     for index in indexes(benchmark, item_col, item_text_col, max_edits, items_per_pass):
 
@@ -223,6 +224,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
                item_text_col: str = "text", max_edits: float = MAX_EDITS, items_per_pass: int = 20_000) -> DataFrame:
     """The rows without any item, columns unchanged; texts are judged where they are scanned."""
     kept, schema = docs, docs.schema
+    short_batches(docs.sparkSession)
     at = schema.names.index(text_col)
     for index in indexes(benchmark, item_col, item_text_col, max_edits, items_per_pass):
 

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import col
+from tallyforge.llm.columns import col, short_batches
 from tallyforge.session import settle
 
 # Kinds of elements in HTML.
@@ -191,6 +191,7 @@ def importance(nodes: DataFrame, weight: float = 0.9) -> DataFrame:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8,
             min_importance: float = 0.2) -> DataFrame:
     """page_id, url, text, n_chars for every page."""
+    short_batches(pages.sparkSession)
     html = F.coalesce(col(html_col), F.lit(""))
     rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), html.alias("html"),
                         F.xxhash64(col(id_col), col(url_col), html).alias("page_key"), host_of(col(url_col)).alias("host"))

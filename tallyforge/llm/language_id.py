@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import col, id_and_text
+from tallyforge.llm.columns import col, id_and_text, short_batches
 
 UNKNOWN = "und"
 MIN_MARGIN = 0.01
@@ -111,6 +111,7 @@ def keep_identified(docs: DataFrame, model: list[tuple[str, bytes]], text_col: s
                     min_margin: float = MIN_MARGIN, level: int = LEVEL) -> DataFrame:
     """The rows whose language is clear, columns unchanged; texts are judged where they are scanned."""
     names = docs.schema
+    short_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classify = Classifier(model, level)

@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: Everything in ASCII but letters and digits.
@@ -29,7 +29,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of a base and of its inverse modulo 2**64."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, 1 << 16)
+        size = max(n, 1 << 19)
         base = _BASES[which]
         both = []
         for b in (base, pow(base, -1, 2**64)):

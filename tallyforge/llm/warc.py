@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import col, parts_for
+from tallyforge.llm.columns import col, parts_for, short_batches
 from tallyforge.session import scratch_path, settle
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
@@ -108,6 +108,7 @@ class ArchiveWriter:
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
                   min_bytes: int = 0) -> DataFrame:
     """page_id, url, html, first_id, repeated. Payloads are told apart by SHA-256, as SHA-1 can be forged."""
+    short_batches(pages.sparkSession)
     html = F.coalesce(col(html_col), F.lit(""))
     rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), html.alias("html"),
                         F.when(F.octet_length(html) >= min_bytes, F.sha2(html, 256)).alias("content"))
