@@ -32,6 +32,8 @@ LEVEL = 6
 TRAIN_TEXTS = 200
 TRAIN_CHARS = (200, 20_000)
 DICTIONARY_BYTES = 100 << 10
+#: A text below so many bytes is encoded so many times over: an encoder stores tiny inputs as they are, which tells nothing.
+SHORT_BYTES, REPEATS = 200, 8
 PREDICTED = "doc_id long, lang_pred string, score double, rejected boolean"
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -101,6 +103,8 @@ class Classifier:
         if not words.strip() or not self.encoders:
             return UNKNOWN, 0.0
         raw = words.encode("utf-8", "surrogatepass")
+        if len(raw) < SHORT_BYTES:
+            raw *= REPEATS
         sizes = [len(encoder.compress(raw)) for _, encoder in self.encoders]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = sizes[:best] + sizes[best + 1:]

@@ -71,6 +71,18 @@ def test_language_id_learns_and_defines_odd_texts(spark):
     assert {r.doc_id for r in kept.collect()} == {i for i, *_ in _language_rows()} | {None}
 
 
+def test_short_texts_are_told_apart():
+    import pyarrow.dataset as ds
+
+    t = ds.dataset("/root/testdata/sf0.01/documents.parquet").to_table().to_pylist()
+    languages = sorted({r["lang"] for r in t})
+    model = [(lang, "".join(language_id.letters_only(r["text"]) for r in t if r["lang"] == lang and r["doc_id"] % 2)[-100_000:].encode())
+             for lang in languages]
+    classify = language_id.Classifier(model)
+    short = [r for r in t if r["doc_id"] % 2 == 0 and 8 <= len(r["text"]) < 60]
+    assert len(short) > 3 and sum(classify(r["text"])[0] == r["lang"] for r in short) >= 0.8 * len(short)
+
+
 def test_language_id_without_any_label(spark):
     docs = spark.createDataFrame([(1, "some text", None, None, None)], SCHEMA)
     from pyspark.sql import functions as F

@@ -34,7 +34,7 @@ def test_article_without_its_surroundings(spark):
 
 
 def test_boxes_that_a_site_repeats_go_and_running_text_stays(spark):
-    box = '<div class="promo2x"><p>Same offer on every page</p></div>'
+    box = '<div class="offer-of-us"><p>Same offer on every page</p></div>'
     rows = [page(i, ARTICLE.replace("Three", f"Number {i}").format(box=box)) for i in range(12)]
     rows += [page(100, ARTICLE.format(box=box), host="single.example")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, x string")
