@@ -6,7 +6,7 @@ distance, two positions that far apart; so two equal windows, wherever they
 start, share an anchor at covered positions of both within their first
 ``PERIOD`` words. Only anchors are exchanged at first; only windows around
 repeated anchors are then extended to their full length and exchanged by a
-128-bit key. Words of repeated windows are removed.
+96-bit key. Words of repeated windows are removed.
 
 Both exchanges combine equal keys per task and block first (see ``exchange``),
 so a passage that a third of all documents share costs each task one row.
@@ -89,10 +89,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         raise ValueError(f"windows shorter than {PERIOD} words need a smaller period")
     rows = id_and_text(docs, id_col, text_col)
     blocks = X.block_count(text_bytes(rows, "text"), block_bytes)
+    buckets = X.bucket_count(blocks)
     none = lambda keys: np.zeros(len(keys), dtype=np.uint64)
 
     def send_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = X.Sender(blocks, common)
+        sender = X.Sender(buckets, common)
         for batch in batches:
             block = batch.column(0).to_numpy()
             for first, _, _, _, _, bounds, words in _words(batch.column(1)):
@@ -102,7 +103,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
         yield from sender.flush()
 
     def send_windows(pieces) -> Iterator[pa.RecordBatch]:
-        sender, sorted_keys = X.Sender(blocks, common), X.Known()
+        sender, sorted_keys = X.Sender(buckets, common, by_block=True), X.Known()
         for part, got in pieces:
             known = sorted_keys(got)
             block = part.column(0).to_numpy()
@@ -111,7 +112,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                 if len(at):
                     second = K.word_codes(data, starts, ends, which=1)
                     text = np.searchsorted(bounds, at, side="right") - 1
-                    yield from sender.add(K.range_codes(words, at, at + window), K.range_codes(second, at, at + window, which=1), block[first + text])
+                    yield from sender.add(K.range_codes(words, at, at + window), K.range_codes(second, at, at + window, which=1) >> np.uint64(32), block[first + text])
         yield from sender.flush()
 
     def cut(pieces) -> Iterator[pa.RecordBatch]:
@@ -136,7 +137,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
                     names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])
 
     dealt = rows.select(X.block_of(blocks).alias("block"), "text").mapInArrow(send_anchors, X.SENT)
-    repeated_anchors = settle(X.repeated(dealt, blocks), "repeated-anchors")
+    repeated_anchors = settle(X.repeated(dealt, buckets), "repeated-anchors")
     windows = X.at_blocks(rows, repeated_anchors, blocks, send_windows, X.SENT)
-    repeated_windows = settle(X.repeated(windows, blocks), "repeated-windows")
+    repeated_windows = settle(X.repeated(windows, buckets), "repeated-windows")
     return X.at_blocks(rows, repeated_windows, blocks, cut, RESULT)

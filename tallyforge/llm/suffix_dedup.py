@@ -195,7 +195,7 @@ def covered_sides(group: np.ndarray, around: np.ndarray, left: np.ndarray, right
 class Gatherer:
     """Packs anchors and their surroundings for the holders of their k-mers, equal surroundings once."""
 
-    def __init__(self, buckets: int, flush_rows: int = 100_000):
+    def __init__(self, buckets: int, flush_rows: int = 50_000):
         self.buckets, self.flush_rows, self.held, self.n = buckets, flush_rows, [], 0
 
     def add(self, keys, around: Surroundings, doc, pos, rows, block) -> Iterator[pa.RecordBatch]:
@@ -290,8 +290,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = id_and_text(docs, id_col, text_col)
     blocks = X.block_count(text_bytes(rows, "text"), block_bytes)
 
+    buckets = X.bucket_count(blocks)
+
     def send_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sender = X.Sender(blocks, common)
+        sender = X.Sender(buckets, common)
         for batch in batches:
             block = batch.column(0).to_numpy()
             for first, data, offsets in K.text_buffers(batch.column(1)):
@@ -301,7 +303,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield from sender.flush()
 
     def gather(pieces) -> Iterator[pa.RecordBatch]:
-        gatherer, known = Gatherer(blocks), X.Known()
+        gatherer, known = Gatherer(buckets), X.Known()
         for part, got in pieces:
             block, ids = part.column(0).to_numpy(), _ids(part)
             for first, data, offsets in K.text_buffers(part.column(4)):
@@ -390,9 +392,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     names=[f.split()[0] for f in RESULT.split(", ")])
 
     keyed = rows.select(X.block_of(blocks).alias("block"), "text").mapInArrow(send_keys, X.SENT)
-    repeated = settle(X.repeated(keyed, blocks, entries), "repeated-kmers")
+    repeated = settle(X.repeated(keyed, buckets, entries), "repeated-kmers")
     gathered = X.at_blocks(rows, repeated.filter("block >= 0"), blocks, gather, GATHERED)
-    answers = settle(gathered.repartition(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, X.ANSWERED), "covered-classes")
+    answers = settle(gathered.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(judge, X.ANSWERED), "covered-classes")
     common_kmers = repeated.filter("block < 0")
     if not common_kmers.isEmpty():
         found = settle(X.at_blocks(rows, common_kmers, blocks, strings, WINDOWS), "strings")
