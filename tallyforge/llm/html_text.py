@@ -1,16 +1,23 @@
 """Main text of web pages by a site style tree.
 
-The pages of a host are merged into one tree of style nodes, each named by its
-path of tags with their classes and ids. Two entropies tell template from
-content: how much a node's inner structure varies over its pages (presentation),
-and how rarely its texts repeat (content). A branch that is shared by enough
-pages and scores low is removed from each of them; inside an article only boxes
-are, never its running text. Elements that are not article by their nature
-(menus, footers, forms, scripts, adverts, comments) go in any case.
+The pages of a host are merged into one tree of style nodes. Every element and
+every run of text is one, named by its path of tags with their classes and ids,
+equal siblings by their number. Two entropies tell template from content: how
+much a node's inner structure varies over its pages (presentation), and how
+rarely its texts repeat (content). A branch that is shared by enough pages goes
+from each of them if it scores low and nothing below it scores high. Inside an
+article only boxes and their parts go, never its running text; what holds an
+article stays. Text outside a marked article is kept where the tree finds it to
+be content. Elements that are not article by their nature or name (menus,
+footers, forms, scripts, adverts, comments) are in the tree as well, and go in
+any case. A path on fewer than ``min_pages`` pages of its host is not judged:
+there natures, names and the marked article decide alone.
 
 The tree is counted by partial aggregates over (host, path, value), so a host
 with a third of all pages is spread like any other; what comes back to a page is
-the list of its own removable paths.
+the list of its own judged paths. Equal pages of a host count once. Nodes whose
+score cannot matter (roots, an article's running text outside boxes) are not
+counted.
 
 Defined cases: null or empty html gives an empty text; a null or unparsable url
 is a host of its own name; broken markup is closed where HTML would; rows
@@ -40,7 +47,9 @@ BLOCKS = frozenset("address article aside blockquote body caption center dd deta
                    "footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody "
                    "tfoot thead title tr ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-BOXES = frozenset("div section ul ol dl table figure aside details".split())
+#: What stays whatever its score, and what else of an article does: its headlines and running text.
+ROOTS = frozenset("html body article main".split())
+RUNNING = HEADINGS | frozenset("p pre blockquote header".split())
 #: A start tag of a key's kind ends an open element of the given kinds.
 ENDS_OPEN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
              "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
@@ -51,29 +60,62 @@ NOISE_WORDS = re.compile(
     r"reply|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widgets?|toolbar)"
     r"(?=$|[\s_-])", re.I)
 
-NODES = "page_key long, host string, path string, style long, contents array<long>"
+NODES = "page_key long, host string, path long, style long, contents array<long>"
+#: A hot path's judgement is dealt to so many parts of its pages.
+SALTS = 32
 _PARAGRAPH_END = BLOCKS - {"html", "body"}
 
 
 class Page(HTMLParser):
-    """Text blocks of a page in order, without noise, each with the element paths above it."""
+    """Text blocks of a page in order, each with the nodes above it, and the tree of all nodes."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, str, bool]] = []      # tag, path, noise
-        self.blocks: list[tuple[str, tuple[str, ...], bool]] = []         # text, paths, in article
-        self.children: dict[str, list[str]] = {}
+        self.stack: list[tuple[str, int, bool]] = []      # tag, path, noise
+        self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []   # text, paths, in article, noise
+        self.children: dict[int, dict[str, int]] = {}
+        self.order: dict[int, list[str]] = {}
+        self.nodes: dict[int, tuple[int, bool]] = {}      # path above, whether the node may go; in document order
+        self.holders: set[int] = set()                    # nodes that hold an article
         self.parts: list[str] = []
+        self.noise_parts: list[str] = []
         self.articles = 0
         self.found_article = False
 
-    def _flush(self) -> None:
-        text = " ".join("".join(self.parts).split())
-        self.parts = []
+    def _node(self, above: int, sign: str, may_go: bool) -> int:
+        """The path of a new child, told apart from equal ones before it."""
+        same = self.children.setdefault(above, {})
+        same[sign] = nth = same.get(sign, 0) + 1
+        self.order.setdefault(above, []).append(sign)
+        path = xxhash.xxh64_intdigest(f"{above}/{sign}:{nth}") - (1 << 63)
+        self.nodes[path] = (above, may_go)
+        return path
+
+    def _block(self, parts: list[str], above: list[tuple[str, int, bool]], noise: bool) -> None:
+        text = " ".join("".join(parts).split())
         if text:
-            self.blocks.append((text, tuple(p for _, p, _ in self.stack), self.articles > 0))
+            inside = self.articles > 0
+            leaf = self._node(above[-1][1] if above else 0, "#text", not inside)
+            self.blocks.append((text, (*(p for _, p, _ in above), leaf), inside, noise))
+
+    def _flush_noise(self) -> None:
+        if self.noise_parts:
+            self._block(self.noise_parts, self.stack, True)
+            self.noise_parts = []
+
+    def _flush(self) -> None:
+        self._flush_noise()
+        if self.parts:
+            # noise inside a line is not above the line's text
+            end = len(self.stack)
+            while end and self.stack[end - 1][2]:
+                end -= 1
+            self._block(self.parts, self.stack[:end], False)
+            self.parts = []
 
     def _pop(self) -> None:
+        if self.stack[-1][2]:
+            self._flush_noise()
         tag, _, noise = self.stack.pop()
         if tag in ("article", "main") and not noise:
             self.articles -= 1
@@ -91,7 +133,7 @@ class Page(HTMLParser):
         if tag in BLOCKS:
             self._flush()
         elif tag in ("br", "td", "th"):
-            self.parts.append(" ")
+            (self.noise_parts if self.stack and self.stack[-1][2] else self.parts).append(" ")
         if tag in VOID:
             return
         if tag in _PARAGRAPH_END:
@@ -100,7 +142,7 @@ class Page(HTMLParser):
             self._close_open(ENDS_OPEN[tag], frozenset(("ul", "ol", "dl", "table", "select")) - {tag})
         given = {k: v or "" for k, v in attrs}
         names = f"{given.get('class', '')} {given.get('id', '')}".strip()
-        above = self.stack[-1] if self.stack else ("", "", False)
+        above = self.stack[-1] if self.stack else ("", 0, False)
         inside = self.articles > 0
         noise = (above[2] or tag in NOISE_TAGS or given.get("role", "").lower() in NOISE_ROLES or "hidden" in given
                  or given.get("aria-hidden") == "true" or bool(names) and tag not in ("html", "body", "article", "main")
@@ -108,10 +150,11 @@ class Page(HTMLParser):
         if above[2] and tag in HEADINGS and inside and any(t == "header" for t, _, _ in self.stack):
             noise = False                                  # an article's own heading
         sign = ".".join([tag, *sorted(given.get("class", "").split())]) + (f"#{given['id']}" if given.get("id") else "")
-        path = f"{above[1]}/{sign}"
-        self.children.setdefault(above[1], []).append(sign)
+        path = self._node(above[1], sign, tag not in ROOTS and (not inside or tag in BLOCKS and tag not in RUNNING))
         self.stack.append((tag, path, noise))
         if tag in ("article", "main") and not noise:
+            if not inside:
+                self.holders.update(p for _, p, _ in self.stack)
             self.articles += 1
             self.found_article = True
 
@@ -132,6 +175,8 @@ class Page(HTMLParser):
         # noise may stand inside a line of text, as a script or a button does
         if not (self.stack and self.stack[-1][2]):
             self.parts.append(data)
+        elif self.stack[-1][0] not in ("script", "style"):
+            self.noise_parts.append(data)
 
     def close(self) -> None:
         super().close()
@@ -145,26 +190,30 @@ def parsed(html: str) -> Page:
     return page
 
 
-def is_box(path: str) -> bool:
-    """Branches that a page may lose: boxes, not running text."""
-    return path.rpartition("/")[2].partition(".")[0].partition("#")[0] in BOXES
-
-
-def style_nodes(page: Page) -> dict[str, tuple[int, list[int]]]:
-    """For each removable box of a page: a hash of its structure, and hashes of the texts below it."""
-    texts: dict[str, set[int]] = {}
-    for text, paths, _ in page.blocks:
-        h = xxhash.xxh64_intdigest(text) - (1 << 63)
-        for p in paths:
-            if is_box(p):
-                texts.setdefault(p, set()).add(h)
-    return {p: (xxhash.xxh64_intdigest(" ".join(dict.fromkeys(page.children.get(p, [])))) - (1 << 63), sorted(t)) for p, t in texts.items()}
-
-
-def main_text(page: Page, low: set[str]) -> str:
-    """The page's blocks without noise and low-importance branches; those of its article, if it marks one."""
-    return "\n".join(text for text, paths, inside in page.blocks
-                     if (inside or not page.found_article) and not (low and any(p in low for p in paths)))
+def style_nodes(page: Page) -> dict[int, tuple[int, list[int]]]:
+    """For each node whose score matters: a hash of its structure, and hashes of the texts below it."""
+    matters: dict[int, bool] = {0: False}
+    for path, (above, may_go) in page.nodes.items():
+        matters[path] = matters[above] or may_go and path not in page.holders
+    texts: dict[int, set[int]] = {}
+    for text, paths, _, _ in page.blocks:
+        if matters[paths[-1]]:
+            h = xxhash.xxh64_intdigest(text) - (1 << 63)
+            for p in paths:
+                if matters[p]:
+                    texts.setdefault(p, set()).add(h)
+    return {p: (xxhash.xxh64_intdigest(" ".join(page.order.get(p, []))) - (1 << 63), sorted(t)) for p, t in texts.items()}
+
+
+def main_text(page: Page, low: set[int], high: set[int]) -> str:
+    """The page's blocks without noise and low-scoring branches; of what an article does not hold, the high-scoring ones."""
+    saved: set[int] = set()
+    for p in high:
+        while (p := page.nodes[p][0] if p in page.nodes else 0) and p not in saved:
+            saved.add(p)
+    gone = {p for p in low - saved - page.holders if p in page.nodes and page.nodes[p][1]}
+    return "\n".join(text for text, paths, inside, noise in page.blocks
+                     if not noise and (inside or not page.found_article or paths[-1] in high) and gone.isdisjoint(paths))
 
 
 def host_of(url):
@@ -193,30 +242,33 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """page_id, url, text, n_chars for every page."""
     short_batches(pages.sparkSession)
     html = F.coalesce(col(html_col), F.lit(""))
-    rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), html.alias("html"),
-                        F.xxhash64(col(id_col), col(url_col), html).alias("page_key"), host_of(col(url_col)).alias("host"))
+    rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), html.alias("html"), host_of(col(url_col)).alias("host"))
+    rows = rows.withColumn("page_key", F.xxhash64("host", "html"))
 
     def nodes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("page_key", pa.int64()), ("host", pa.string()), ("path", pa.string()), ("style", pa.int64()),
+        schema = pa.schema([("page_key", pa.int64()), ("host", pa.string()), ("path", pa.int64()), ("style", pa.int64()),
                             ("contents", pa.list_(pa.int64()))])
         for batch in batches:
             out = [{"page_key": k, "host": h, "path": p, "style": s, "contents": c}
                    for k, h, x in zip(*(c.to_pylist() for c in batch.columns)) for p, (s, c) in style_nodes(parsed(x)).items()]
             yield pa.RecordBatch.from_pylist(out, schema)
 
-    nodes = settle(rows.select("page_key", "host", "html").mapInArrow(nodes_of, NODES), "style-nodes")
-    low = (importance(nodes).filter((F.col("pages") >= min_pages) & (F.col("importance") < min_importance))
-           .select("host", "path"))
-    # the removable paths of a page are at most its own
-    of_page = (nodes.select("host", "path", "page_key").join(low, ["host", "path"]).groupBy("page_key")
-               .agg(F.collect_set("path").alias("low")))
+    # equal pages of a host say nothing about its template
+    nodes = settle(rows.select("page_key", "host", "html").mapInArrow(nodes_of, NODES).dropDuplicates(["page_key", "path"]), "style-nodes")
+    judged = settle(importance(nodes).filter(F.col("pages") >= min_pages)
+                    .select("host", "path", (F.col("importance") < min_importance).alias("is_low")), "style-tree")
+    # the judged paths of a page are at most its own
+    of_page = (nodes.select("host", "path", "page_key", F.pmod("page_key", F.lit(SALTS)).cast("int").alias("salt"))
+               .join(judged.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "path", "salt"])
+               .groupBy("page_key").agg(F.collect_list(F.when(F.col("is_low"), F.col("path"))).alias("low"),
+                                        F.collect_list(F.when(~F.col("is_low"), F.col("path"))).alias("high")))
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(parsed(x), set(gone or ())) for x, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+            texts = [main_text(parsed(x), set(low or ()), set(high or ())) for x, low, high in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     pages_type = rows.schema["page_id"].dataType.simpleString()
-    return (rows.join(of_page, "page_key", "left").select("page_id", "url", "html", "low")
+    return (rows.join(of_page, "page_key", "left").select("page_id", "url", "html", "low", "high")
             .mapInArrow(text_of, f"page_id {pages_type}, url string, text string, n_chars long"))

@@ -44,6 +44,29 @@ def test_boxes_that_a_site_repeats_go_and_running_text_stays(spark):
     assert got[100] == WANT.replace("é\na", "é\nSame offer on every page\na")
 
 
+def test_the_tree_decides_outside_articles_and_spares_what_holds_content(spark):
+    lead = '<div class="lead"><p>Lead {i}</p></div><div class="claim"><p>Our claim</p></div>'
+    rows = [page(i, lead.format(i=i) + f"<article><p>Story {i}</p></article>") for i in range(12)]
+    # no article marked: a frame of mostly template that holds one paragraph of content, siblings told apart
+    frame = '<div id="wrap">' + "".join(f"<p>Fixed line {k}</p>" for k in range(12)) + "<p>Only {i}</p></div>"
+    rows += [page(100 + i, frame.format(i=i), host="plain.example") for i in range(12)]
+    # equal pages of a host do not make their text a template, and few pages are not judged
+    rows += [page(200 + i, "<div><p>Copied</p></div>", host="copies.example") for i in range(12)]
+    rows += [page(300, lead.format(i=0) + "<article><p>Story</p></article>", host="few.example")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, x string")
+    got = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    assert got[3] == "Lead 3\nStory 3"
+    assert got[103] == "Only 3"
+    assert got[203] == "Copied" and got[300] == "Story"
+
+
+def test_every_given_page_has_judgeable_nodes():
+    import pyarrow.parquet as pq
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet").to_pylist()
+    assert pages and all(html_text.style_nodes(html_text.parsed(p["html"])) for p in pages if "<nav" in p["html"])
+
+
 # --- personal data -----------------------------------------------------------------
 
 PATTERNS = {
