@@ -9,8 +9,11 @@ The CGK embedding walks over a word sequence, writing the current word and
 moving on or not by a random bit of step and word. Two sequences a few edits
 apart fall back into step soon, so their walks differ in few places: edit
 distance becomes Hamming distance. A table samples a few places of one walk as
-its key; ``WALKS`` x ``SAMPLES`` tables together reach the target recall. A
-walk of an item's own number of steps never leaves the item, so one walk from a
+its key; ``WALKS`` x ``SAMPLES`` tables together reach the target recall. Walks
+go on for two steps a word, so they use the item up, and start at its first
+word as well as, backwards, at its last; the places of a table lie within a
+beginning of the walk of its own scale, from all of it down to ``LEAST_STEPS``
+steps, so edits may be spread or lie together anywhere. One walk from a
 window's start serves all windows that start there.
 
 Windows that share too few word pairs with all items are not walked: with k
@@ -40,7 +43,9 @@ from tallyforge.llm.columns import col, parts_for, short_batches
 
 MIN_WORDS = 5
 MAX_EDITS = 0.2
-WALKS, SAMPLES, PLACES = 10, 6, 4
+#: Tables in each direction, and the least beginning of a walk that a table samples.
+WALKS, SAMPLES, PLACES, LEAST_STEPS = 10, 6, 4, 6
+STEPS_PER_WORD = 2
 #: Items of one size class differ in length by this factor at most.
 CLASS_FACTOR = 1.25
 FOUND = "doc_id long, item_id long, start_word long, n_words long, item_words long, edits long"
@@ -83,7 +88,9 @@ class Walks:
         rng = np.random.default_rng(_SEED + steps)
         self.steps = steps
         self.seeds = rng.integers(1, 2**63, (WALKS, steps), dtype=np.uint64)
-        self.places = np.array([[np.sort(rng.choice(steps, min(PLACES, steps), replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
+        scale = np.log(max(1.0, steps / LEAST_STEPS))
+        lengths = np.maximum(PLACES, steps * np.exp(-rng.uniform(0, scale, (WALKS, SAMPLES)))).astype(np.int64)
+        self.places = [[np.sort(rng.choice(n, PLACES, replace=False)) for n in row] for row in lengths.tolist()]
 
     def keys(self, words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[np.ndarray]:
         """For every table the key of the walk from each start; past the end a walk writes nothing."""
@@ -129,36 +136,39 @@ class Index:
             low = min(lengths)
             # word pairs that the first ``low`` words of any match keep
             kept = max(1, low - 1 - 2 * max(self.limits[m] for m in members))
-            walks = Walks(low)
-            flat = np.concatenate([self.items[m][1] for m in members])
+            walks = Walks(STEPS_PER_WORD * low)
             ends = np.cumsum(lengths)
-            tables = []
-            for keys in walks.keys(flat, ends - lengths, ends):
-                order = np.argsort(keys, kind="stable")
-                tables.append((keys[order], np.array(members)[order]))
-            self.classes.append((low, kept, walks, tables))
+            ways = []
+            for way in (1, -1):
+                flat = np.concatenate([self.items[m][1][::way] for m in members])
+                tables = []
+                for keys in walks.keys(flat, ends - lengths, ends):
+                    order = np.argsort(keys, kind="stable")
+                    tables.append((keys[order], np.array(members, dtype=np.int32)[order]))
+                ways.append(tables)
+            self.classes.append((low, kept, walks, ways))
 
     @staticmethod
     def pairs(words: np.ndarray) -> np.ndarray:
         return K.mixed(words[:-1] * np.uint64(3) + words[1:])
 
-    def candidates(self, words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(start, item) of all windows that share a key with an item, each once."""
+    def candidates(self, words: np.ndarray, bounds: np.ndarray, way: int = 1) -> tuple[np.ndarray, np.ndarray]:
+        """(start, item) of all windows that share a key with an item, each once; -1: words, bounds and windows run backwards."""
         found = []
         if len(words) < 2 or not len(self.known_pairs):
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-        pairs = self.pairs(words)
+        pairs = self.pairs(words[::way])[::way]
         at = np.minimum(np.searchsorted(self.known_pairs, pairs), len(self.known_pairs) - 1)
         hits = np.concatenate([[0], np.cumsum(self.known_pairs[at] == pairs)])
         text_of = np.searchsorted(bounds, np.arange(len(words)), side="right") - 1
         stops = bounds[text_of + 1]
-        for low, kept, walks, tables in self.classes:
+        for low, kept, walks, ways in self.classes:
             begin = np.arange(len(words))
             # a match that loses words is shorter than the item: its pairs lie within the first low-1 ones all the same
             starts = np.flatnonzero(hits[np.minimum(begin + low - 1, len(pairs))] - hits[np.minimum(begin, len(pairs))] >= kept)
             if not len(starts):
                 continue
-            for keys, (table, members) in zip(walks.keys(words, starts, stops[starts]), tables):
+            for keys, (table, members) in zip(walks.keys(words, starts, stops[starts]), ways[way < 0]):
                 a, b = np.searchsorted(table, keys, side="left"), np.searchsorted(table, keys, side="right")
                 if (n := b - a).any():
                     found.append(np.stack([np.repeat(starts, n), members[np.repeat(a, n) + K.ranges(n)]]))
@@ -170,8 +180,15 @@ class Index:
     def matches(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item) to (edits, start, words) of its best window."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        starts, items = self.candidates(words, bounds)
-        for start, m in zip(starts.tolist(), items.tolist()):
+        candidates = set(zip(*(c.tolist() for c in self.candidates(words, bounds))))
+        # what is found from an item's end gives the start that fits it best
+        back, turned = words[::-1], len(words) - bounds[::-1]
+        for last, m in zip(*(c.tolist() for c in self.candidates(back, turned, -1))):
+            stop = int(turned[np.searchsorted(turned, last, side="right")])
+            edits, n = edit_distance(self.items[m][1][::-1], back[last:stop], self.limits[m])
+            if edits <= self.limits[m] and n:
+                candidates.add((len(words) - last - n, m))
+        for start, m in sorted(candidates):
             text = int(np.searchsorted(bounds, start, side="right")) - 1
             edits, end = edit_distance(self.items[m][1], words[start:bounds[text + 1]], self.limits[m])
             if edits <= self.limits[m]:

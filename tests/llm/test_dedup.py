@@ -253,6 +253,24 @@ def test_leaks_reach_the_target_recall_and_spare_the_rest(spark):
     assert decontaminate.find_leaks(docs, benchmark.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [15, 30, 59, 200])
+@pytest.mark.parametrize("part", ["anywhere", "evenly", "first half", "middle", "last half"])
+def test_recall_at_the_limit_by_length_and_place_of_edits(length, part):
+    rng = np.random.default_rng(length)
+    fresh = lambda n: rng.integers(1, 2**63, n, dtype=np.uint64)
+    items, limit, texts = [(i, fresh(length)) for i in range(60)], length // 5, []
+    low, high = {"first half": (0, length // 2), "middle": (length // 4, 3 * length // 4), "last half": (length // 2, length)}.get(part, (0, length))
+    for _, item in items:
+        places = [int((j + 0.5) * length / limit) for j in range(limit)] if part == "evenly" else rng.choice(np.arange(low, high), limit, replace=False)
+        words = item.tolist()
+        for at in sorted((int(p) for p in places), reverse=True):
+            words[at:at + 1] = [[], fresh(1).tolist(), [words[at], *fresh(1).tolist()]][rng.integers(3)]
+        texts.append(np.concatenate([fresh(30), np.array(words, dtype=np.uint64), fresh(length)]))
+    bounds = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found = decontaminate.Index(items, decontaminate.MAX_EDITS).matches(np.concatenate(texts), bounds)
+    assert all(t == m for t, m in found) and len(found) >= 0.97 * len(items)
+
+
 def test_text_runs_never_cut_a_text():
     import pyarrow as pa
 
