@@ -3,7 +3,8 @@
 An item is found in a document if some window of the document is within
 ``max_edits`` (a share of the item's words) word insertions, deletions and
 substitutions of it. Words are lower-cased runs of letters and digits, so
-punctuation, tables and line breaks between them do not matter.
+punctuation, tables and line breaks between them do not matter; in scripts
+without spaces every character is a word.
 
 The CGK embedding walks over a word sequence, writing the current word and
 moving on or not by a random bit of step and word. Two sequences a few edits
@@ -23,8 +24,11 @@ could match. Candidates are confirmed with the exact edit distance.
 The benchmark is read in chunks of ``items_per_pass`` items, whatever its size;
 a chunk's tables go to every task, the documents are never shuffled.
 
-Defined cases: null or empty texts hold nothing; items below ``MIN_WORDS`` words
-are too short to tell and match nothing; rows repeating an id or item are
+Items below ``MIN_WORDS`` words allow no edit at the default share; they are
+looked up as they are, whatever the share, by a key of the whole item.
+
+Defined cases: null or empty texts hold nothing, and items without words match
+nothing; rows repeating an id or item are
 reported once for each pair of rows.
 """
 
@@ -48,6 +52,9 @@ WALKS, SAMPLES, PLACES, LEAST_STEPS = 10, 6, 4, 6
 STEPS_PER_WORD = 2
 #: Items of one size class differ in length by this factor at most.
 CLASS_FACTOR = 1.25
+#: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and its compatibility and further planes: firsts and ends.
+UNSPACED = np.array([0x0E00, 0x10A0, 0x1780, 0x1800, 0x3005, 0x3008, 0x3040, 0x3100, 0x31F0, 0x3200, 0x3400, 0x4DC0,
+                     0x4E00, 0xA000, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x1B000, 0x1B170, 0x20000, 0x32000])
 FOUND = "doc_id long, item_id long, start_word long, n_words long, item_words long, edits long"
 _SEED = 20100
 
@@ -109,26 +116,61 @@ class Walks:
                 yield key
 
 
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``text_keys.words``; characters of scripts without spaces are words of their own."""
+    starts, ends, bounds = K.words(data, offsets, K.NOT_ALNUM)
+    at = np.flatnonzero(data >= 0xE0)                      # first bytes of three or four
+    if not len(at):
+        return starts, ends, bounds
+    b = [data[np.minimum(at + i, len(data) - 1)].astype(np.int64) & 0x3F for i in range(4)]
+    four = data[at] >= 0xF0
+    points = np.where(four, (b[0] & 0x07) << 18 | b[1] << 12 | b[2] << 6 | b[3], (b[0] & 0x0F) << 12 | b[1] << 6 | b[2])
+    alone = np.searchsorted(UNSPACED, points, side="right") % 2 == 1
+    cuts = np.unique(np.concatenate([at[alone], at[alone] + np.where(four[alone], 4, 3)]))
+    word = np.searchsorted(starts, cuts, side="right") - 1
+    cuts = cuts[(word >= 0) & (cuts > starts[word]) & (cuts < ends[word])]
+    starts, ends = np.sort(np.concatenate([starts, cuts])), np.sort(np.concatenate([ends, cuts]))
+    return starts, ends, np.searchsorted(starts, offsets)
+
+
 def item_words(texts: list[str]) -> list[np.ndarray]:
     column = pa.array([t.lower() for t in texts], pa.string())
     out: list[np.ndarray] = []
     for _, data, offsets in K.text_buffers(column):
-        starts, ends, bounds = K.words(data, offsets, K.NOT_ALNUM)
+        starts, ends, bounds = word_bounds(data, offsets)
         codes = K.word_codes(data, starts, ends)
         out += [codes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
     return out
 
 
+def run_keys(words: np.ndarray, n: int) -> np.ndarray:
+    """A key for each run of n words, by its start."""
+    count = max(0, len(words) - n + 1)
+    keys = np.full(count, n, dtype=np.uint64)
+    for i in range(n):
+        keys = K.mixed(keys ^ words[i:i + count]) * np.uint64(0x9E3779B97F4A7C15)
+    return keys
+
+
 class Index:
     """Tables over the items of one pass, by size class."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], max_edits: float):
-        self.items = [(i, w) for i, w in items if len(w) >= MIN_WORDS]
-        self.limits = [int(max_edits * len(w)) for _, w in self.items]
-        pairs = [self.pairs(w) for _, w in self.items]
+        # the short ones come last
+        self.items = sorted(((i, w) for i, w in items if len(w)), key=lambda r: len(r[1]) < MIN_WORDS)
+        self.short: list[tuple[int, np.ndarray, np.ndarray]] = []
+        for n in range(1, MIN_WORDS):
+            members = np.array([m for m, (_, w) in enumerate(self.items) if len(w) == n], dtype=np.int64)
+            if len(members):
+                keys = np.concatenate([run_keys(self.items[m][1], n) for m in members])
+                order = np.argsort(keys, kind="stable")
+                self.short.append((n, keys[order], members[order]))
+        long_items = [w for _, w in self.items if len(w) >= MIN_WORDS]
+        self.limits = [int(max_edits * len(w)) for w in long_items]
+        pairs = [self.pairs(w) for w in long_items]
         self.known_pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.uint64)
         by_class: dict[int, list[int]] = defaultdict(list)
-        for at, (_, w) in enumerate(self.items):
+        for at, w in enumerate(long_items):
             by_class[int(np.log(len(w)) / np.log(CLASS_FACTOR))].append(at)
         self.classes = []
         for members in by_class.values():
@@ -177,9 +219,26 @@ class Index:
         start, item = np.unique(np.concatenate(found, axis=1), axis=1)
         return start, item
 
+    def short_matches(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
+        """As ``matches``, the first place of each short item in each text."""
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        for n, table, members in self.short:
+            keys = run_keys(words, n)
+            a, b = np.searchsorted(table, keys, side="left"), np.searchsorted(table, keys, side="right")
+            starts = np.flatnonzero(b > a)
+            texts = np.searchsorted(bounds, starts, side="right") - 1
+            within = starts + n <= bounds[texts + 1]
+            starts, texts = starts[within], texts[within]
+            # equal items share a run of the table; its first stands for all of them
+            _, first = np.unique(np.stack([texts, a[starts]]), axis=1, return_index=True)
+            for start, text in zip(starts[first].tolist(), texts[first].tolist()):
+                for m in members[a[start]:b[start]].tolist():
+                    best[text, m] = (0, start - int(bounds[text]), n)
+        return best
+
     def matches(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item) to (edits, start, words) of its best window."""
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        best = self.short_matches(words, bounds)
         candidates = set(zip(*(c.tolist() for c in self.candidates(words, bounds))))
         # what is found from an item's end gives the start that fits it best
         back, turned = words[::-1], len(words) - bounds[::-1]
@@ -210,7 +269,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 def _text_words(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for first, data, offsets in K.text_buffers(batch_column):
-        starts, ends, bounds = K.words(data, offsets, K.NOT_ALNUM)
+        starts, ends, bounds = word_bounds(data, offsets)
         yield first, K.word_codes(data, starts, ends), bounds
 
 

@@ -271,6 +271,20 @@ def test_recall_at_the_limit_by_length_and_place_of_edits(length, part):
     assert all(t == m for t, m in found) and len(found) >= 0.97 * len(items)
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    chinese, thai, plane2 = "\u6625\u7720\u4e0d\u89ba\u66c9\u8655\u8655\u805e\u557c\u9ce5", "\u0e2a\u0e27\u0e31\u0e2a\u0e14\u0e35\u0e04\u0e23\u0e31\u0e1a", "\U00020001\U00020002"
+    items = [(1, "Forty-two"), (2, "forty two"), (3, "yes"), (4, "one of four words"), (5, ""), (6, None), (7, " - "), (8, chinese), (9, thai), (10, plane2)]
+    rows = [(1, "it is forty; TWO of them, forty two"), (2, "forty"), (3, "two"), (4, "yesterday"), (5, "say Yes"), (6, "one of the four words"),
+            (7, "so one of four words"), (8, "\u3042" + chinese[:4] + "\u4e00" + chinese[5:] + "\u3042"), (9, "abc" + thai + "def"),
+            (10, plane2[0]), (11, "x" + plane2), (12, chinese[:5]), (13, None), (14, "")]
+    docs = frame(spark, rows)
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    found = {(r.doc_id, r.item_id): (r.start_word, r.n_words, r.item_words, r.edits) for r in decontaminate.find_leaks(docs, benchmark).collect()}
+    assert found == {(1, 1): (2, 2, 2, 0), (1, 2): (2, 2, 2, 0), (5, 3): (1, 1, 1, 0), (7, 4): (1, 4, 4, 0), (8, 8): (1, 10, 10, 1),
+                     (9, 9): (1, 10, 10, 0), (11, 10): (1, 2, 2, 0)}
+    assert {r.doc_id for r in decontaminate.drop_leaks(docs, benchmark).collect()} == {2, 3, 4, 6, 10, 12, 13, 14}
+
+
 def test_text_runs_never_cut_a_text():
     import pyarrow as pa
 
