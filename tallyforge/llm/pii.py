@@ -76,7 +76,7 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
     if "@" in text:
         out["email"] = emails(text)
     if _DIGIT.search(text):
-        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split("."))]
+        out["ip"] = [m.span() for m in _IP.finditer(text) if all(len(p := part.lstrip("0")) <= 3 and int(p or "0") <= 255 for part in m[0].split("."))]
         for m in _CARD.finditer(text):
             digits = m[0].replace(" ", "").replace("-", "") if 16 <= m.end() - m.start() <= 37 else ""
             if 16 <= len(digits) <= 19 and luhn(digits):

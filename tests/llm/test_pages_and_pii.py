@@ -98,6 +98,12 @@ def test_fixed_kinds_equal_the_patterns(spark):
     assert pii.find_pii(docs.limit(0)).count() == 0
 
 
+def test_an_address_part_may_have_thousands_of_digits():
+    zeros = "0" * 5000
+    for text, found in ((f"{zeros}1.2.3.{zeros}", True), (f"1.2.3.{zeros}256", False), ("9" * 5000 + ".2.3.4", False)):
+        assert pii.base_spans(text)["ip"] == ([(0, len(text))] if found else [])
+
+
 def test_contexts_of_seeds_find_unseen_identifiers(spark):
     rows = [(i, f"some words {i}. please write to user{i}@mail.example at once or wait") for i in range(12)]
     rows += [(100, "please write to user_77x#mail or else"), (101, "please write to agent77x at once"), (102, "the year 1999abc of nothing special")]
