@@ -104,7 +104,7 @@ class Walks:
         for walk in range(WALKS):
             at = starts.copy()
             written = np.empty((self.steps, len(starts)), dtype=np.uint64)
-            for step in range(self.steps):
+            for step in range(1 + max(int(sample[-1]) for sample in self.places[walk])):
                 inside = at < ends
                 word = np.where(inside, words[np.minimum(at, len(words) - 1)], np.uint64(0))
                 written[step] = word
