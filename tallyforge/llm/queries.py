@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyforge.llm import decontaminate, exact_dedup, html_text, language_id, minhash, packing, pii, substring_dedup, suffix_dedup, warc
+from tallyforge.llm import (
+    centroids, decontaminate, exact_dedup, exact_topk, html_text, language_id, minhash, packing, pii, substring_dedup, suffix_dedup,
+    warc, whitening)
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -94,3 +96,64 @@ def op9_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
+
+
+@query
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return exact_topk.top_k(rows.where(F.col("vec_id") % 50 == 0), rows, k=5, factor=256)
+
+
+_WHOLE = """embedding IS NOT NULL AND NOT list_contains(list_transform(embedding, lambda v: v IS NOT NULL AND isfinite(v)), false)"""
+
+
+def _floors(factor: int) -> str:
+    return f"list_transform(embedding, lambda v: floor({factor} * CAST(v AS DOUBLE)))"
+
+
+ORACLES["op11_exact_top_k"] = f"""
+WITH rows AS (SELECT vec_id, {_floors(256)} AS x FROM embeddings WHERE {_WHOLE}),
+scores AS (SELECT q.vec_id AS query_id, r.vec_id, CAST(list_dot_product(q.x, r.x) AS BIGINT) AS score
+  FROM rows AS q JOIN rows AS r ON r.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 5
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings"), components=32, factor=64, shift=1_000_000)
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.inertias(*centroids.cluster(table(spark, sf_dir, "embeddings"), k=8, rounds=10, factor=1024, dims=64))
+
+
+def _cluster_sql(rounds: int = 10) -> str:
+    """The rounds one after another: ``c0`` has the first centroids, ``c1`` those after a round, and so on."""
+    nearest = """SELECT vec_id, number AS cluster, distance FROM (SELECT *, row_number() OVER (
+  PARTITION BY vec_id ORDER BY distance, number) AS place FROM (
+    SELECT v.vec_id, c.number, CAST(list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT) AS distance
+    FROM v, {c} AS c)) WHERE place = 1"""
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform({_floors(1024)}, lambda f: CAST(f AS BIGINT)) AS x
+  FROM embeddings WHERE {_WHOLE} AND len(embedding) = 64)""",
+             """c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR)), x) - 1 AS number, x
+  FROM v ORDER BY number LIMIT 8)"""]
+    for r in range(rounds):
+        # a division that rounds down, below 0 too
+        parts.append(f"""m{r} AS (SELECT cluster, place, ((s - ((s % n) + n) % n) // n) AS value FROM (
+  SELECT cluster, place, CAST(sum(value) AS BIGINT) AS s, count(*) AS n FROM (
+    SELECT a.cluster, unnest(v.x) AS value, generate_subscripts(v.x, 1) AS place
+    FROM ({nearest.format(c=f"c{r}")}) AS a JOIN v ON v.vec_id = a.vec_id) GROUP BY ALL))""")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c.number, coalesce(m.x, c.x) AS x FROM c{r} AS c LEFT JOIN (
+  SELECT cluster, list(value ORDER BY place) AS x FROM m{r} GROUP BY cluster) AS m ON m.cluster = c.number)""")
+    parts.append(f"a AS MATERIALIZED ({nearest.format(c=f'c{rounds}')})")
+    return f"""WITH {', '.join(parts)}
+SELECT a.vec_id, CAST(a.cluster AS INTEGER) AS cluster, a.distance,
+  CAST(sum(a.distance) OVER (PARTITION BY a.cluster) AS BIGINT) AS cluster_inertia, CAST(sum(a.distance) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a JOIN c{rounds} AS c ON c.number = a.cluster"""
+
+
+ORACLES["op13_centroid_clusters"] = _cluster_sql()
