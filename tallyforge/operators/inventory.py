@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -160,25 +160,36 @@ def machine_uptime_hours(vms: DataFrame, as_of: datetime) -> DataFrame:
         *_VM, hours_between("started", instant(as_of)).alias("uptime_hours"))
 
 
-def discount_for(machine_type: Column | str, uptime_minutes: Column | str) -> Column:
-    """Multiplier of the highest tier strictly exceeded; 1.0 outside the tiers.
+def sustained_use_tiers(spark: SparkSession) -> DataFrame:
+    """The published tiers: machine_class, min_minutes, multiplier."""
+    return spark.createDataFrame([(c, float(m), x) for c, m, x in C.SUSTAINED_USE_TIERS],
+                                 "machine_class string, min_minutes double, multiplier double")
 
-    The tiers are a handful of fixed rows, so they are folded into one
-    expression instead of a range join.
+
+def discount_bands(tiers: DataFrame) -> DataFrame:
+    """Tiers as bands (above, up_to] that do not overlap, so that an uptime is in one of its class at most.
+
+    Of tiers with the same bound the smallest multiplier counts.
+    """
+    bounds = tiers.groupBy("machine_class", "min_minutes").agg(F.min("multiplier").alias("multiplier"))
+    following = F.lead("min_minutes").over(W.partitionBy("machine_class").orderBy("min_minutes"))
+    return bounds.select("machine_class", F.col("min_minutes").alias("above"), following.alias("up_to"), "multiplier")
+
+
+def sustained_discount(uptime: DataFrame, vms: DataFrame, tiers: DataFrame | None = None) -> DataFrame:
+    """Discount multiplier of each VM with an uptime; exposed, applied to no cost.
+
+    The tier whose bound is strictly exceeded, the highest if several; 1.0
+    outside the tiers. ``tiers`` is a table like ``sustained_use_tiers``; its
+    bands join on the class and the range, broadcast while Spark finds them small.
     """
-    minutes = F.col(uptime_minutes) if isinstance(uptime_minutes, str) else uptime_minutes
-    found = F.lit(1.0)
-    for name, exceeded, multiplier in sorted(C.SUSTAINED_USE_TIERS, key=lambda t: t[1]):
-        found = F.when((machine_class(machine_type) == name) & (minutes > exceeded),
-                       F.lit(multiplier)).otherwise(found)
-    return found
-
-
-def sustained_discount(uptime: DataFrame, vms: DataFrame) -> DataFrame:
-    """Discount multiplier of each VM with an uptime; exposed, applied to no cost."""
-    return uptime.join(vms.select(*_VM, "machine_type"), _VM).select(
-        *_VM, "machine_type", "uptime_minutes",
-        discount_for("machine_type", "uptime_minutes").alias("multiplier"))
+    bands = discount_bands(sustained_use_tiers(uptime.sparkSession) if tiers is None else tiers)
+    rows = uptime.join(vms.select(*_VM, "machine_type"), _VM).withColumn("_class", machine_class("machine_type"))
+    minutes = F.col("uptime_minutes")
+    inside = ((F.col("_class") == F.col("machine_class")) & (minutes > F.col("above"))
+              & (F.col("up_to").isNull() | (minutes <= F.col("up_to"))))
+    return rows.join(bands, inside, "left").select(
+        *_VM, "machine_type", "uptime_minutes", F.coalesce("multiplier", F.lit(1.0)).alias("multiplier"))
 
 
 # --- hourly slots --------------------------------------------------------------

@@ -18,7 +18,7 @@ from tallyforge.operators import lookup as L
 from tallyforge.operators.projects import join_project
 from tallyforge.session import settle
 from tallyforge.sources.exports import scan_billing_export
-from tallyforge.sources.state import read_versions, save_state
+from tallyforge.sources.state import read_runs, save_run
 
 
 @dataclass(frozen=True)
@@ -148,16 +148,15 @@ def control_run(inputs: Inputs, as_of: datetime, limits: Limits, out: str, run:
 
     Alerts already fired this week, by any run before ``run``, stay silent; a
     repeated run decides as it did the first time. Fired alerts are stored by
-    week, and only this week's are read.
+    week, runs below, and only this week's folder is listed.
     """
     spark = inputs.vms.sparkSession
     inputs = listed_only(enabled_only(inputs))
     # every later step reads the pruned state
     inputs = replace(inputs, vms=settle(inputs.vms, "run-vms"), disks=settle(inputs.disks, "run-disks"))
 
-    def keep(name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-        save_state(df, f"{out}/{name}", run, by)
-        return read_versions(spark, f"{out}/{name}", df.schema).where(F.col("version") == run).drop("version")
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        return save_run(df, f"{out}/{name}", run)
 
     card, machines, disks = priced(inputs)
     unpriced = L.unpriced_resources(inputs.vms, card).unionByName(
@@ -177,8 +176,8 @@ def control_run(inputs: Inputs, as_of: datetime, limits: Limits, out: str, run:
     status = keep("budget_status", B.budget_status(spend, B.additional_fees(cells), B.per_hour_charge(calc, as_of)))
     raised = current_alerts(inputs, status, limits, as_of)
     year, week, _ = as_of.isocalendar()
-    fired = read_versions(spark, f"{out}/alerts", K.with_iso_week(raised).schema).where(
-        (F.col("version") < run) & (F.col("iso_year") == year) & (F.col("iso_week") == week))
+    this_week = f"alerts/iso_year={year}/iso_week={week}"
+    fired = read_runs(spark, f"{out}/{this_week}", K.with_iso_week(raised).schema).where(F.col("version") < run)
     actions = keep("actions", decisions(inputs, status, limits))
     full = actions.where("action = 'STOP_ALL_VMS'").select("project_id")
     excess = actions.where("action = 'STOP_EXCESS'").select("project_id")
@@ -187,7 +186,7 @@ def control_run(inputs: Inputs, as_of: datetime, limits: Limits, out: str, run:
     return {
         **estimates,
         "budget_status": status,
-        "alerts": keep("alerts", K.weekly_throttle(raised, fired), ("iso_year", "iso_week")),
+        "alerts": keep(this_week, K.weekly_throttle(raised, fired)),
         "actions": actions,
         "stops": keep("stops", K.stops_by_zone(stops)),
         "cost_log": keep("cost_log", B.cost_log(B.budget_message(status))),

@@ -1,4 +1,4 @@
-"""Price-table build: configured steps in order, each one lazily declared."""
+"""Price-table build: the configured tables in one pass over the export."""
 
 from __future__ import annotations
 
@@ -10,37 +10,30 @@ from tallyforge.operators import prices
 from tallyforge.session import settle
 from tallyforge.sources.sinks import write_price_table
 
-STEPS = {
-    "build_cpu_pricing": ("cpu", prices.cpu_pricing),
-    "build_ram_pricing": ("ram", prices.ram_pricing),
-    "build_gpu_pricing": ("gpu", prices.gpu_pricing),
-    "build_pd_pricing": ("pd", prices.pd_pricing),
-    "build_cpu_lic_pricing": ("cpu_lic", prices.cpu_lic_pricing),
-    "build_gpu_lic_pricing": ("gpu_lic", prices.gpu_lic_pricing),
-    "build_ram_lic_pricing": ("ram_lic", prices.ram_lic_pricing),
-    "build_ip_pricing": ("ip", prices.ip_pricing),
-}
+#: Configured step and the table it builds.
+STEPS = {f"build_{name}_pricing": name for name in prices.TABLES}
 
 
 def build_price_tables(sku_export: DataFrame, steps: Iterable[str] | None = None,
                        target: str | None = None) -> dict[str, DataFrame]:
     """Price tables of the configured steps, in the order given.
 
-    Without ``target`` the tables are declared only. With it (a folder, or a
-    ``database.`` prefix) each is written before the next starts, so a failure
-    stops the build and leaves the earlier tables in place. An unknown step
-    fails before anything is written. The export is read once: its SKUs are
-    flattened and settled, and every table is made from those.
+    An unknown step fails before anything is read. All tables come from one scan and one
+    shuffle, written in a folder per table; each returned table reads its own
+    folder. With ``target`` (a folder, or a ``database.`` prefix) they replace
+    the tables there, one after another, so a failure leaves whole tables, old or new.
     """
     chosen = list(STEPS if steps is None else steps)
     unknown = [s for s in chosen if s not in STEPS]
     if unknown:
         raise ValueError(f"unknown steps: {unknown}")
+    names = [STEPS[s] for s in chosen]
+    if not names:
+        return {}
+    rows = settle(prices.price_rows(sku_export, names), "price-rows", ("price_table",))
     tables: dict[str, DataFrame] = {}
-    skus = settle(prices.flatten_skus(sku_export), "skus") if "tier_max" not in sku_export.columns else sku_export
-    for step in chosen:
-        name, build = STEPS[step]
-        df = build(skus)
+    for name in names:
+        df = prices.table_of(rows, name)
         if target is not None:
             place = f"{target}{name}_pricing" if target.endswith(".") else f"{target.rstrip('/')}/{name}_pricing"
             df = write_price_table(df, place)

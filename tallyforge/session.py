@@ -55,13 +55,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tallyforge-{app}/{name}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def settle(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by the columns ``by``, and read it back.
 
     The table that comes back has a known file size, so Catalyst broadcasts it
     while it is below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it
     beyond; its lineage is cut without depending on any executor's memory.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.mode("errorifexists").parquet(path)
+    df.write.mode("errorifexists").partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

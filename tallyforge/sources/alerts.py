@@ -27,10 +27,11 @@ def rejected_budget_alerts(messages: DataFrame, data: str = "data") -> DataFrame
 
 def _decoded(messages: DataFrame, data: str) -> DataFrame:
     """Payload columns next to the raw message; ``_reason`` is NULL where everything is there."""
-    raw = F.try_to_binary(data, F.lit("base64"))
-    text = F.try_validate_utf8(raw.cast("string"))
-    body = F.from_json(text, schemas.BUDGET_MESSAGE, {"mode": "PERMISSIVE"})
-    rows = messages.withColumn("_text", text).withColumn("_m", body).select(
+    text = F.try_validate_utf8(F.try_to_binary(data, F.lit("base64")).cast("string"))
+    # a generator is not repeated where its columns are used, so each payload is decoded and parsed once
+    parsed = F.transform(F.array(text), lambda t: F.struct(
+        t.alias("_text"), F.from_json(t, schemas.BUDGET_MESSAGE, {"mode": "PERMISSIVE"}).alias("_m")))
+    rows = messages.select(*messages.columns, F.inline_outer(parsed)).select(
         *messages.columns, "_text",
         F.replace(F.col("_m.budgetDisplayName"), F.lit("-budget"), F.lit("")).alias("project_id"),
         parse_rfc3339("_m.costIntervalStart", strict=False).alias("interval_start"),

@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyforge import schemas
 from tallyforge.functions.keys import instant
 
 
@@ -15,6 +16,11 @@ def scan_sku_export(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def stream_billing_export(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The billing export as a stream over its date folders; dates that appear later are found while it runs."""
+    return spark.readStream.schema(schemas.BILLING_EXPORT).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+
+
 def scan_billing_export(
     source: SparkSession | DataFrame,
     as_of: datetime,

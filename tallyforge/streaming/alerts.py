@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from tallyforge.operators import billing as B
 from tallyforge.operators import control as K
+from tallyforge.session import settle
 from tallyforge.sources.alerts import decode_budget_alerts
-from tallyforge.streaming.table import PROVIDER, current, keep_current
+from tallyforge.sources.state import StateTable, load_state, save_state
+from tallyforge.streaming.sink import keep_state, start
 
 MESSAGES = T.StructType([
     T.StructField("event_time", T.TimestampType()),
@@ -40,36 +44,110 @@ def stream_budget_alerts(messages: DataFrame) -> DataFrame:
     return decode_budget_alerts(messages)
 
 
+def spend_state(path: str) -> StateTable:
+    return StateTable(path, INTERVAL_COSTS, ("project_id", "interval_start"), "year(interval_start)")
+
+
 def stream_cumulative_spend(alerts: DataFrame, path: str, checkpoint: str, once: bool = True,
                             after: Callable[[int], object] | None = None) -> StreamingQuery:
     """Keep the newest cost per budget interval in the table at ``path``."""
-    return keep_current(B.interval_costs(alerts), path, checkpoint, ["project_id", "interval_start"], once, after=after)
+    return keep_state(B.interval_costs(alerts), spend_state(path), checkpoint, once, after=after)
 
 
 def current_spend(spark: SparkSession, path: str) -> DataFrame:
     """Cumulative spend out of the table. An older message never overwrites a newer one."""
-    return B.cumulative_spend(current(spark, path, INTERVAL_COSTS))
+    return B.cumulative_spend(load_state(spark, spend_state(path)))
+
+
+# --- weekly throttle ------------------------------------------------------------------
+
+class FiredWeeks(StatefulProcessor):
+    """The weeks in which one kind of alert of one project has fired, the newest week and the one before.
+
+    A week is held until one two weeks later is seen, so for 8 days after its first alert at least. The first
+    row of a held or newer week fires; rows of older weeks come out marked late.
+    """
+
+    def __init__(self, columns: list[str]):
+        self.columns = columns
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.weeks = handle.getListState("weeks", "monday int")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held = {w[0] for w in self.weeks.get()}
+        before = set(held)
+        for r in sorted(rows, key=lambda r: r["_order"]):
+            monday = date.fromisocalendar(r["iso_year"], r["iso_week"], 1).toordinal()
+            late = bool(held) and monday < max(held) - 7
+            if late or monday not in held:
+                yield Row(**{c: r[c] for c in self.columns}, late=late)
+            if not late:
+                held = {w for w in held | {monday} if w >= max(held | {monday}) - 7}
+        if held != before:
+            self.weeks.put([(w,) for w in sorted(held)])
+
+    def close(self) -> None:
+        pass
+
+
+def _first_of_each_week(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The earliest row per week key of what a task reads, so that few rows of a busy project meet."""
+    for rows in batches:
+        yield rows.sort_values("_order").drop_duplicates(K.WEEK_KEY)
 
 
 def throttled_alerts(alerts: DataFrame) -> DataFrame:
-    """The alerts that fire, as a stream: throttled kinds once per project and ISO week, the first to arrive.
+    """The alerts that fire, as a stream, with ``late``: throttled kinds once per project and ISO week, the first to arrive.
 
-    The week keys that fired are the state. Alerts that come late still fire if
-    nothing did in their week; none is dropped for its age.
+    Of a batch's alerts of one week the earliest counts as the first. The state is two weeks per project and
+    kind. Whether an alert of an older week (``late``) fires is for the sink to say, which has what fired then.
     """
     dated = K.with_iso_week(alerts)
     throttled = F.col("alert").isin(*K.THROTTLED)
-    return dated.where(throttled).dropDuplicates(K.WEEK_KEY).unionByName(dated.where(~throttled))
+    rest = [c for c in alerts.columns if c not in ("project_id", "alert", "event_time")]
+    order = F.to_json(F.struct(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), *rest))
+    ordered = dated.where(throttled).withColumn("_order", order)
+    firsts = ordered.mapInPandas(_first_of_each_week, ordered.schema)
+    schema = T.StructType([*dated.schema.fields, T.StructField("late", T.BooleanType())])
+    once = firsts.groupBy("project_id", "alert").transformWithState(FiredWeeks(dated.columns), schema, "Update", "None")
+    return once.unionByName(dated.where(~throttled).withColumn("late", F.lit(False)))
+
+
+def fired_state(path: str, alerts: DataFrame) -> StateTable:
+    """The table of fired alerts, a partition for a quarter of an ISO year: a throttled kind has one row per week, others a row per alert."""
+    schema = T.StructType([*K.with_iso_week(alerts).schema.fields, T.StructField("which", T.StringType())])
+    return StateTable(path, schema, (*K.WEEK_KEY, "which"), _QUARTER)
+
+
+_QUARTER = "concat(iso_year, '-', (iso_week - 1) div 13)"
 
 
 def stream_weekly_throttle(alerts: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Append the alerts that fire to the table at ``path``, in folders by ISO year and week."""
-    alerts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    writer = (throttled_alerts(alerts).writeStream.outputMode("append").format("parquet").partitionBy("iso_year", "iso_week")
-              .option("path", path).option("checkpointLocation", checkpoint))
-    return (writer.trigger(availableNow=True) if once else writer).start()
+    """Add the alerts that fire to the table at ``path``.
+
+    A late alert fires unless the table has one of its kind and week already, so
+    every week has exactly one, however old. An alert that equals another in
+    every column is the same alert, so repeated messages and batches add nothing.
+    """
+    state = fired_state(path, alerts)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = settle(batch, "fired")
+        fires = rows.where("NOT late").drop("late")
+        quarters = [r["q"] for r in rows.where("late").select(F.expr(_QUARTER).alias("q")).distinct().collect()]   # dates, not rows
+        if quarters:
+            before = load_state(spark, state, parts=quarters)
+            late = K.weekly_throttle(rows.where("late").select(*alerts.columns), before)
+            # a replayed batch finds its own late alerts in the table, which then stay as they are
+            fires = fires.unionByName(late)
+        which = F.when(F.col("alert").isin(*K.THROTTLED), "").otherwise(F.to_json(F.struct(*alerts.columns)))
+        save_state(fires.withColumn("which", which).dropDuplicates([*K.WEEK_KEY, "which"]), state)
+
+    return start(throttled_alerts(alerts), checkpoint, store, once)
 
 
 def fired_alerts(spark: SparkSession, path: str, alerts: DataFrame) -> DataFrame:
-    """Everything fired so far; a filter on year and week reads only these."""
-    return spark.read.schema(K.with_iso_week(alerts).schema).parquet(path)
+    """Everything fired so far."""
+    return load_state(spark, fired_state(path, alerts)).drop("which")

@@ -1,45 +1,131 @@
 """VM run history from a stream of snapshots.
 
-The state per VM is the summary of its run cycles. It is taken by inventory time
-in any order, so late and repeated snapshots lead to the same history as a
-batch over all of them.
+The history of a machine is state of its own: a list of run cycles, each a
+summary that takes snapshots in any order, and a timer set to when the machine
+is gone unless it is listed again. A timer that ends is set anew for a machine
+listed since; else the machine is gone, its cycles leave the state and its
+intervals the table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+from datetime import timedelta
+
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from tallyforge.sources.state import StateTable, load_state
+from tallyforge.streaming.sink import keep_state
+
+_TS, _STR, _LONG, _BOOL = T.TimestampType(), T.StringType(), T.LongType(), T.BooleanType()
+
+
+def _schema(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields.items()])
+
+
+INTERVALS = _schema(project_id=_STR, vm_id=_STR, start=_TS, stop=_TS)
+#: A run cycle; times are microseconds.
+CYCLE = _schema(started=_LONG, first_seen=_LONG, last_seen=_LONG, first_stopped=_LONG, stop_reported=_LONG,
+                opens_running=_BOOL, opens_last_stop=_LONG)
+_CHANGED = _schema(project_id=_STR, vm_id=_STR, start=_LONG, stop=_LONG, gone=_BOOL)
+
+
+def merged(cycles: dict, at: int, running: bool, started: int | None, last_stop: int | None) -> None:
+    """Bring one snapshot into the cycles of its machine."""
+    c = cycles.get(started)
+    if c is None:
+        c = cycles[started] = {"first_seen": at, "last_seen": at, "first_stopped": None, "stop_reported": None,
+                               "opens_running": running, "opens_last_stop": last_stop}
+    if at < c["first_seen"]:
+        c.update(first_seen=at, opens_running=running, opens_last_stop=last_stop)
+    c["last_seen"] = max(c["last_seen"], at)
+    if not running and (c["first_stopped"] is None or at < c["first_stopped"]):
+        c.update(first_stopped=at, stop_reported=last_stop)
+
+
+def intervals(cycles: dict) -> dict[int | None, int | None]:
+    """Start and stop of every cycle, by the rules of ``operators.inventory.cycle_intervals``."""
+    order = sorted(cycles.items(), key=lambda c: (c[1]["first_seen"], c[0] is not None, c[0] or 0))
+    out = {}
+    for (started, c), (_, following) in zip(order, [*order[1:], (None, None)]):
+        if c["first_stopped"] is not None:
+            stop = c["stop_reported"]
+        elif following is None:
+            stop = None
+        else:
+            stop = following["opens_last_stop"] if following["opens_running"] else c["last_seen"]
+        out[started] = stop
+    return out
+
+
+class VmHistory(StatefulProcessor):
+    """Cycles of one machine; gone once the watermark is ``absent`` past its last listing."""
+
+    def __init__(self, absent: timedelta):
+        self.absent_ms = absent // timedelta(milliseconds=1)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.cycles = handle.getListState("cycles", CYCLE)
+
+    def _held(self) -> dict:
+        return {c[0]: dict(zip(CYCLE.names[1:], c[1:])) for c in self.cycles.get()}
+
+    def _ends(self, cycles: dict) -> int:
+        return max(c["last_seen"] for c in cycles.values()) // 1000 + self.absent_ms + 1
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        cycles = self._held()
+        before = intervals(cycles)
+        for r in rows:
+            merged(cycles, r["at"], r["running"], r["started"], r["last_stop"])
+        self.cycles.put([(started, *c.values()) for started, c in cycles.items()])
+        if not before:
+            self.handle.registerTimer(self._ends(cycles))
+        for start, stop in intervals(cycles).items():
+            if start not in before or before[start] != stop:
+                yield Row(project_id=key[0], vm_id=key[1], start=start, stop=stop, gone=False)
 
-from tallyforge.operators import inventory as I
-from tallyforge.streaming.table import current, keep_current
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        cycles = self._held()
+        if (ends := self._ends(cycles)) >= timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(ends)      # listed again since the timer was set
+            return
+        for start, stop in intervals(cycles).items():
+            yield Row(project_id=key[0], vm_id=key[1], start=start, stop=stop, gone=True)
+        self.cycles.clear()
 
-_TS, _STR = T.TimestampType(), T.StringType()
+    def close(self) -> None:
+        pass
 
-CYCLES = T.StructType([
-    T.StructField("project_id", _STR),
-    T.StructField("vm_id", _STR),
-    T.StructField("started", _TS),
-    T.StructField("first_seen", _TS),
-    T.StructField("last_seen", _TS),
-    T.StructField("first_stopped", _TS),
-    T.StructField("stop_reported", _TS),
-    T.StructField("opens_running", T.BooleanType()),
-    T.StructField("opens_last_stop", _TS),
-])
 
+def uptime_state(path: str) -> StateTable:
+    return StateTable(path, INTERVALS, ("project_id", "vm_id", "start"), "date_format(start, 'yyyy-MM')")
 
-def stream_vm_uptime(snapshots: DataFrame, path: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Fold snapshots into the cycle summaries at ``path``."""
-    return keep_current(I.vm_cycles(snapshots), path, checkpoint, ["project_id", "vm_id", "started"], once)
 
+def stream_vm_uptime(snapshots: DataFrame, path: str, checkpoint: str, lateness: str, absent: timedelta,
+                     once: bool = True) -> StreamingQuery:
+    """Keep the run history of every machine still listed at ``path``.
 
-def current_cycles(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
-    """Cycle summaries of all batches, of VMs still listed if ``listed`` is given."""
-    cycles = current(spark, path, CYCLES)
-    return cycles if listed is None else I.prune_vms(cycles, listed)
+    A machine that no snapshot shows for ``absent``, as of the watermark, is no
+    longer listed: its state and its intervals go. If it shows up again its
+    history begins anew. ``lateness`` is how far snapshots may be out of order;
+    Spark leaves out, and counts, what comes later than that.
+    """
+    micros = lambda c: F.unix_micros(c)
+    rows = snapshots.select("project_id", "vm_id", "inventory_time", micros("inventory_time").alias("at"),
+                            (F.col("status") == "RUNNING").alias("running"), micros("started").alias("started"),
+                            micros("last_stop").alias("last_stop"))
+    changed = rows.withWatermark("inventory_time", lateness).groupBy("project_id", "vm_id").transformWithState(
+        VmHistory(absent), _CHANGED, "Update", "EventTime")
+    timed = changed.withColumns({c: F.timestamp_micros(c) for c in ("start", "stop")})
+    return keep_state(timed, uptime_state(path), checkpoint, once, removed=F.col("gone"))
 
 
-def current_intervals(spark: SparkSession, path: str, listed: DataFrame | None = None) -> DataFrame:
-    """Run/stop history as of the last batch."""
-    return I.cycle_intervals(current_cycles(spark, path, listed))
+def current_intervals(spark: SparkSession, path: str) -> DataFrame:
+    """Run/stop history of the listed machines as of the last batch."""
+    return load_state(spark, uptime_state(path))

@@ -245,9 +245,21 @@ FLAT = {
 }
 
 
-def flat(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text, tables = FLAT[name]
-    return spark.sql(text(Spark), **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in tables})
+def of_some(table: str, condition: str) -> Dialect:
+    """The oracle side with only those rows of ``table`` that meet ``condition``."""
+    class Some(Duck):
+        @staticmethod
+        def table(name: str) -> str:
+            return f"(SELECT * FROM {name} WHERE {condition})" if name == table else name
+
+    return Some
+
+
+def flat(spark: SparkSession, sf_dir: str, name: str, **tables: DataFrame) -> DataFrame:
+    """The relation ``name``; ``tables`` stand in for given tables of those names."""
+    text, needed = FLAT[name]
+    read = {t: tables[t] if t in tables else spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in needed}
+    return spark.sql(text(Spark), **read)
 
 
 # --- domain tables in their nested shapes ---------------------------------------
@@ -372,7 +384,17 @@ def machine_type_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("cpus").cast("int").alias("guestCpus"), F.col("memory_mb").alias("memoryMb"))
 
 
-def disk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Owners whose account is overdrawn have had their disks deleted since.
+DISK_STAYS = "c_acctbal >= 0"
+
+
+def listed_disk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw pages of the last listing: the disks that are still there."""
+    owners = spark.read.parquet(f"{sf_dir}/customer.parquet").where(DISK_STAYS)
+    return disk_pages(spark, sf_dir, flat(spark, sf_dir, "disks_flat", customer=owners))
+
+
+def disk_pages(spark: SparkSession, sf_dir: str, disks: DataFrame | None = None) -> DataFrame:
     """Raw disk pages, one per disk."""
     region = F.concat(F.lit(f"{_API}/regions/"), "disk_region")
     zone = F.concat(F.lit(f"{_API}/zones/"), "zone")
@@ -383,7 +405,7 @@ def disk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("is_regional"), F.array(zone, F.concat(zone, F.lit("2")))).alias("replicaZones"))
     no_warning = F.lit(None).cast("struct<code:string>")
     page = F.struct(no_warning.alias("warning"), F.array(disk).alias("disks"))
-    return disk_inventory(spark, sf_dir).select("project_id", _page(page))
+    return (disk_inventory(spark, sf_dir) if disks is None else disks).select("project_id", _page(page))
 
 
 def encoded_alerts(alerts: DataFrame) -> DataFrame:

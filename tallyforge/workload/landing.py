@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import inventory as I
 from tallyforge.operators import lookup as L
-from tallyforge.operators.prices import flatten_skus
+from tallyforge.operators import prices as P
 from tallyforge.plans.inventory import inventory_state
-from tallyforge.plans.price_tables import STEPS, build_price_tables
 from tallyforge.session import scratch_path
+from tallyforge.sources.inventory import flatten_disk_inventory
 from tallyforge.workload import adapters as A
 
 _LANDED: dict[tuple[str, str, str], tuple[str, object]] = {}
@@ -42,9 +42,8 @@ def sku_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def price_tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """The eight price tables as written by the build, from one scan of the export."""
-    skus = landed(spark, sf_dir, "skus", lambda: flatten_skus(sku_export(spark, sf_dir)))
-    return {name: landed(spark, sf_dir, f"{name}-pricing", lambda s=step, n=name: build_price_tables(skus, [s])[n])
-            for step, (name, _) in STEPS.items()}
+    rows = landed(spark, sf_dir, "price-rows", lambda: P.price_rows(sku_export(spark, sf_dir)), ("price_table",))
+    return {name: P.table_of(rows, name) for name in P.TABLES}
 
 
 def price_cards(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -81,6 +80,11 @@ def listed_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         before, listing(spark, sf_dir), machine_types(spark, sf_dir), enabled))
 
 
+def listed_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The disks that the last listing shows."""
+    return landed(spark, sf_dir, "listed-disks", lambda: flatten_disk_inventory(A.listed_disk_pages(spark, sf_dir)))
+
+
 def current_vms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The VM state: newest snapshot of every VM."""
     return landed(spark, sf_dir, "vm-state", lambda: I.latest_vms(A.vm_snapshots(spark, sf_dir), A.AS_OF))

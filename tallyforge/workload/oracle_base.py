@@ -266,9 +266,9 @@ WHERE sku_description LIKE '%ownload%' OR sku_description LIKE '%gress%' GROUP B
 }
 
 _ENABLED = "WHERE project_id IN (SELECT project_id FROM settings_flat WHERE compute_enabled)"
-#: What a controller run starts from: enabled projects, and machines listed in the last two days.
+#: What a controller run starts from: enabled projects, machines listed in the last two days, and disks still listed.
 OF_RUN = {"vms": f"SELECT * FROM ({RELATIONS['vms']}) AS x {_ENABLED} AND inventory_time >= {NOW} - INTERVAL 2 DAY",
-          "disks_flat": f"SELECT * FROM ({RELATIONS['disks_flat']}) AS x {_ENABLED}"}
+          "disks_flat": f"SELECT * FROM ({A.disks_flat(A.of_some('customer', A.DISK_STAYS))}) AS x {_ENABLED}"}
 
 _SOURCE = re.compile(r"(?:FROM|JOIN)\s+([a-z_]\w*)")
 

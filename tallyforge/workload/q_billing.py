@@ -16,7 +16,7 @@ from tallyforge.sources.exports import scan_billing_export
 from tallyforge.sources.sinks import write_cost_log
 from tallyforge.workload import adapters as A
 from tallyforge.workload.oracle_base import NOW, OF_RUN, ts
-from tallyforge.workload.landing import billing_export, current_vms, listed_state
+from tallyforge.workload.landing import billing_export, current_vms, listed_disks, listed_state
 from tallyforge.workload.q_lookup import UNPRICED_SQL, inputs
 from tallyforge.workload.registry import query, rounded
 
@@ -259,11 +259,16 @@ def _run(spark: SparkSession, sf_dir: str, estimate_only: bool = False) -> dict[
     """The tables of one run, made once per session and read by a query each."""
     key = (spark.sparkContext.applicationId, sf_dir, estimate_only)
     if key not in _RUNS:
-        i = replace(inputs(spark, sf_dir), vms=listed_state(spark, sf_dir))
-        _RUNS[key] = budget.control_run(i, A.AS_OF, LIMITS, scratch_path(spark, "control"), 1, estimate_only=estimate_only)
+        _RUNS[key] = budget.control_run(run_inputs(spark, sf_dir), A.AS_OF, LIMITS, scratch_path(spark, "control"), 1,
+                                        estimate_only=estimate_only)
     return _RUNS[key]
 
 
+def run_inputs(spark: SparkSession, sf_dir: str) -> budget.Inputs:
+    """What a run starts from: the state brought up to date, and the disks that the last listing shows."""
+    return replace(inputs(spark, sf_dir), vms=listed_state(spark, sf_dir), listed_disks=listed_disks(spark, sf_dir))
+
+
 def _run_query(name: str, sql: str):
     return query(name, sql, replaced=OF_RUN)
 
@@ -276,6 +281,22 @@ def control_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir)["stops"].select("project_id", "zone", "name")
 
 
+@query("prune_listed_disks", "SELECT project_id, disk_id, size_gb FROM disks_flat",
+       replaced={"disks_flat": A.disks_flat(A.of_some("customer", A.DISK_STAYS))})
+def prune_listed_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Known disks that the last listing still shows."""
+    known = A.disk_inventory(spark, sf_dir)
+    return I.prune_disks(known, listed_disks(spark, sf_dir)).select("project_id", "disk_id", "size_gb")
+
+
+_ALERT_SQL = f"""SELECT project_id, '1' AS alert FROM (SELECT project_id, CAST(sum(CAST(cost AS DECIMAL(28, 9))) AS DOUBLE)
+    AS total_egress FROM billing_flat WHERE export_time <= {NOW} AND (sku_description LIKE '%ownload%' OR sku_description LIKE '%gress%')
+    GROUP BY ALL) JOIN status USING (project_id) WHERE total_egress > {LIMITS.egress_multiplier} * budget
+  UNION ALL SELECT project_id, '2' FROM status WHERE over_budget
+  UNION ALL SELECT project_id, '3' FROM cpus WHERE total_cpus > {LIMITS.max_cpus}
+  UNION ALL SELECT project_id, '4' FROM status WHERE over_budget AND fraction >= {LIMITS.pull_multiplier}"""
+
+
 @_run_query("control_run_estimated_costs", f"SELECT project_id, {ts('usage_hour')}, sku_id, round(calc, 8) AS calc FROM calc")
 def control_run_estimated_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_run(spark, sf_dir)["estimated_costs"], "calc", digits=8)

@@ -218,6 +218,24 @@ def sustained_discount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.sustained_discount(uptime, current_vms(spark, sf_dir))
 
 
+_PART_TIERS = """SELECT list_extract(['n1', 'n2', 'e2', 'c2', 'm1'], CAST(p_partkey % 5 AS INTEGER) + 1) AS class,
+  CAST(p_size * 600 AS DOUBLE) AS floor, min(1.0 - p_size / 100.0)::DOUBLE AS multiplier FROM part GROUP BY 1, 2"""
+
+
+@query("sustained_discount_other_tiers", f"""SELECT project_id, vm_id, machine_type, uptime_minutes,
+  coalesce((SELECT arg_max(t.multiplier, t.floor) FROM ({_PART_TIERS}) AS t
+    WHERE t.class = split_part(machine_type, '-', 1) AND t.floor < uptime_minutes), 1.0)::DOUBLE AS multiplier
+  FROM month_uptime JOIN vms USING (project_id, vm_id)""")
+def sustained_discount_other_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiers as a table of their own: five classes and up to fifty bounds each, from the parts."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    classes = F.array(*[F.lit(c) for c in ("n1", "n2", "e2", "c2", "m1")])
+    tiers = part.select(F.get(classes, (F.col("p_partkey") % 5).cast("int")).alias("machine_class"),
+                        (F.col("p_size") * 600.0).alias("min_minutes"), (1.0 - F.col("p_size") / 100.0).alias("multiplier"))
+    uptime = I.uptime_this_month(_known_intervals(spark, sf_dir), A.AS_OF)
+    return I.sustained_discount(uptime, current_vms(spark, sf_dir), tiers)
+
+
 @query("usage_hours", f"""SELECT project_id, vm_id AS resource_id, {ts('usage_hour')}, minutes FROM vm_usage
   UNION ALL SELECT project_id, disk_id, {ts('usage_hour')}, minutes FROM disk_usage""")
 def usage_hours(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tallyforge import schemas
 from tallyforge.functions import keys as KEYS
 from tallyforge.operators import billing as B
 from tallyforge.operators import prices as P
-from tallyforge.plans.price_tables import STEPS, all_prices, build_price_tables
+from tallyforge.plans.price_tables import all_prices, build_price_tables
 from tallyforge.session import scratch_path
 from tallyforge.sources import alerts, exports, inventory, mappings, sinks, state
 from tallyforge.workload import adapters as A
@@ -121,32 +121,39 @@ def rejected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("write_price_table", "SELECT * FROM p_cpu")
 def write_price_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.write_price_table(P.cpu_pricing(sku_export(spark, sf_dir)), scratch_path(spark, "cpu-pricing"))
+    return sinks.write_price_table(P.pricing(sku_export(spark, sf_dir), "cpu"), scratch_path(spark, "cpu-pricing"))
+
+
+def _budget_state(spark: SparkSession, name: str, schema) -> state.StateTable:
+    return state.StateTable(scratch_path(spark, name), schema, ("project_id", "interval_start"), "year(interval_start)")
 
 
 @query("save_state", f"""SELECT project_id, {ts('interval_start')}, cost + CASE WHEN CAST(substr(project_id, 6) AS INT) % 2 = 0
-  THEN 1 ELSE 0 END AS cost, budget, {ts('event_time')}, message_id FROM interval_cost""")
+  THEN 1 ELSE 0 END AS cost, budget, {ts('event_time')}, message_id FROM interval_cost
+  WHERE NOT (CAST(substr(project_id, 6) AS INT) % 2 = 0 AND month(interval_start) = 12)""")
 def save_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two saves: all projects, then the even ones again a little dearer; each project keeps its newest."""
-    path = scratch_path(spark, "budget-state")
+    """Two saves: all rows, then those of the even projects again, a little dearer, without their Decembers."""
     rows = B.interval_costs(A.budget_alerts(spark, sf_dir))
+    table = _budget_state(spark, "budget-state", rows.schema)
     even = F.substring("project_id", 6, 10).cast("int") % 2 == 0
-    state.save_state(rows, path, 1)
-    state.save_state(rows.where(even).withColumn("cost", F.col("cost") + 1), path, 2)
-    return state.load_state(spark, path, rows.schema)
+    state.save_state(rows, table)
+    state.save_state(rows.where(even).withColumn("cost", F.col("cost") + 1), table, F.month("interval_start") == 12)
+    return state.load_state(spark, table)
 
 
 @query("load_state", f"""SELECT project_id, strftime(interval_start, '%Y-%m') AS interval_start, cost,
   CASE WHEN CAST(substr(project_id, 6) AS INT) % 2 = 0 THEN CAST(1000 AS DOUBLE) END AS budget FROM interval_cost""")
 def load_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of even projects are new, those of odd ones bare maps of the oldest kind."""
+    """Documents kept per project: those of even projects are new, those of odd ones bare maps of the oldest kind."""
     rows = B.interval_costs(A.budget_alerts(spark, sf_dir))
     pairs = F.collect_list(F.struct(F.date_format("interval_start", "yyyy-MM"), "cost"))
     amounts = rows.groupBy("project_id").agg(F.map_from_entries(pairs).alias("amounts"))
     new = F.to_json(F.struct(F.lit(1000.0).alias("budget"), F.create_map(F.lit("1"), F.lit("07")).alias("messages"), "amounts"))
     even = F.substring("project_id", 6, 10).cast("int") % 2 == 0
     docs = amounts.select("project_id", F.when(even, new).otherwise(F.to_json("amounts")).alias("doc"))
-    return state.budget_amounts(docs)
+    table = state.StateTable(scratch_path(spark, "budget-documents"), docs.schema, ("project_id",), "'all'")
+    state.save_state(docs, table)
+    return state.budget_amounts(state.load_state(spark, table))
 
 
 @query("build_price_tables", " UNION ALL ".join(
@@ -159,9 +166,9 @@ def build_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- 2.2 ------------------------------------------------------------------------
 
-for _step, (_name, _build) in STEPS.items():
+for _name in P.TABLES:
     query(f"{_name}_pricing", f"SELECT * FROM p_{_name}")(
-        lambda spark, sf_dir, build=_build: build(sku_export(spark, sf_dir)))
+        lambda spark, sf_dir, name=_name: P.pricing(sku_export(spark, sf_dir), name))
 
 # --- 2.3 ------------------------------------------------------------------------
 

@@ -8,55 +8,78 @@ oracle is the batch result in SQL.
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyforge.operators import inventory as I
+from tallyforge.plans import budget
 from tallyforge.session import scratch_path
-from tallyforge.sources.state import read_versions, save_state
+from tallyforge.sources.exports import stream_billing_export
+from tallyforge.sources.state import read_run
 from tallyforge.streaming import alerts as SA
 from tallyforge.streaming import charges as SC
 from tallyforge.streaming import control as SK
 from tallyforge.streaming import inventory as SI
 from tallyforge.workload import adapters as A
-from tallyforge.workload.oracle_base import NOW, ts
-from tallyforge.workload.q_billing import _MESSAGE_ALERTS, message_alerts
+from tallyforge.workload.landing import billing_export
+from tallyforge.workload.oracle_base import NOW, OF_RUN, oracle, ts
+from tallyforge.workload.q_billing import _ACTION_SQL, _ALERT_SQL, LIMITS, message_alerts, run_inputs
 from tallyforge.workload.registry import query
 
+SLICES = 5
+#: Files of a slice; more for larger tables.
+FILES = 4
+_DAY = 86400
 
-FILES = 6
+
+def slice_of(d: A.Dialect, table: str, slices: int = SLICES) -> str:
+    """The slice that a row of ``table`` lands in, from 0.
+
+    Messages land in any order. Snapshots land by time, but every tenth one slice late.
+    """
+    if table == "orders":
+        return f"o_orderkey % {slices}"
+    days = d.div(f"{d.seconds('ts')} - 1704067200", 6 * _DAY)
+    return f"least({slices - 1}, {days} + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END)"
+
+
+def landed_so_far(name: str, last: int, slices: int = SLICES, first: int = 0) -> str:
+    """SQL for the relation ``name`` as it is when the slices ``first`` to ``last`` have landed."""
+    build, (table, *_) = A.FLAT[name]
+    return build(A.of_some(table, f"{slice_of(A.Duck, table, slices)} BETWEEN {first} AND {last}"))
 
 
 class Landing:
-    """A given table landed as several files out of order, streamed one file per batch, with one restart.
+    """A given table landed in slices, each ``FILES`` files that the stream takes as one batch, with one restart.
 
-    The last file comes after the restart, and with ``repeats`` a tenth of all
+    The last slice comes after the restart, and with ``repeats`` a tenth of all
     rows once more.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str, name: str, repeats: bool):
-        self.spark, self.name, self.repeats = spark, name, repeats
+    def __init__(self, spark: SparkSession, sf_dir: str, name: str, repeats: bool, slices: int = SLICES):
+        self.spark, self.name, self.repeats, self.slices = spark, name, repeats, slices
         self.table = A.FLAT[name][1][0]
         self.rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
-        self.path = scratch_path(spark, f"{self.table}-files")
-        self.dealt = self.rows.withColumn("_file", F.pmod(F.xxhash64(*self.rows.columns), F.lit(FILES)))
-
-    def _add(self, rows: DataFrame) -> None:
-        rows.select(self.rows.columns).coalesce(1).write.mode("append").parquet(self.path)
+        self.path = scratch_path(spark, f"{self.table}-landed")
+        self.waiting = scratch_path(spark, f"{self.table}-slices")
+        self.rows.withColumn("_slice", F.expr(slice_of(A.Spark, self.table, slices)).cast("int")).write.partitionBy("_slice").parquet(self.waiting)
 
     def stream(self) -> DataFrame:
-        source = self.spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", 1).parquet(self.path)
+        source = self.spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", FILES).parquet(self.path)
         return self.spark.sql(A.FLAT[self.name][0](A.Spark), **{self.table: source})
 
     def run(self, start) -> None:
         """``start()`` starts the query, which stops when it has read what is there."""
-        for k in range(1, FILES):
-            self._add(self.dealt.where(F.col("_file") == k))
-        start().awaitTermination()
-        self._add(self.dealt.where("_file = 0"))
+        for k in range(self.slices):
+            if k == self.slices - 1:
+                start().awaitTermination()
+            new = self.spark.read.schema(self.rows.schema).parquet(f"{self.waiting}/_slice={k}")
+            new.repartition(FILES).write.mode("append").parquet(self.path)
         if self.repeats:
-            self._add(self.dealt.where(F.pmod(F.xxhash64(F.lit("again"), *self.rows.columns), F.lit(10)) == 0))
+            again = self.rows.where(F.pmod(F.xxhash64(F.lit("again"), *self.rows.columns), F.lit(10)) == 0)
+            again.repartition(FILES).write.mode("append").parquet(self.path)
         start().awaitTermination()
 
 
@@ -65,8 +88,8 @@ def _paths(spark: SparkSession, name: str) -> tuple[str, str]:
     return f"{base}/state", f"{base}/checkpoint"
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> tuple[Landing, Callable[[], DataFrame]]:
-    landing = Landing(spark, sf_dir, "alerts_flat", repeats=True)
+def _messages(spark: SparkSession, sf_dir: str, slices: int = SLICES) -> tuple[Landing, Callable[[], DataFrame]]:
+    landing = Landing(spark, sf_dir, "alerts_flat", repeats=True, slices=slices)
     # the folder exists once the first files are there, so the stream is declared when it starts
     return landing, lambda: SA.stream_budget_alerts(A.encoded_alerts(landing.stream()))
 
@@ -91,44 +114,117 @@ def stream_cumulative_spend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return SA.current_spend(spark, path)
 
 
-@query("stream_control", "SELECT project_id, reported_spend, budget, reported_spend >= 0.4 * budget AS warned FROM spend")
+# --- the controller -----------------------------------------------------------------
+
+_FIRST_HALF = {**OF_RUN, "alerts_flat": landed_so_far("alerts_flat", 0, slices=2)}
+_CONTROLLED: dict[tuple[str, str], str] = {}
+
+
+def _controlled(spark: SparkSession, sf_dir: str) -> str:
+    """Two controller runs within a week, each over all messages so far; the folder of their tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CONTROLLED:
+        path, checkpoint = _paths(spark, "control-stream")
+        out = scratch_path(spark, "controlled")
+        landing, messages = _messages(spark, sf_dir, slices=2)
+        inputs = run_inputs(spark, sf_dir)
+        landing.run(lambda: SK.stream_control(
+            messages(), path, checkpoint,
+            lambda spend, run: budget.control_run(inputs, A.AS_OF + timedelta(minutes=run), LIMITS, out, run, spend=spend)))
+        _CONTROLLED[key] = out
+    return _CONTROLLED[key]
+
+
+def _runs(spark: SparkSession, out: str, name: str, schema: str) -> DataFrame:
+    both = [read_run(spark, f"{out}/{name}", run, spark.createDataFrame([], schema).schema).withColumn("run", F.lit(run)) for run in (0, 1)]
+    return both[0].unionByName(both[1])
+
+
+@query("stream_control", f"""SELECT CAST(0 AS INTEGER) AS run, project_id, action FROM ({oracle(_ACTION_SQL, _FIRST_HALF)})
+  UNION ALL SELECT CAST(1 AS INTEGER), project_id, action FROM ({oracle(_ACTION_SQL, OF_RUN)})""")
 def stream_control(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A decision on all projects after every batch; the last one stands."""
-    path, checkpoint = _paths(spark, "control-stream")
-    decided = scratch_path(spark, "decided")
-    decide = lambda spend: spend.withColumn("warned", F.col("reported_spend") >= 0.4 * F.col("budget"))
-    landing, messages = _messages(spark, sf_dir)
-    landing.run(lambda: SK.stream_control(messages(), path, checkpoint, lambda spend, run: save_state(decide(spend), decided, run)))
-    schema = decide(SA.current_spend(spark, path)).schema
-    runs = read_versions(spark, decided, schema)
-    return runs.join(runs.agg(F.max("version").alias("version")), "version", "left_semi").drop("version")
+    """What each of the two runs decides for every project."""
+    return _runs(spark, _controlled(spark, sf_dir), "actions", "project_id string, action string")
+
+
+@query("stream_control_alerts", f"""SELECT CAST(min(run) AS INTEGER) AS run, project_id, alert FROM (
+    SELECT 0 AS run, project_id, alert FROM ({oracle(_ALERT_SQL, _FIRST_HALF)})
+    UNION ALL SELECT 1, project_id, alert FROM ({oracle(_ALERT_SQL, OF_RUN)})) AS raised
+  GROUP BY project_id, alert, CASE WHEN alert IN ('3', '4') THEN run END""")
+def stream_control_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The second run is silent about what the first has said this week."""
+    year, week, _ = A.AS_OF.isocalendar()
+    return _runs(spark, _controlled(spark, sf_dir), f"alerts/iso_year={year}/iso_week={week}", "project_id string, alert string")
+
 
+# --- throttle -----------------------------------------------------------------------
 
-@query("stream_weekly_throttle", f"""SELECT project_id, alert, CAST(isoyear(event_time) AS INTEGER) AS iso_year,
-  CAST(weekofyear(event_time) AS INTEGER) AS iso_week, CASE WHEN alert = '2' THEN 1 ELSE count(*) END AS fired
-  FROM {_MESSAGE_ALERTS} GROUP BY 1, 2, 3, 4""")
+def _arrivals(name: str) -> str:
+    """The relation's rows with the slice they came in."""
+    return " UNION ALL ".join(f"SELECT *, {k} AS slice FROM ({landed_so_far(name, k, first=k)})" for k in range(SLICES))
+
+
+@query("stream_weekly_throttle", f"""WITH arrived AS ({_arrivals('alerts_flat')}),
+  raised AS (SELECT slice, project_id, '2' AS alert, event_time, cost AS value, message_id FROM arrived WHERE cost > 0.008 * budget
+    UNION ALL SELECT slice, project_id, '4', event_time, cost, message_id FROM arrived WHERE cost > 0.02 * budget)
+  SELECT project_id, alert, {ts('event_time')}, value, message_id, CAST(iso_year AS INTEGER) AS iso_year, CAST(iso_week AS INTEGER) AS iso_week
+  FROM (SELECT *, isoyear(event_time) AS iso_year, weekofyear(event_time) AS iso_week, row_number() OVER (
+    PARTITION BY project_id, alert, isoyear(event_time), weekofyear(event_time) ORDER BY slice, event_time, value, message_id) AS rn FROM raised)
+  WHERE alert <> '2' OR rn = 1""")
 def stream_weekly_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, checkpoint = _paths(spark, "throttle-stream")
     landing, messages = _messages(spark, sf_dir)
     landing.run(lambda: SA.stream_weekly_throttle(message_alerts(messages()), path, checkpoint))
-    # a repeated message repeats its alert of an unthrottled kind
-    return (SA.fired_alerts(spark, path, message_alerts(messages())).groupBy("project_id", "alert", "iso_year", "iso_week")
-            .agg(F.count_distinct("message_id").alias("fired")))
+    return SA.fired_alerts(spark, path, message_alerts(messages()))
+
 
+# --- machines -----------------------------------------------------------------------
 
-@query("stream_vm_uptime", f"SELECT project_id, vm_id, {ts('start')}, {ts('stop')} FROM intervals")
+#: Snapshots come up to a slice late; a machine is gone after five days without one.
+LATENESS, ABSENT = timedelta(days=7), timedelta(days=5)
+
+# A batch sees the watermark of the newest snapshot in the batches before it. One without data follows at the end of
+# each start, so the last two slices' watermarks take effect at once and those before with the batch after the next.
+
+_LISTED_SNAPSHOTS = f"""WITH arrived AS ({_arrivals('snapshots_flat')}),
+  seen AS (SELECT project_id, vm_id, slice, max(newest) OVER (PARTITION BY project_id, vm_id ORDER BY slice) AS last_seen,
+    lead(slice) OVER (PARTITION BY project_id, vm_id ORDER BY slice) AS following
+    FROM (SELECT project_id, vm_id, slice, max(inventory_time) AS newest FROM arrived GROUP BY ALL)),
+  newest AS (SELECT slice, max(newest) OVER (ORDER BY slice) - INTERVAL {LATENESS.days} DAY AS watermark
+    FROM (SELECT slice, max(inventory_time) AS newest FROM arrived GROUP BY ALL)),
+  gone AS (SELECT project_id, vm_id, max(s.slice) AS gone_after FROM seen AS s JOIN newest AS n
+    ON n.slice = CASE WHEN following IS NULL THEN {SLICES - 1} WHEN following = {SLICES - 1} THEN following - 1 ELSE following - 2 END
+    WHERE n.watermark > s.last_seen + INTERVAL {ABSENT.days} DAY GROUP BY ALL)
+  SELECT a.* EXCLUDE (slice) FROM arrived AS a LEFT JOIN gone AS g USING (project_id, vm_id) WHERE a.slice > coalesce(g.gone_after, -1)"""
+
+
+@query("stream_vm_uptime", f"SELECT project_id, vm_id, {ts('start')}, {ts('stop')} FROM intervals",
+       replaced={"snapshots_flat": _LISTED_SNAPSHOTS})
 def stream_vm_uptime(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A machine has the history since it was last new to the listing; one that left it has none."""
     path, checkpoint = _paths(spark, "uptime-stream")
-    landing = Landing(spark, sf_dir, "snapshots_flat", repeats=True)
-    landing.run(lambda: SI.stream_vm_uptime(landing.stream(), path, checkpoint))
+    landing = Landing(spark, sf_dir, "snapshots_flat", repeats=False)
+    landing.run(lambda: SI.stream_vm_uptime(landing.stream(), path, checkpoint, f"{LATENESS.days} days", ABSENT))
     return SI.current_intervals(spark, path)
 
 
+# --- charges ------------------------------------------------------------------------
+
+def _dated_export(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame], object]) -> None:
+    """The billing export arriving by date, dates in mixed order; ``start(stream)`` starts the query each time."""
+    export = billing_export(spark, sf_dir)
+    path = scratch_path(spark, "export-landed")
+    dates = sorted(r["export_date"] for r in export.select("export_date").distinct().collect())
+    for k in range(SLICES):
+        new = [d for i, d in enumerate(dates) if i * 3 % SLICES == k]
+        export.where(F.col("export_date").isin(new)).write.mode("append").partitionBy("export_date").parquet(path)
+        start(stream_billing_export(spark, path)).awaitTermination()
+
+
 def _hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every exported row is a charge of its own, so none is repeated."""
     path, checkpoint = _paths(spark, "charge-stream")
-    # every exported row is a charge of its own, so none is repeated
-    landing = Landing(spark, sf_dir, "billing_flat", repeats=False)
-    landing.run(lambda: SC.stream_hourly_charges(A.nested_billing(landing.stream()), path, checkpoint))
+    _dated_export(spark, sf_dir, lambda stream: SC.stream_hourly_charges(stream, path, checkpoint))
     return SC.current_hourly_charges(spark, path)
 
 
@@ -148,8 +244,7 @@ def stream_hourly_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_windowed_charges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With a watermark wider than the ten days of the data, so every row is on time."""
     path, checkpoint = _paths(spark, "window-stream")
-    landing = Landing(spark, sf_dir, "billing_flat", repeats=False)
-    landing.run(lambda: SC.stream_windowed_charges(A.nested_billing(landing.stream()), path, checkpoint, lateness="20 days"))
+    _dated_export(spark, sf_dir, lambda stream: SC.stream_windowed_charges(stream, path, checkpoint, lateness="20 days"))
     return SC.current_windowed_charges(spark, path)
 
 

@@ -110,8 +110,24 @@ def test_discount_tiers_are_strict(spark):
     cases = [("n1-standard-4", 0.0, 1.0), ("n1-standard-4", 10950.0, 1.0), ("n1-standard-4", 10950.1, 0.8),
              ("n1-standard-4", 40000.0, 0.4), ("n2-standard-4", 22000.0, 0.733), ("e2-micro", 40000.0, 1.0),
              ("n2d-standard-2", 40000.0, 1.0)]
-    df = spark.createDataFrame(cases, "t string, m double, want double")
-    assert df.where(I.discount_for("t", "m") != F.col("want")).count() == 0
+    rows = [("p", f"vm{i}", *c) for i, c in enumerate(cases)]
+    df = spark.createDataFrame(rows, "project_id string, vm_id string, machine_type string, uptime_minutes double, want double")
+    uptime, vms = df.select("project_id", "vm_id", "uptime_minutes"), df.select("project_id", "vm_id", "machine_type")
+    found = I.sustained_discount(uptime, vms).join(df.select("vm_id", "want"), "vm_id")
+    assert found.count() == len(cases) and found.where("multiplier != want").count() == 0
+    # tiers are rows: others give other results, also where they are no longer small
+    tiers = spark.createDataFrame([("e2", 100.0, 0.5), ("e2", 100.0, 0.4), ("e2", 50000.0, 0.1), ("n1", 0.0, 0.9)],
+                                  "machine_class string, min_minutes double, multiplier double")
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            other = I.sustained_discount(uptime, vms, tiers)
+            plan = other._jdf.queryExecution().executedPlan().toString()
+            assert "NestedLoop" not in plan and "Cartesian" not in plan
+            assert {r["vm_id"]: r["multiplier"] for r in other.collect()} == {
+                "vm0": 1.0, "vm1": 0.9, "vm2": 0.9, "vm3": 0.9, "vm4": 1.0, "vm5": 0.4, "vm6": 1.0}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -11,13 +10,11 @@ from pyspark.sql import functions as F
 
 from tallyforge import schemas
 from tallyforge.operators import billing as B
-from tallyforge.operators import control as K
 from tallyforge.operators import inventory as I
-from tallyforge.sources import state
+from tallyforge.sources.exports import stream_billing_export
 from tallyforge.streaming import alerts as SA
 from tallyforge.streaming import charges as SC
 from tallyforge.streaming import inventory as SI
-from tallyforge.streaming.table import current, write_changes
 from tallyforge.workload.adapters import encoded_alerts
 
 UTC = timezone.utc
@@ -54,84 +51,141 @@ def test_messages_to_spend(spark, messages, tmp_path):
     batch = B.cumulative_spend(B.interval_costs(spark.createDataFrame(messages, ALERT)))
     same(SA.current_spend(spark, table), batch)
 
-    # replaying the last batch, or writing an older one's values again, changes nothing
-    newest = max(int(p.name[11:]) for p in (tmp_path / "state").iterdir() if p.name.startswith("generation="))
-    last = spark.createDataFrame(B.interval_costs(spark.createDataFrame(messages, ALERT)).collect()[:5], SA.INTERVAL_COSTS)
-    for _ in range(2):
-        write_changes(last, table, newest, ["project_id", "interval_start"])
-        same(SA.current_spend(spark, table), batch)
-    # of each part at most two generations are left
-    kept = [(p.parent.name, p.name) for p in (tmp_path / "state").glob("generation=*/part=*")]
-    assert max(Counter(part for _, part in kept).values()) <= 2
-
-
-def test_unfinished_generations_are_not_read(spark, tmp_path):
-    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
-    table = str(tmp_path / "t")
-    write_changes(rows(("a", 1), ("b", 1)), table, 0, ["k"], parts=2)
-    write_changes(rows(("a", 2)), table, 1, ["k"], parts=2)
-    schema = rows(("a", 1)).schema
-    assert sorted(map(tuple, current(spark, table, schema).collect())) == [("a", 2), ("b", 1)]
-    (tmp_path / "t" / "generation=1" / "_SUCCESS").unlink()
-    assert sorted(map(tuple, current(spark, table, schema).collect())) == [("a", 1), ("b", 1)]
-
 
 def test_throttle_fires_once_per_week(spark, messages, tmp_path):
+    """Whatever the order: late weeks are looked up, and the first to arrive fires."""
+    source, table, checkpoint = (str(tmp_path / n) for n in ("in", "fired", "checkpoint"))
+    kinds = lambda df: df.select("project_id", F.when(F.col("cost") > 500, "2").otherwise("4").alias("alert"), "event_time",
+                                 F.col("cost").alias("value"), "message_id")
+    stream = lambda: kinds(SA.stream_budget_alerts(SA.read_messages(spark, source, files_per_trigger=1)))
+    by_time = sorted(messages, key=lambda m: m[4])
+    slices = [by_time[200:], by_time[:120], by_time[120:200], by_time[:30], by_time[100:]]
+    for k, rows in enumerate(slices):
+        encoded_alerts(spark.createDataFrame(rows, ALERT)).coalesce(1).write.mode("append").parquet(source)
+        if k in (2, 4):
+            progress = SA.stream_weekly_throttle(stream(), table, checkpoint)
+            progress.awaitTermination()
+    fired = SA.fired_alerts(spark, table, stream()).collect()
+    want, seen = [], set()
+    for rows in slices:
+        for project, _, cost, _, at, number in sorted(rows, key=lambda m: m[4]):
+            year, week, _ = at.isocalendar()
+            key = (project, "2", year, week) if cost > 500 else (project, "4", number)
+            if key not in seen:
+                seen.add(key)
+                want.append((project, key[1], at, cost, number, year, week))
+    got = [(r["project_id"], r["alert"], r["event_time"].astimezone(UTC), r["value"], r["message_id"], r["iso_year"], r["iso_week"]) for r in fired]
+    assert sorted(got) == sorted(want)
+
+
+def test_throttle_state_is_two_weeks(spark, tmp_path):
     source, table = str(tmp_path / "in"), str(tmp_path / "fired")
-    for k in range(3):
-        encoded_alerts(spark.createDataFrame(messages[k::3], ALERT)).coalesce(1).write.mode("append").parquet(source)
-    kinds = lambda df: df.select("project_id", F.when(F.col("cost") > 500, "2").otherwise("4").alias("alert"), "event_time", "message_id")
-    alerts = kinds(SA.stream_budget_alerts(SA.read_messages(spark, source, files_per_trigger=1)))
-    SA.stream_weekly_throttle(alerts, table, str(tmp_path / "checkpoint")).awaitTermination()
-    fired = SA.fired_alerts(spark, table, alerts)
-    batch = K.weekly_throttle(kinds(spark.createDataFrame(messages, ALERT)))
-    keys = ["project_id", "alert", "iso_year", "iso_week"]
-    same(fired.where("alert = '2'").select(*keys), batch.where("alert = '2'").select(*keys))
-    same(fired.where("alert = '4'").select("message_id"), batch.where("alert = '4'").select("message_id"))
+    for week in range(10):
+        rows = [("p", T0, 900.0 + h, 100.0, T0 + timedelta(weeks=week, hours=h), week * 100 + h) for h in range(0, 160, 20)]
+        encoded_alerts(spark.createDataFrame(rows, ALERT)).coalesce(1).write.mode("append").parquet(source)
+    alerts = SA.stream_budget_alerts(SA.read_messages(spark, source, files_per_trigger=1)).select(
+        "project_id", F.lit("2").alias("alert"), "event_time", "message_id")
+    query = SA.stream_weekly_throttle(alerts, table, str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(rows) == 10 and max(rows) <= 3
+    assert SA.fired_alerts(spark, table, alerts).count() in (10, 11)      # ten spans of a week touch eleven ISO weeks at most
 
 
 def test_uptime_out_of_order(spark, tmp_path):
+    """Machines that stay listed have the batch history; one that leaves loses its state and its intervals."""
     from test_inventory import SNAP, history
 
     rng = random.Random(23)
-    rows = [r for i in range(15) for r in history(rng, f"vm{i}", 500)]
-    rng.shuffle(rows)
-    source, table = str(tmp_path / "in"), str(tmp_path / "cycles")
-    for k in range(3):
-        spark.createDataFrame(rows[k::3] + rows[:20], SNAP).coalesce(1).write.mode("append").parquet(source)
-    whole = spark.createDataFrame(rows, SNAP)
-    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    SI.stream_vm_uptime(stream, table, str(tmp_path / "checkpoint")).awaitTermination()
-    same(SI.current_intervals(spark, table), I.uptime_intervals(whole))
-    listed = spark.createDataFrame([("p", "vm3")], "project_id string, vm_id string")
-    assert {r["vm_id"] for r in SI.current_intervals(spark, table, listed).collect()} == {"vm3"}
+    rows = sorted((r for i in range(12) for r in history(rng, f"vm{i}", 500)), key=lambda r: r[2])
+    last = rows[-1][2]
+    mid = rows[len(rows) // 2][2]
+    gone = {"vm3", "vm7"}
+    rows = [r for r in rows if r[1] not in gone or r[2] < mid]
+    late = [r for r in rows if rng.random() < 0.1]
+    source, table = str(tmp_path / "in"), str(tmp_path / "intervals")
+    step = -(-len(rows) // 5)
+    for k in range(6):
+        part = [r for r in rows[k * step:(k + 1) * step] if r not in late] + [r for r in rows[max(0, k - 1) * step:k * step] if r in late]
+        spark.createDataFrame(part + part[:9], SNAP).coalesce(1).write.mode("append").parquet(source)
+    span = (rows[-1][2] - rows[0][2]) / 5
+    stream = spark.readStream.schema(spark.createDataFrame(rows, SNAP).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    query = SI.stream_vm_uptime(stream, table, str(tmp_path / "checkpoint"), f"{int(span.total_seconds() * 1.5)} seconds",
+                                timedelta(seconds=int(span.total_seconds() * 0.5)))
+    query.awaitTermination()
+    assert last - mid > 2 * span
+    listed = spark.createDataFrame([r for r in rows if r[1] not in gone], SNAP)
+    same(SI.current_intervals(spark, table), I.uptime_intervals(listed))
+    operators = [p["stateOperators"][0] for p in query.recentProgress if p["stateOperators"]]
+    assert sum(o["numRowsDroppedByWatermark"] for o in operators) == 0
+    assert operators[-1]["numRowsTotal"] < max(o["numRowsTotal"] for o in operators)
+
+
+def test_gone_machine_begins_anew(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "intervals")
+    columns = "project_id string, vm_id string, inventory_time timestamp, status string, started timestamp, last_stop timestamp"
+    day = lambda n: T0 + timedelta(days=n)
+    for rows in ([("p", "a", day(1), "RUNNING", day(0), None), ("p", "b", day(1), "RUNNING", day(0), None)],
+                 [("p", "b", day(9), "RUNNING", day(0), None)],
+                 [("p", "b", day(10), "RUNNING", day(0), None)],
+                 [("p", "b", day(20), "RUNNING", day(0), None), ("p", "a", day(20), "RUNNING", day(18), day(15))]):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(spark.createDataFrame([], columns).schema).option("maxFilesPerTrigger", 1).parquet(source)
+    SI.stream_vm_uptime(stream, table, str(tmp_path / "checkpoint"), "1 hour", timedelta(days=7)).awaitTermination()
+    got = {(r["vm_id"], r["start"].astimezone(UTC), r["stop"]) for r in SI.current_intervals(spark, table).collect()}
+    # a's first run went with it; b was listed within a week each time but the last, when it came back in time
+    assert got == {("a", day(18), None), ("b", day(0), None)}
 
 
 def test_hourly_charges_take_late_rows(spark, tmp_path):
     source = str(tmp_path / "in")
+    states = []
 
     def land(*rows):
         data = [(("p", "P"), ("Compute",), ("S", "text"), cost, (1.0, "hour"), ("202012",), start, start + timedelta(hours=1),
                  start + timedelta(hours=5), start.date()) for cost, start in rows]
-        spark.createDataFrame(data, schemas.BILLING_EXPORT).coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame(data, schemas.BILLING_EXPORT).write.mode("append").partitionBy("export_date").parquet(source)
         for kind, start_stream in (("exact", SC.stream_hourly_charges),
                                    ("window", lambda *a: SC.stream_windowed_charges(*a, lateness="2 days"))):
-            stream = spark.readStream.schema(schemas.BILLING_EXPORT).parquet(source)
-            start_stream(stream, str(tmp_path / kind), str(tmp_path / f"{kind}-checkpoint")).awaitTermination()
+            query = start_stream(stream_billing_export(spark, source), str(tmp_path / kind), str(tmp_path / f"{kind}-checkpoint"))
+            query.awaitTermination()
+            if kind == "exact":
+                states.extend(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"])
 
     def totals(df):
         return {r["usage_hour"].astimezone(UTC): r["total_cost"] for r in df.collect()}
 
     land((1.0, T0), (2.0, T0 + timedelta(minutes=10)), (0.000001, T0))
     land((4.0, T0 + timedelta(hours=30)), (8.0, T0))            # late by 30 hours
-    land((16.0, T0 + timedelta(hours=90)))
+    land((16.0, T0 + timedelta(hours=90)))                       # a date that was not there before
     land((32.0, T0))                                             # late by more than the two days
+    land(*[(1.0, T0 + timedelta(hours=100 + h)) for h in range(0, 200, 5)])
     later = {T0 + timedelta(hours=30): 4.0, T0 + timedelta(hours=90): 16.0}
-    assert totals(SC.current_hourly_charges(spark, str(tmp_path / "exact"))) == {T0: 43.0, **later}
-    assert totals(SC.current_windowed_charges(spark, str(tmp_path / "window"))) == {T0: 11.0, **later}
+    many = {T0 + timedelta(hours=100 + h): 1.0 for h in range(0, 200, 5)}
+    assert totals(SC.current_hourly_charges(spark, str(tmp_path / "exact"))) == {T0: 43.0, **later, **many}
+    assert totals(SC.late_charges(spark, str(tmp_path / "exact"))) == {T0: 32.0}
+    assert totals(SC.current_windowed_charges(spark, str(tmp_path / "window"))) == {T0: 11.0, **later, **many}
+    assert max(states) <= 50 and states[-1] <= 10                # the hours of two days, whatever came before
+
+
+def test_batches_cost_the_same(spark, tmp_path):
+    """Over 30 batches each of a new day, a batch rewrites its own day only, and the state keeps its size."""
+    source, table = str(tmp_path / "in"), str(tmp_path / "hours")
+    for d in range(30):
+        rows = [(("p", "P"), ("Compute",), (f"S{i}", "text"), 1.0, (1.0, "hour"), ("202012",), at, at, at, at.date())
+                for i in range(5) for at in [T0 + timedelta(days=d, hours=i)]]
+        spark.createDataFrame(rows, schemas.BILLING_EXPORT).coalesce(1).write.mode("append").partitionBy("export_date").parquet(source)
+    query = SC.stream_hourly_charges(stream_billing_export(spark, source, files_per_trigger=1), table, str(tmp_path / "checkpoint"))
+    query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert len(rows) == 30 and max(rows[5:]) == rows[4]
+    times = {d.name: max(f.stat().st_mtime for f in d.iterdir()) for d in (tmp_path / "hours" / "hours" / "rows").glob("part=*")}
+    assert len(times) == 30 and [times[d] for d in sorted(times)] == sorted(times.values())
+    assert SC.current_hourly_charges(spark, table).count() == 150
 
 
 def test_control_decides_after_each_batch(spark, messages, tmp_path):
+    from tallyforge.sources.state import read_run, save_run
     from tallyforge.streaming.control import stream_control
 
     source = str(tmp_path / "in")
@@ -139,8 +193,7 @@ def test_control_decides_after_each_batch(spark, messages, tmp_path):
         encoded_alerts(spark.createDataFrame(messages[k::2], ALERT)).coalesce(1).write.mode("append").parquet(source)
     decided = str(tmp_path / "decided")
     stream_control(SA.stream_budget_alerts(SA.read_messages(spark, source, files_per_trigger=1)), str(tmp_path / "state"),
-                   str(tmp_path / "checkpoint"), lambda spend, run: state.save_state(spend, decided, run)).awaitTermination()
+                   str(tmp_path / "checkpoint"), lambda spend, run: save_run(spend, decided, run)).awaitTermination()
     batch = B.cumulative_spend(B.interval_costs(spark.createDataFrame(messages, ALERT)))
-    last = state.read_versions(spark, decided, batch.schema)
-    assert last.select("version").distinct().count() == 2
-    same(last.where("version = 1").drop("version"), batch)
+    assert sorted(p.name for p in (tmp_path / "decided").iterdir()) == ["version=0", "version=1"]
+    same(read_run(spark, decided, 1, batch.schema), batch)
