@@ -101,9 +101,7 @@ def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
             for first, data, offsets in K.text_buffers(batch.column(1)):
                 starts, ends, bounds = K.words(data, offsets)
                 words = K.word_codes(data, starts, ends, lower=True)
-                second = K.word_codes(data, starts, ends, which=1, lower=True)
-                hi = K.range_codes(words, bounds[:-1], bounds[1:], 0)
-                lo = K.range_codes(second, bounds[:-1], bounds[1:], 1)
+                hi, lo = K.sequence_codes(words, bounds)
                 sizes, bands, bits = [], [], []
                 for a, b in zip(bounds[:-1], bounds[1:]):
                     keys = shingles(words[a:b], k)

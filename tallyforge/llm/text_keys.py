@@ -1,13 +1,17 @@
 """Vectorised word splitting and window fingerprints over the UTF-8 bytes of many texts.
 
 All functions take one contiguous byte buffer with the texts' offsets, as Arrow
-stores a string column, and work on whole texts. Fingerprints are polynomial
-hashes modulo 2**64 over random letter codes: a prefix sum gives the code of
-any range, so every window of every text costs the same few array operations.
+stores a string column, and work on whole texts. Words have keys that mix their
+bytes in one after another. Fingerprints of windows are polynomial hashes
+modulo 2**64 over such keys or random letter codes: a prefix sum gives the code
+of any range, so every window of every text costs the same few array operations.
+These are for windows of up to a few hundred places; long sequences can be built
+whose polynomials agree, so whole texts and words have digests instead.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +26,11 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 _CODES = np.random.default_rng(20240229).integers(1, 2**63, (2, 256), dtype=np.uint64) * 2 + 1
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+_SEEDS = np.array([0x8A5CD789635D2DFF, 0x121FD2155C472F96], dtype=np.uint64)
+_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], dtype=np.uint64)
+_ALL = np.uint64(2**64 - 1)
+#: Bytes of a word beyond which the rest is digested at once.
+LONG_WORD = 1024
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -110,8 +119,31 @@ def byte_codes(data: np.ndarray, which: int = 0, lower: bool = False) -> np.ndar
 
 
 def word_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, lower: bool = False) -> np.ndarray:
-    """One 64-bit key per word."""
-    return range_codes(byte_codes(data, which, lower), starts, ends, which)
+    """One 64-bit key per word: its bytes, eight at a time, each mixed in before the next."""
+    padded = np.zeros(len(data) + 8, dtype=np.uint8)
+    padded[:len(data)] = _LOWER[data] if lower else data
+    eights = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    keys = mixed((ends - starts).astype(np.uint64) ^ _SEEDS[which])
+    left = np.arange(len(starts))
+    at = starts
+    while len(left):
+        kept = np.minimum(ends[left] - at, 8).astype(np.uint64)
+        part = eights[at] & (_ALL >> (np.uint64(64) - np.uint64(8) * kept))
+        keys[left] = mixed(keys[left] ^ part * _ODD[which]) * _ODD[which]
+        more = ends[left] - at > 8
+        left, at = left[more], at[more] + 8
+        if len(left) and at[0] - starts[left[0]] >= LONG_WORD:
+            for i, rest in zip(left.tolist(), at.tolist()):
+                keys[i] ^= np.frombuffer(hashlib.blake2b(padded[rest:ends[i]], digest_size=8, salt=bytes([which])).digest(), dtype="<u8")[0]
+            break
+    return keys
+
+
+def sequence_codes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit keys of the whole word sequences of texts, in two halves."""
+    raw = b"".join(hashlib.blake2b(words[a:b], digest_size=16).digest() for a, b in zip(bounds[:-1], bounds[1:]))
+    both = np.frombuffer(raw, dtype="<u8").reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()
 
 
 def ranges(counts: np.ndarray) -> np.ndarray:
