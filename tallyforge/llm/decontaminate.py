@@ -50,6 +50,8 @@ MAX_EDITS = 0.2
 #: Tables in each direction, and the least beginning of a walk that a table samples.
 WALKS, SAMPLES, PLACES, LEAST_STEPS = 10, 6, 4, 6
 STEPS_PER_WORD = 2
+#: Bytes of texts searched at once; few windows are walked, so short runs would cost more in calls than in work.
+RUN_BYTES = 4 << 20
 #: Items of one size class differ in length by this factor at most.
 CLASS_FACTOR = 1.25
 #: Thai, Lao, Tibetan, Myanmar, Khmer, kana, Han and its compatibility and further planes: firsts and ends.
@@ -167,17 +169,23 @@ class Index:
                 self.short.append((n, keys[order], members[order]))
         long_items = [w for _, w in self.items if len(w) >= MIN_WORDS]
         self.limits = [int(max_edits * len(w)) for w in long_items]
-        pairs = [self.pairs(w) for w in long_items]
-        self.known_pairs = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.uint64)
+        self.pairs_of = [self.pairs(w).tolist() for w in long_items]
         by_class: dict[int, list[int]] = defaultdict(list)
         for at, w in enumerate(long_items):
             by_class[int(np.log(len(w)) / np.log(CLASS_FACTOR))].append(at)
+        # every word pair of the items with the classes that have it, a bit each
+        pairs = [(self.pairs(long_items[m]), c) for c, members in enumerate(by_class.values()) for m in members]
+        self.known_pairs, place = np.unique(np.concatenate([p for p, _ in pairs]), return_inverse=True) if pairs else (
+            np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+        self.pair_classes = np.zeros(len(self.known_pairs), dtype=np.uint64)
+        np.bitwise_or.at(self.pair_classes, place, np.repeat(
+            np.array([1 << c for _, c in pairs], dtype=np.uint64), [len(p) for p, _ in pairs]))
         self.classes = []
         for members in by_class.values():
             lengths = [len(self.items[m][1]) for m in members]
             low = min(lengths)
-            # word pairs that the first ``low`` words of any match keep
-            kept = max(1, low - 1 - 2 * max(self.limits[m] for m in members))
+            # word pairs of this class that the first ``low`` words of any match keep; none at very large shares of edits
+            kept = max(0, low - 1 - 2 * max(self.limits[m] for m in members))
             walks = Walks(STEPS_PER_WORD * low)
             ends = np.cumsum(lengths)
             ways = []
@@ -197,15 +205,16 @@ class Index:
     def candidates(self, words: np.ndarray, bounds: np.ndarray, way: int = 1) -> tuple[np.ndarray, np.ndarray]:
         """(start, item) of all windows that share a key with an item, each once; -1: words, bounds and windows run backwards."""
         found = []
-        if len(words) < 2 or not len(self.known_pairs):
+        if not len(words) or not self.classes:
             return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         pairs = self.pairs(words[::way])[::way]
         at = np.minimum(np.searchsorted(self.known_pairs, pairs), len(self.known_pairs) - 1)
-        hits = np.concatenate([[0], np.cumsum(self.known_pairs[at] == pairs)])
+        classes_of = np.where(self.known_pairs[at] == pairs, self.pair_classes[at], np.uint64(0))
         text_of = np.searchsorted(bounds, np.arange(len(words)), side="right") - 1
         stops = bounds[text_of + 1]
-        for low, kept, walks, ways in self.classes:
-            begin = np.arange(len(words))
+        begin = np.arange(len(words))
+        for c, (low, kept, walks, ways) in enumerate(self.classes):
+            hits = np.concatenate([[0], np.cumsum(classes_of >> np.uint64(c) & np.uint64(1), dtype=np.int64)])
             # a match that loses words is shorter than the item: its pairs lie within the first low-1 ones all the same
             starts = np.flatnonzero(hits[np.minimum(begin + low - 1, len(pairs))] - hits[np.minimum(begin, len(pairs))] >= kept)
             if not len(starts):
@@ -219,6 +228,11 @@ class Index:
         start, item = np.unique(np.concatenate(found, axis=1), axis=1)
         return start, item
 
+    def likely(self, m: int, pairs: np.ndarray) -> bool:
+        """Whether a window with these word pairs keeps as many of the item's as any match does."""
+        there, own = set(pairs.tolist()), self.pairs_of[m]
+        return sum(p in there for p in own) >= len(own) - 2 * self.limits[m]
+
     def short_matches(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """As ``matches``, the first place of each short item in each text."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
@@ -239,16 +253,23 @@ class Index:
     def matches(self, words: np.ndarray, bounds: np.ndarray) -> dict[tuple[int, int], tuple[int, int, int]]:
         """(text, item) to (edits, start, words) of its best window."""
         best = self.short_matches(words, bounds)
+        pairs = self.pairs(words)
         candidates = set(zip(*(c.tolist() for c in self.candidates(words, bounds))))
         # what is found from an item's end gives the start that fits it best
         back, turned = words[::-1], len(words) - bounds[::-1]
         for last, m in zip(*(c.tolist() for c in self.candidates(back, turned, -1))):
             stop = int(turned[np.searchsorted(turned, last, side="right")])
+            reach = min(stop, last + len(self.items[m][1]) + self.limits[m])
+            if not self.likely(m, pairs[len(words) - reach:len(words) - last - 1]):
+                continue
             edits, n = edit_distance(self.items[m][1][::-1], back[last:stop], self.limits[m])
             if edits <= self.limits[m] and n:
                 candidates.add((len(words) - last - n, m))
         for start, m in sorted(candidates):
             text = int(np.searchsorted(bounds, start, side="right")) - 1
+            reach = min(int(bounds[text + 1]), start + len(self.items[m][1]) + self.limits[m])
+            if not self.likely(m, pairs[start:reach - 1]):
+                continue
             edits, end = edit_distance(self.items[m][1], words[start:bounds[text + 1]], self.limits[m])
             if edits <= self.limits[m]:
                 found = (edits, start - int(bounds[text]), end)
@@ -268,7 +289,7 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 
 
 def _text_words(batch_column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for first, data, offsets in K.text_buffers(batch_column):
+    for first, data, offsets in K.text_buffers(batch_column, RUN_BYTES):
         starts, ends, bounds = word_bounds(data, offsets)
         yield first, K.word_codes(data, starts, ends), bounds
 

@@ -290,3 +290,67 @@ def test_text_runs_never_cut_a_text():
 
     texts = ["a" * 50, None, "b", "c" * 500]
     assert [(first, len(offsets) - 1) for first, _, offsets in K.text_buffers(pa.array(texts), 60)] == [(0, 3), (3, 1)]
+
+
+# --- texts built so that polynomial fingerprints agree ------------------------------
+
+def thue_morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+@pytest.mark.parametrize("letters", [1024, 4096])
+def test_built_words_are_told_apart(spark, letters):
+    one, other = "".join(thue_morse(letters, "a", "b")), "".join(thue_morse(letters, "b", "a"))
+    data = np.frombuffer((one + " " + other + " " + one).encode(), dtype=np.uint8)
+    starts, ends, _ = K.words(data, np.array([0, len(data)]))
+    for which in (0, 1):
+        codes = K.word_codes(data, starts, ends, which)
+        assert codes[0] == codes[2] != codes[1]
+    found = minhash.near_duplicates(frame(spark, [(1, one), (2, other), (3, one)]), k=2).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 2, 3: 1}
+    rest = " ".join(f"w{i}" for i in range(34))
+    kept = substring_dedup.remove_repeats(frame(spark, [(1, f"{rest} {one}"), (2, f"{rest} {other}"), (3, f"x {rest} {one} y")])).collect()
+    assert {r["doc_id"]: r["n_removed"] for r in kept} == {1: 35, 2: 0, 3: 35}
+    item = f"{rest} {one}"
+    leaks = decontaminate.find_leaks(frame(spark, [(1, f"x {item} y"), (2, other), (3, one)]),
+                                     spark.createDataFrame([(7, item), (8, one)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in leaks} == {(1, 7, 0), (1, 8, 0), (3, 8, 0)}
+    strings = suffix_dedup.remove_repeats(frame(spark, [(1, one), (2, other)])).collect()
+    bytes_of = {1: one.encode(), 2: other.encode()}
+    seen, want = set(), {}
+    for i, t in bytes_of.items():
+        gone = set()
+        for at in range(len(t) - 99):
+            if t[at:at + 100] in seen:
+                gone.update(range(at, at + 100))
+            seen.add(t[at:at + 100])
+        want[i] = len(gone)
+    assert {r["doc_id"]: r["n_removed"] for r in strings} == want
+
+
+def test_built_sequences_are_told_apart(spark):
+    one, other = " ".join(thue_morse(1024, "aa", "bb")), " ".join(thue_morse(1024, "bb", "aa"))
+    found = minhash.near_duplicates(frame(spark, [(1, one), (2, other), (3, one)]), k=5).collect()
+    shingle = lambda t: {tuple(t.split()[i:i + 5]) for i in range(1020)}
+    same = len(shingle(one) & shingle(other)) * 100 >= 80 * len(shingle(one) | shingle(other))
+    assert {r["doc_id"]: r["component_id"] for r in found} == {1: 1, 2: 1 if same else 2, 3: 1}
+    windows = substring_dedup.remove_repeats(frame(spark, [(1, one), (2, other)])).collect()
+    counts = Counter(tuple(t.split()[i:i + 35]) for t in (one, other) for i in range(990))
+    want = {}
+    for i, t in ((1, one), (2, other)):
+        gone = set()
+        for at in range(990):
+            if counts[tuple(t.split()[at:at + 35])] > 1:
+                gone.update(range(at, at + 35))
+        want[i] = len(gone)
+    assert {r["doc_id"]: r["n_removed"] for r in windows} == want
+
+
+def test_matches_at_large_shares_of_edits(spark):
+    """Where no word pair need survive, no window is left out."""
+    item = " ".join(f"i{k}" for k in range(10))
+    text = " ".join(f"i{k}" if k % 2 else f"x{k}" for k in range(10))
+    found = decontaminate.Index([(1, decontaminate.item_words([item])[0])], 0.6)
+    assert found.classes[0][1] == 0
+    words = decontaminate.item_words([text])[0]
+    assert found.likely(0, found.pairs(words))
