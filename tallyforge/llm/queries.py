@@ -45,11 +45,42 @@ def op2_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+# five hex digits are 20 bits, four letters of base32
+ORACLES["op2_warc_archives"] = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS h,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + CAST((CAST('0x' || substr(h, 1 + 5 * (i // 4), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p
+"""
+
+
 @query
 def op3_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+# every string of 100 bytes as hex digits; positions count from 0
+ORACLES["op3_repeated_strings"] = """
+WITH d AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+strings AS (SELECT doc_id, unnest(range(n - 99)) AS place, x FROM d WHERE n >= 100),
+repeated AS (SELECT list((doc_id, place)) AS spots, min((doc_id, place)) AS first FROM strings
+  GROUP BY substr(x, 2 * place + 1, 200) HAVING count(*) > 1),
+later AS (SELECT spot[1] AS doc_id, spot[2] AS place FROM (SELECT unnest(spots) AS spot, first FROM repeated) WHERE spot <> first),
+marked AS (SELECT *, coalesce(place - lag(place) OVER (PARTITION BY doc_id ORDER BY place) > 100, true) AS opens FROM later),
+numbered AS (SELECT *, count_if(opens) OVER (PARTITION BY doc_id ORDER BY place) AS run FROM marked),
+runs AS (SELECT doc_id, min(place) AS a, max(place) + 100 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+cut AS (SELECT g.doc_id, count(*) AS n_spans, CAST(sum(b - a) AS BIGINT) AS n_removed,
+    string_agg(substr(d.x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) || substr(any_value(d.x), 2 * max(b) + 1) AS kept
+  FROM gaps AS g JOIN d ON d.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT d.doc_id, d.n AS n_bytes, coalesce(c.n_removed, 0) AS n_removed, coalesce(c.n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(c.kept, d.x))) AS kept_sha256
+FROM d LEFT JOIN cut AS c ON c.doc_id = d.doc_id
+"""
+
+
 @query
 def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
@@ -69,6 +100,30 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=2)
 
 
+# Equal sets are one class. Two sets of similarity 0.8 share one of the rarest fifth of either's shingles.
+ORACLES["op6_near_dedup"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(w) = 1 THEN w ELSE list_sort(list_distinct(list_transform(range(1, len(w)),
+    lambda i: w[i] || ' ' || w[i + 1]))) END AS s FROM w),
+classes AS MATERIALIZED (SELECT s, len(s) AS n, min(doc_id) AS c FROM sets WHERE len(s) > 0 GROUP BY s),
+shingles AS (SELECT c, n, unnest(s) AS shingle FROM classes),
+ordered AS (SELECT c, n, shingle, row_number() OVER (PARTITION BY c ORDER BY docs, shingle) AS place FROM (
+  SELECT *, count(*) OVER (PARTITION BY shingle) AS docs FROM shingles)),
+heads AS MATERIALIZED (SELECT c, n, shingle FROM ordered WHERE place <= n - (4 * n + 4) // 5 + 1),
+pairs AS (SELECT DISTINCT a.c AS a, b.c AS b FROM heads AS a JOIN heads AS b ON b.shingle = a.shingle AND a.c < b.c
+  WHERE 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n),
+links AS MATERIALIZED (SELECT a, b FROM (SELECT p.a, p.b, x.n + y.n AS total, len(list_intersect(x.s, y.s)) AS shared
+  FROM pairs AS p JOIN classes AS x ON x.c = p.a JOIN classes AS y ON y.c = p.b) WHERE 100 * shared >= 80 * (total - shared)),
+ways AS MATERIALIZED (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (SELECT c, c AS other FROM classes UNION SELECT r.c, ways.b FROM reached AS r JOIN ways ON ways.a = r.other),
+parts AS (SELECT c, min(other) AS component_id FROM reached GROUP BY c)
+SELECT d.doc_id, len(d.s) AS n_shingles, coalesce(p.component_id, d.doc_id) AS component_id,
+  coalesce(p.component_id, d.doc_id) = d.doc_id AS kept
+FROM sets AS d LEFT JOIN classes AS k ON k.s = d.s LEFT JOIN parts AS p ON p.c = k.c
+"""
+
+
 @query
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -98,6 +153,19 @@ def op10_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False).drop("kept_text")
 
 
+# a word is covered by the windows that start at it or up to 34 words before
+ORACLES["op10_repeated_windows"] = r"""
+WITH d AS MATERIALIZED (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT doc_id, w[place] AS word, place, CASE WHEN place + 34 <= len(w) THEN array_to_string(w[place:place + 34], ' ') END AS win
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS place FROM d)),
+counted AS (SELECT *, win IS NOT NULL AND count(*) OVER (PARTITION BY win) > 1 AS again FROM words),
+covered AS (SELECT *, bool_or(again) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM counted),
+kept AS (SELECT doc_id, count_if(gone) AS n_removed, string_agg(word, ' ' ORDER BY place) FILTER (NOT gone) AS text FROM covered GROUP BY doc_id)
+SELECT d.doc_id, len(d.w) AS n_words, coalesce(CAST(k.n_removed AS BIGINT), 0) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept AS k ON k.doc_id = d.doc_id
+"""
+
+
 @query
 def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
