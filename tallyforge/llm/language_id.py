@@ -10,7 +10,8 @@ repeated lines, numbers and markup do not drown the language. Every word of the
 whole text is used. Equal sizes go to the language with more training texts.
 
 Defined cases: null, empty or letterless text is ``und`` with score 0 and is
-rejected; with no labelled text at all everything is; with one language its
+rejected; with no labelled text at all everything is; a language without a labelled letter
+is never predicted; with one language its
 margin is 1. Other columns are never read.
 """
 
@@ -46,26 +47,34 @@ def letters_only(text: str) -> str:
 def train(docs: DataFrame, labelled: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           texts: int = TRAIN_TEXTS, chars: tuple[int, int] = TRAIN_CHARS,
           size: int = DICTIONARY_BYTES) -> list[tuple[str, bytes]]:
-    """(language, dictionary) by falling number of texts, from ``texts`` rows a language in hash order of their ids.
+    """(language, dictionary) by falling number of texts, from ``texts`` rows a language.
 
-    The sample's ids are ranked first, without texts; what reaches the driver is
-    bounded by languages x ``texts`` rows.
+    Texts of ``chars`` characters come first, in hash order; a language with too
+    few of them is filled up with shorter texts and with longer ones, of which
+    it learns from the first ``chars[1]`` characters. The sample is ranked
+    without texts; what reaches the driver is bounded by languages x ``texts``
+    rows of ``chars[1]`` characters, whatever the ids (equal rows count once).
     """
     rows = (docs.filter(labelled & col(lang_col).isNotNull())
             .select(col(id_col).alias("doc_id"), col(lang_col).alias("lang"), col(text_col).alias("text")))
-    usable = rows.filter(F.length("text").between(*chars))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    ranked = (usable.select("lang", F.xxhash64("doc_id", "lang").alias("h"))
+    keyed = (rows.filter(F.length("text") > 0)
+             .select("lang", "text", F.xxhash64("doc_id", "lang", "text").alias("h"), F.length("text").between(*chars).alias("fits")))
+    ranked = (keyed.select("lang", "h", "fits")
               # each task passes on its own first rows of a language only
-              .selectExpr("lang", "h", "row_number() OVER (PARTITION BY lang ORDER BY h) AS place")
+              .selectExpr("lang", "h", "row_number() OVER (PARTITION BY lang ORDER BY fits DESC, h) AS place")
               .filter(F.col("place") <= texts))
     wanted = [r["h"] for r in ranked.select("h").distinct().collect()]
-    taken = usable.filter(F.xxhash64("doc_id", "lang").isin(wanted)).collect() if wanted else []
+    taken = (keyed.filter(F.col("h").isin(wanted)).groupBy("lang", "h").agg(F.min(F.left("text", F.lit(chars[1]))).alias("text"))
+             .collect() if wanted else [])
     found: dict[str, list] = {lang: [] for lang in counts}
-    for r in sorted(taken, key=lambda r: (str(r["doc_id"]), r["text"])):
-        found[r["lang"]].append(letters_only(r["text"]))
+    for r in sorted(taken, key=lambda r: (r["h"], r["text"])):
+        words = letters_only(r["text"])
+        if words.strip():
+            found[r["lang"]].append(words)
     # the end of a dictionary is nearest to the text and cheapest to refer to
-    return [(lang, "".join(found[lang]).encode()[-size:]) for lang in sorted(found, key=lambda x: (-counts[x], x)) if found[lang]]
+    return [(lang, "".join(found[lang]).encode("utf-8", "surrogatepass")[-size:])
+            for lang in sorted(found, key=lambda x: (-counts[x], x)) if found[lang]]
 
 
 def predict(docs: DataFrame, model: list[tuple[str, bytes]], id_col: str = "doc_id", text_col: str = "text",

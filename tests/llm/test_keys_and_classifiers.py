@@ -220,3 +220,30 @@ def test_zip64_directory_and_broken_files():
         warc.parse_record(record.replace(b"payload", b"pAyload"))
     assert gzip.decompress(gzip.compress(record)) == record
     assert hashlib.sha1(b"").digest() and warc.sha1_base32(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
+
+
+def test_rare_languages_and_bad_ids_in_training(spark):
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm import language_id
+
+    common = [(None, f"the quick brown fox number {i} jumps over a lazy dog and then sleeps " * 4, "en") for i in range(400)]
+    # a language of short messages, one of a single very long text, one without letters, equal rows
+    rare = [(i, f"ciao bella giornata amico mio {i}", "it") for i in range(5)] + [(7, "zażółć gęślą jaźń źrebię " * 2000, "pl"), (8, "12 34", "xx")]
+    docs = spark.createDataFrame(common + rare + [rare[0]] * 500, "doc_id long, text string, lang string")
+    model = dict(language_id.train(docs, F.lit(True), texts=20))
+    assert set(model) == {"en", "it", "pl"} and b"ciao" in model["it"]
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs.filter("doc_id IS NOT NULL").dropDuplicates(), list(model.items())).collect()}
+    assert got[0] == "it" and got[7] == "pl" and got[8] == "und"
+
+
+def test_the_training_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tallyforge.llm import language_id
+
+    docs = spark.createDataFrame([(None, f"word{'abcdefghij'[i % 10]} {'x' * i} " * 60, "en") for i in range(300)], "doc_id long, text string, lang string")
+    seen = []
+    monkeypatch.setattr(language_id, "letters_only", lambda t: seen.append(len(t)) or " x")
+    language_id.train(docs, F.lit(True), texts=20)
+    assert len(seen) <= 20 and max(seen) <= language_id.TRAIN_CHARS[1]
