@@ -1,24 +1,31 @@
 """Personal data: fixed patterns, and identifiers found by bootstrapped contexts.
 
 Four kinds follow from fixed patterns (email, ip, card, phone). They are the
-seeds of a bootstrap: every identifier-like token of the corpus is an instance,
-the words around it are its lexical patterns, and Spark scores the bipartite
-graph of patterns and instances in turns. A pattern's confidence is the share
-of its distinct instances that are trusted, damped for few instances; an
-instance's confidence is the best chance that its patterns give it. Patterns
-above ``min_confidence`` with at least ``min_support`` trusted instances turn
-the tokens in their place into spans of kind ``id``, unless a seed covers them.
+seeds of a bootstrap, with long values given to a key such as ``token`` as seeds
+of kind ``id``. Every other candidate of the corpus is an instance: runs of
+letters, digits and joiners with a digit in them, digits in groups with spaces,
+brackets and hyphens as cards and phones have them, and whatever is given to a
+key by ``=`` or ``:``. The nearest words on either side, at any distance, and the
+key are an instance's lexical patterns, and Spark scores the bipartite graph of
+patterns and instances in turns. A pattern's confidence is the share of its
+distinct instances that are trusted, damped for few instances; an instance's
+confidence is the best chance that its patterns give it. Patterns above
+``min_confidence`` with at least ``min_support`` trusted instances turn the
+candidates in their place into spans of kind ``id``, unless a fixed kind covers
+them.
 
 Pattern and instance counts are partial aggregates, so a very common context is
-never dealt to one task; the texts are scanned once.
+never dealt to one task; the texts are scanned once, each in linear time.
 
 Defined cases: null and empty texts have no spans; rows repeating an id are
-reported once each with their own spans; a corpus without seeds discovers none.
+reported once each with their own spans; a corpus without seeds discovers none;
+a name in letters alone is a candidate only where it is given to a key.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,15 +43,22 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-#: A token that could identify someone: letters, digits and joiners, with a digit in it, 6 characters at least.
-_TOKEN = re.compile(r"(?<![A-Za-z0-9@._%+=/-])(?=[A-Za-z@._%+=/-]{0,200}[0-9])[A-Za-z0-9@._%+=/-]{6,200}(?![A-Za-z0-9@._%+=/-])")
+#: What could identify someone: joined letters and digits with a digit, digits in groups, values given to a key.
+_TOKEN = re.compile(r"(?<![A-Za-z0-9@._%+=/-])[A-Za-z@._%+=/-]*+[0-9][A-Za-z0-9@._%+=/-]*+")
+_GROUPS = re.compile(r"(?<![\w@+(])[+(]?+[0-9](?:[\x20().-]{0,3}+[0-9])++(?![A-Za-z0-9@_])")
+_VALUE = re.compile(r"[:=][\x20\t]*+[\"'`]?+([A-Za-z0-9@._%+/-]++)")
+_KEY_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
+#: Keys whose long values of letters and digits are seeds too, and how long.
+SECRET_KEYS = frozenset("password passwd pwd secret token api_key apikey access_key secret_key private_key auth_token access_token "
+                        "client_secret".split())
+SECRET_CHARS = 16
 _WORDS = re.compile(r"[^\W\d_]+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-#: Characters on either side that a context's words are taken from, and words on each side.
-CONTEXT_CHARS, CONTEXT_WORDS = 60, 2
+#: Words of a context on each side.
+CONTEXT_WORDS = 2
 SCANNED = ("row long, doc_id long, n_email long, n_ip long, n_card long, n_phone long, base string, "
-           "mentions array<struct<start:long,stop:long,seed:boolean,instance:string,patterns:array<string>>>")
+           "mentions array<struct<start:long,stop:long,fixed:boolean,seed:boolean,instance:string,patterns:array<string>>>")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -91,22 +105,65 @@ def shape(token: str) -> str:
     return re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "9", token))))
 
 
-def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[dict]:
-    """Seed spans and identifier-like tokens with the lexical patterns they stand in."""
-    seeds = sorted({span for spans in base.values() for span in spans})
-    found, covered = [(a, b, True) for a, b in seeds], iter(seeds)
+def key_of(text: str, start: int) -> str:
+    """The key that the value at ``start`` is given to by = or :, in lower case; empty if there is none."""
+    at = start - (start > 0 and text[start - 1] in "\"'`")
+    while at and text[at - 1] in " \t":
+        at -= 1
+    end = at
+    while end and text[end - 1] in ":=":
+        end -= 1
+    if end == at:
+        return ""
+    while end and text[end - 1] in " \t\"'`":
+        end -= 1
+    first = end
+    while first and text[first - 1] in _KEY_CHARS:
+        first -= 1
+    return text[first:end].lower().replace("-", "_")
+
+
+def candidates(text: str, fixed: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans outside the fixed ones; of overlapping ones the first, and of those the longest."""
+    spans = set()
     if _DIGIT.search(text):
-        a = b = -1
-        for m in _TOKEN.finditer(text):
-            while b <= m.start() and a is not None:
-                a, b = next(covered, (None, len(text) + 1))
-            if a is None or a >= m.end():
-                found.append((m.start(), m.end(), False))
+        spans.update(m.span() for m in _GROUPS.finditer(text))
+        spans.update((m.start(), m.start() + len(m[0].rstrip("."))) for m in _TOKEN.finditer(text))
+    if ":" in text or "=" in text:
+        spans.update((m.start(1), m.start(1) + len(m[1].rstrip("."))) for m in _VALUE.finditer(text))
+    merged: list[list[int]] = []
+    for a, b in fixed:
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(b, merged[-1][1])
+        else:
+            merged.append([a, b])
+    done = at = 0
+    for a, b in sorted(spans, key=lambda s: (s[0], -s[1])):
+        while at < len(merged) and merged[at][1] <= a:
+            at += 1
+        if a >= done and a < b and (at == len(merged) or merged[at][0] >= b):
+            yield a, b
+            done = b
+
+
+def is_secret(key: str, value: str) -> bool:
+    return key in SECRET_KEYS and len(value) >= SECRET_CHARS and any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+
+
+def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[dict]:
+    """Seed spans and candidates with the lexical patterns they stand in."""
+    fixed = sorted({span for spans in base.values() for span in spans})
+    found = [(a, b, True) for a, b in fixed] + [(a, b, False) for a, b in candidates(text, fixed)]
+    if not found:
+        return []
+    words = [m.span() for m in _WORDS.finditer(text)]
+    starts, stops = [a for a, _ in words], [b for _, b in words]
     out = []
-    for a, b, seed in found:
-        left = [w.lower() for w in _WORDS.findall(text[max(0, a - CONTEXT_CHARS):a])][-CONTEXT_WORDS:]
-        right = [w.lower() for w in _WORDS.findall(text[b:b + CONTEXT_CHARS])][:CONTEXT_WORDS]
-        instance = text[a:b]
+    for a, b, is_fixed in found:
+        last, first = bisect_right(stops, a), bisect_left(starts, b)
+        left = [text[i:j].lower() for i, j in words[max(0, last - CONTEXT_WORDS):last]]
+        right = [text[i:j].lower() for i, j in words[first:first + CONTEXT_WORDS]]
+        instance, key = text[a:b], key_of(text, a)
         form = shape(instance)
         patterns = []
         if len(left) == CONTEXT_WORDS:
@@ -115,7 +172,10 @@ def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[dict]:
             patterns.append(f"<{form}> {' '.join(right)}")
         if left and right:
             patterns.append(f"{left[-1]} <*> {right[0]}")
-        out.append({"start": a, "stop": b, "seed": seed, "instance": instance, "patterns": patterns})
+        if key:
+            patterns.append(f"{key} = <*>")
+        out.append({"start": a, "stop": b, "fixed": is_fixed, "seed": is_fixed or is_secret(key, instance), "instance": instance,
+                    "patterns": patterns})
     return out
 
 
@@ -129,7 +189,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([
             ("row", pa.int64()), ("doc_id", pa.int64()), *[(f"n_{k}", pa.int64()) for k in KINDS], ("base", pa.string()),
-            ("mentions", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("seed", pa.bool_()), ("instance", pa.string()),
+            ("mentions", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("fixed", pa.bool_()), ("seed", pa.bool_()), ("instance", pa.string()),
                                              ("patterns", pa.list_(pa.string()))])))])
         for batch in batches:
             rows = []
@@ -176,10 +236,11 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ro
     """doc_id, n_email, n_ip, n_card, n_phone, base (spans of the fixed kinds), extra (discovered spans)."""
     scanned = settle(scan(docs, id_col, text_col), "pii-scan")
     trusted = bootstrap(scanned, rounds, min_confidence, min_support).select("pattern")
-    unseen = (scanned.select("row", F.explode("mentions").alias("m")).filter("NOT m.seed")
-              .select("row", "m.start", "m.stop", F.explode("m.patterns").alias("pattern")))
+    unseen = scanned.select("row", F.explode("mentions").alias("m")).filter("NOT m.fixed")
+    by_pattern = unseen.filter("NOT m.seed").select("row", "m.start", "m.stop", F.explode("m.patterns").alias("pattern"))
+    told = by_pattern.join(trusted, "pattern", "left_semi").drop("pattern").union(unseen.filter("m.seed").select("row", "m.start", "m.stop"))
     # a row's own mentions only, so the lists are bounded by its text
-    extra = (unseen.join(trusted, "pattern", "left_semi").groupBy("row")
+    extra = (told.groupBy("row")
              .agg(F.array_sort(F.collect_set(F.struct("start", "stop"))).alias("found")))
     spans = F.array_join(F.transform("found", lambda s: F.concat_ws(":", F.lit(FOUND_KIND), s["start"].cast("string"), s["stop"].cast("string"))), ",")
     return (scanned.join(extra, "row", "left")
