@@ -53,12 +53,35 @@ RUNNING = HEADINGS | frozenset("p pre blockquote header".split())
 #: A start tag of a key's kind ends an open element of the given kinds.
 ENDS_OPEN = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
              "option": ("option",), "tbody": ("tr", "td", "th", "thead", "tbody"), "body": ("head",)}
-#: Words of classes and ids that name what is not the article.
-NOISE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner\w*|side-?bar\w*|nav\w*|menu\w*|breadcrumbs?|foot(?:er)?|"
-    r"masthead|(?:page|site)-?header|header|cookies?|consent|gdpr|notices?|notifications?|alerts?|popup|modal|overlay|comments?|replies|"
-    r"reply|disqus|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|login|search|pagination|pager|widgets?|toolbar)"
-    r"(?=$|[\s_-])", re.I)
+#: What an article's own text stands in: no name removes these inside an article.
+TEXT_PARTS = RUNNING | frozenset("li dt dd td th tr caption figcaption".split())
+#: Elements that are never shown as text.
+UNSHOWN = frozenset("head script style noscript template iframe object svg canvas audio video".split())
+#: Classes and ids that name what is not the article, as a whole.
+NOISE_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos promoted promotion promotions "
+    "banner banners sidebar side-bar nav navbar navigation menu menus breadcrumb breadcrumbs foot footer masthead header page-header "
+    "site-header cookie cookies consent gdpr notice notices notification notifications alert alerts popup modal overlay comment comments "
+    "replies reply disqus share sharing social related recommended recommendation recommendations newsletter subscribe signup login search "
+    "pagination pager widget widgets toolbar".split())
+#: Parts that such a name may stand before in a longer one, as in comment-list; header, page and the like are too common to.
+HOLDERS = frozenset("area bar block body box button buttons container form frame group holder inner item items left link links list outer "
+                    "panel right row section slot top unit wrap wrapper".split())
+HEADER_OF = frozenset("site page main top global".split())
+
+
+def is_noise_name(name: str, inside: bool) -> bool:
+    """Whether one class or id names noise: as a whole, or outside an article by its last part or by what it is a box of."""
+    name = name.lower().replace("_", "-")
+    if name in NOISE_NAMES:
+        return True
+    if inside:
+        return False
+    first, *middle, last = name.split("-") if "-" in name else (name, "")
+    if last in ("header", "foot"):
+        return first in HEADER_OF
+    return last in NOISE_NAMES or last in HOLDERS and any(part in NOISE_NAMES for part in (first, *middle))
+
 
 NODES = "page_key long, host string, path long, style long, contents array<long>"
 #: A hot path's judgement is dealt to so many parts of its pages.
@@ -69,8 +92,9 @@ _PARAGRAPH_END = BLOCKS - {"html", "body"}
 class Page(HTMLParser):
     """Text blocks of a page in order, each with the nodes above it, and the tree of all nodes."""
 
-    def __init__(self):
+    def __init__(self, lists: bool = True):
         super().__init__(convert_charrefs=True)
+        self.lists = lists                                # whether natures and names remove elements, or the tree alone does
         self.stack: list[tuple[str, int, bool]] = []      # tag, path, noise
         self.blocks: list[tuple[str, tuple[int, ...], bool, bool]] = []   # text, paths, in article, noise
         self.children: dict[int, dict[str, int]] = {}
@@ -144,9 +168,10 @@ class Page(HTMLParser):
         names = f"{given.get('class', '')} {given.get('id', '')}".strip()
         above = self.stack[-1] if self.stack else ("", 0, False)
         inside = self.articles > 0
-        noise = (above[2] or tag in NOISE_TAGS or given.get("role", "").lower() in NOISE_ROLES or "hidden" in given
-                 or given.get("aria-hidden") == "true" or bool(names) and tag not in ("html", "body", "article", "main")
-                 and tag not in HEADINGS and bool(NOISE_WORDS.search(names)))
+        named = tag not in ROOTS and tag not in HEADINGS and not (inside and tag in TEXT_PARTS)
+        noise = above[2] or tag in UNSHOWN or self.lists and (
+            tag in NOISE_TAGS or given.get("role", "").lower() in NOISE_ROLES or "hidden" in given or given.get("aria-hidden") == "true"
+            or named and any(is_noise_name(n, inside) for n in names.split()))
         if above[2] and tag in HEADINGS and inside and any(t == "header" for t, _, _ in self.stack):
             noise = False                                  # an article's own heading
         sign = ".".join([tag, *sorted(given.get("class", "").split())]) + (f"#{given['id']}" if given.get("id") else "")
@@ -183,8 +208,8 @@ class Page(HTMLParser):
         self._flush()
 
 
-def parsed(html: str) -> Page:
-    page = Page()
+def parsed(html: str, lists: bool = True) -> Page:
+    page = Page(lists)
     page.feed(html)
     page.close()
     return page
@@ -238,8 +263,8 @@ def importance(nodes: DataFrame, weight: float = 0.9) -> DataFrame:
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = 8,
-            min_importance: float = 0.2) -> DataFrame:
-    """page_id, url, text, n_chars for every page."""
+            min_importance: float = 0.2, lists: bool = True) -> DataFrame:
+    """page_id, url, text, n_chars for every page; without ``lists`` the tree and the marked article decide alone."""
     short_batches(pages.sparkSession)
     html = F.coalesce(col(html_col), F.lit(""))
     rows = pages.select(col(id_col).alias("page_id"), col(url_col).alias("url"), html.alias("html"), host_of(col(url_col)).alias("host"))
@@ -250,7 +275,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                             ("contents", pa.list_(pa.int64()))])
         for batch in batches:
             out = [{"page_key": k, "host": h, "path": p, "style": s, "contents": c}
-                   for k, h, x in zip(*(c.to_pylist() for c in batch.columns)) for p, (s, c) in style_nodes(parsed(x)).items()]
+                   for k, h, x in zip(*(c.to_pylist() for c in batch.columns)) for p, (s, c) in style_nodes(parsed(x, lists)).items()]
             yield pa.RecordBatch.from_pylist(out, schema)
 
     # equal pages of a host say nothing about its template
@@ -265,7 +290,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     def text_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(parsed(x), set(low or ()), set(high or ())) for x, low, high in zip(*(c.to_pylist() for c in batch.columns[2:]))]
+            texts = [main_text(parsed(x, lists), set(low or ()), set(high or ())) for x, low, high in zip(*(c.to_pylist() for c in batch.columns[2:]))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()),
                                               pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
