@@ -25,6 +25,7 @@ a name in letters alone is a candidate only where it is given to a key.
 from __future__ import annotations
 
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -156,13 +157,15 @@ def mentions(text: str, base: dict[str, list[tuple[int, int]]]) -> list[dict]:
     found = [(a, b, True) for a, b in fixed] + [(a, b, False) for a, b in candidates(text, fixed)]
     if not found:
         return []
-    words = [m.span() for m in _WORDS.finditer(text)]
-    starts, stops = [a for a, _ in words], [b for _, b in words]
+    starts, stops = array("q"), array("q")
+    for m in _WORDS.finditer(text):
+        starts.append(m.start())
+        stops.append(m.end())
     out = []
     for a, b, is_fixed in found:
         last, first = bisect_right(stops, a), bisect_left(starts, b)
-        left = [text[i:j].lower() for i, j in words[max(0, last - CONTEXT_WORDS):last]]
-        right = [text[i:j].lower() for i, j in words[first:first + CONTEXT_WORDS]]
+        left = [text[starts[i]:stops[i]].lower() for i in range(max(0, last - CONTEXT_WORDS), last)]
+        right = [text[starts[i]:stops[i]].lower() for i in range(first, min(len(starts), first + CONTEXT_WORDS))]
         instance, key = text[a:b], key_of(text, a)
         form = shape(instance)
         patterns = []
