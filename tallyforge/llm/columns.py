@@ -1,4 +1,4 @@
-"""Small shared helpers: safe column access, row counts for sizing, blob exchange."""
+"""Small shared helpers: safe column access, row counts for sizing, joins that survive hot keys."""
 
 from __future__ import annotations
 
@@ -37,3 +37,28 @@ def parts_for(total: int, per_part: int, least: int = 1) -> int:
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     """Bytes of all texts, to size partitions by; one scan, one row per task to the driver."""
     return docs.agg(F.sum(F.octet_length(col(text_col)))).first()[0] or 0
+
+
+#: Share of all rows from which a key is hot; at most 1/HOT_SHARE keys are, whatever the table's size.
+HOT_SHARE = 0.001
+#: Rows below which no key is hot.
+HOT_LEAST = 1000
+
+
+def hot_floor(total: int, share: float = HOT_SHARE, least: int = HOT_LEAST) -> int:
+    """Rows from which a key of a table of ``total`` rows is hot."""
+    return max(least, int(total * share))
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], floor: int, how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of ``groups``, which has one row per key and how many of ``rows`` have it as ``n``.
+
+    Keys of at least ``floor`` rows are broadcast, so that none is dealt to one
+    task; there are at most ``rows / floor`` of them. The others meet by key.
+    ``how`` is inner, left or left_semi. Keys hold no nulls in ``groups``; rows without a key
+    count as rows without a group.
+    """
+    is_hot = F.col("n") >= floor
+    hot, usual = groups.filter(is_hot).drop("n"), groups.filter(~is_hot).drop("n")
+    marked = rows.join(F.broadcast(hot.select(keys)), keys, "left_anti").join(usual, keys, how)
+    return marked.unionByName(rows.join(F.broadcast(hot), keys, "left_semi" if how == "left_semi" else "inner"))

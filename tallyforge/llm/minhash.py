@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyforge.llm import text_keys as K
-from tallyforge.llm.columns import id_and_text
+from tallyforge.llm.columns import HOT_LEAST, hot_floor, id_and_text, join_groups
 from tallyforge.llm.components import components
 from tallyforge.session import settle
 
@@ -207,20 +207,24 @@ def confirmed(members: DataFrame, k: int, similarity: float) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS,
-                    similarity: float = SIMILARITY, block: int = 256) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row."""
+                    similarity: float = SIMILARITY, block: int = 256, least: int = HOT_LEAST) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row.
+
+    Sequences, buckets and nodes that hold a sizeable share of all rows, and ``least`` at least, are joined without dealing them to one task.
+    """
     rows = id_and_text(docs, id_col, text_col)
     signed = settle(signatures(rows, k), "signatures")
     linkable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     # copies of a word sequence: the smallest id stands for all of them
-    sequences = settle(linkable.groupBy("seq_hi", "seq_lo").agg(F.min("doc_id").alias("class_id")), "sequences")
+    sequences = settle(linkable.groupBy("seq_hi", "seq_lo").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n")), "sequences")
+    total = signed.count()
     classes = (linkable.select("doc_id", "n_shingles", "bands", "bits", "seq_hi", "seq_lo")
-               .join(sequences.withColumnRenamed("class_id", "doc_id"), ["doc_id", "seq_hi", "seq_lo"], "left_semi"))
+               .join(sequences.select(F.col("class_id").alias("doc_id"), "seq_hi", "seq_lo"), ["doc_id", "seq_hi", "seq_lo"], "left_semi"))
     in_band = classes.select("doc_id", F.explode("bands").alias("key"))
-    buckets = settle(in_band.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-                     .filter("first != last").select("key", "first"), "buckets")
-    ties = in_band.join(buckets, "key").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
-    groups = settle(components(ties), "candidate-groups")
+    buckets = settle(in_band.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.count(F.lit(1)).alias("n"))
+                     .filter("first != last").select("key", "first", "n"), "buckets")
+    ties = join_groups(in_band, buckets, ["key"], hot_floor(total * BANDS, least=least)).select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    groups = settle(components(ties, least), "candidate-groups")
 
     sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     # one part for a group within ``block``; beyond, parts and copies of a text both grow with the square root of the group
@@ -234,11 +238,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
              .select(F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")).alias("part"),
                      F.col("id").alias("doc_id"), "bits", "text"))
     links = confirmed(dealt.repartition("part"), k, similarity)
-    found = settle(components(links), "components").withColumnRenamed("id", "class_id")
+    found = settle(components(links, least), "components").withColumnRenamed("id", "class_id")
 
-    of_row = (signed.join(sequences, ["seq_hi", "seq_lo"], "left")
-              .withColumn("class_id", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("class_id")))
-              .join(found, "class_id", "left"))
+    # a class has its component before it meets its rows, which pass one join only
+    placed_classes = sequences.join(found, "class_id", "left").select("seq_hi", "seq_lo", "class_id", "component", "n")
+    linked = F.col("n_shingles") > 0
+    of_row = (join_groups(signed, placed_classes, ["seq_hi", "seq_lo"], hot_floor(total, least=least), "left")
+              .withColumns({c: F.when(linked & F.col("doc_id").isNotNull(), F.col(c)) for c in ("class_id", "component")}))
     component = F.coalesce("component", "class_id", "doc_id")
     return of_row.select("doc_id", "n_shingles", component.alias("component_id"),
                          F.col("doc_id").eqNullSafe(component).alias("kept"))

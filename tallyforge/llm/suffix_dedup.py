@@ -18,6 +18,8 @@ A k-mer that is too common for one task is not gathered: strings around it are
 compared by 128-bit keys in a partial aggregate instead, which combines equal
 strings before the shuffle.
 
+Texts of any length are searched in stretches; a worker holds a text's bytes a few times over, besides its repeats.
+
 Defined cases: null and empty texts have no bytes; rows repeating an id count as
 the same place; a null id counts as the smallest; matches never cross texts.
 """
@@ -34,15 +36,19 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import exchange as X
 from tallyforge.llm import text_keys as K
-from tallyforge.llm.columns import id_and_text, text_bytes
+from tallyforge.llm.columns import hot_floor, id_and_text, join_groups, text_bytes
 from tallyforge.session import settle
 
 LENGTH = 100
 SPAN = 65
 KMER = LENGTH - SPAN + 1
 LEFT = SPAN - 1
+#: String starts hashed at once.
+STRETCH = K.CHUNK_BYTES
 #: Bytes behind the k-mer that the shallow sort looks at, before tries take over.
 SHALLOW = 16
+#: Surroundings a task gathers before it packs them.
+GATHER_ROWS = 50_000
 GATHERED = ("bucket int, keys binary, hi binary, lo binary, doc binary, pos binary, sides binary, around binary, "
             "pair_class binary, pair_block binary")
 WINDOWS = "hi long, lo long, block int, doc_id long, start long"
@@ -53,38 +59,62 @@ _STRING = np.dtype([("doc", "<i8"), ("start", "<i8")])
 NO_ID = np.iinfo(np.int64).min
 
 
-def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the minimizers of all strings of LENGTH bytes within texts, and their k-mers' keys."""
-    n = len(data)
-    if n < LENGTH:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
-    at = np.arange(n - KMER + 1)
-    keys = K.range_codes(K.byte_codes(data), at, at + KMER)
-    if n > int(_PLACE):
-        raise ValueError("a text is longer than 256 MB")
-    least = (keys & ~_PLACE) | at.astype(np.uint64)
-    width = 1
-    while width * 2 <= SPAN:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    rest = SPAN - width
-    least = np.minimum(least[:len(least) - rest], least[rest:])
-    starts = np.arange(n - LENGTH + 1)
-    text = np.searchsorted(offsets, starts, side="right") - 1
-    inside = offsets[text + 1] - starts >= LENGTH
-    chosen = np.unique((least[:len(starts)][inside] & _PLACE).astype(np.int64))
-    return chosen, keys[chosen]
+def anchors(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of the minimizers of all strings of LENGTH bytes within texts, rising, and their k-mers' keys.
+
+    They come for a stretch of string starts at a time, so that a text of any size takes little more than its bytes.
+    """
+    last = -1
+    for begin in range(0, len(data) - LENGTH + 1, STRETCH):
+        part = data[begin:begin + STRETCH + LENGTH - 1]
+        at = np.arange(len(part) - KMER + 1)
+        keys = K.range_codes(K.byte_codes(part), at, at + KMER)
+        least = (keys & ~_PLACE) | at.astype(np.uint64)
+        width = 1
+        while width * 2 <= SPAN:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        rest = SPAN - width
+        least = np.minimum(least[:len(least) - rest], least[rest:])
+        starts = np.arange(begin, begin + len(part) - LENGTH + 1)
+        text = np.searchsorted(offsets, starts, side="right") - 1
+        inside = offsets[text + 1] - starts >= LENGTH
+        chosen = np.unique((least[:len(starts)][inside] & _PLACE).astype(np.int64))
+        # the minimizers of later strings never lie before those of earlier ones
+        chosen = chosen[chosen + begin > last]
+        if len(chosen):
+            last = begin + int(chosen[-1])
+            yield chosen + begin, keys[chosen]
 
 
 class Surroundings:
-    """Anchors of one run of texts with their reach to both sides and a 128-bit key of all bytes in reach."""
+    """Anchors of one stretch, at least one, with their reach to both sides and a 128-bit key of all bytes in reach."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, at: np.ndarray):
         self.at, self.text = at, np.searchsorted(offsets, at, side="right") - 1
         self.left = np.minimum(at - offsets[self.text], LEFT)
         self.right = np.minimum(offsets[self.text + 1] - at, LENGTH)
         sides = (self.left * 256 + self.right).astype(np.uint64)
-        self.hi, self.lo = (K.mixed(K.range_codes(K.byte_codes(data, which), at - self.left, at + self.right, which) + sides) for which in (0, 1))
+        low, high = max(0, int(at[0]) - LEFT), int(at[-1]) + LENGTH
+        begin, end = at - self.left - low, at + self.right - low
+        self.hi, self.lo = (K.mixed(K.range_codes(K.byte_codes(data[low:high], which), begin, end, which) + sides) for which in (0, 1))
+
+    def rows(self, data: np.ndarray) -> np.ndarray:
+        """The bytes around each anchor, zeros beyond its reach."""
+        columns = np.arange(LEFT + LENGTH) - LEFT
+        found = data[np.clip(self.at[:, None] + columns, 0, len(data) - 1)]
+        found[(columns < -self.left[:, None]) | (columns >= self.right[:, None])] = 0
+        return found
+
+
+def runs(begin: np.ndarray, end: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of bytes that ranges of texts cover; runs of different texts stay apart."""
+    order = np.argsort(begin, kind="stable")
+    begin, end, text = begin[order], np.maximum.accumulate(end[order]), text[order]
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = (begin[1:] > end[:-1]) | (text[1:] != text[:-1])
+    first = np.flatnonzero(new)
+    return begin[first], end[np.append(first[1:], len(begin)) - 1] if len(first) else end, text[first]
 
 
 def common_prefix(a: int, b: int, size: int) -> int:
@@ -195,7 +225,7 @@ def covered_sides(group: np.ndarray, around: np.ndarray, left: np.ndarray, right
 class Gatherer:
     """Packs anchors and their surroundings for the holders of their k-mers, equal surroundings once."""
 
-    def __init__(self, buckets: int, flush_rows: int = 50_000):
+    def __init__(self, buckets: int, flush_rows: int = GATHER_ROWS):
         self.buckets, self.flush_rows, self.held, self.n = buckets, flush_rows, [], 0
 
     def add(self, keys, around: Surroundings, doc, pos, rows, block) -> Iterator[pa.RecordBatch]:
@@ -280,6 +310,29 @@ def _split(got: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return classes[np.argsort(classes["hi"], kind="stable")], strings[np.lexsort((strings["start"], strings["doc"]))]
 
 
+def covered(data: np.ndarray, offsets: np.ndarray, ids: np.ndarray, classes: np.ndarray, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The maximal runs of bytes to remove from texts, as begins, ends and texts."""
+    none = np.zeros(0, dtype=np.int64)
+    found = [(none, none, none)]
+    for at, _ in anchors(data, offsets) if len(classes) else ():
+        around = Surroundings(data, offsets, at)
+        which = np.minimum(np.searchsorted(classes["hi"], around.hi), len(classes) - 1)
+        hit = classes["hi"][which] == around.hi
+        one, p, text = classes[which[hit]], at[hit], around.text[hit]
+        is_first = (one["doc"] == ids[text]) & (one["pos"] == p - offsets[text])
+        begin = p - np.where(is_first, one["left"], around.left[hit])
+        end = p + np.where(is_first, one["right"], around.right[hit])
+        some = end > begin
+        found.append(runs(begin[some], end[some], text[some]))
+    for i in range(len(ids)) if len(repeats) else ():
+        a, b = np.searchsorted(repeats["doc"], ids[i], side="left"), np.searchsorted(repeats["doc"], ids[i], side="right")
+        starts = repeats["start"][a:b] + offsets[i]
+        # another row of this id may be longer
+        starts = starts[starts + LENGTH <= offsets[i + 1]]
+        found.append(runs(starts, starts + LENGTH, np.full(len(starts), i)))
+    return runs(*(np.concatenate(c) for c in zip(*found)))
+
+
 def _ids(part: pa.RecordBatch) -> np.ndarray:
     return part.column(3).fill_null(NO_ID).to_numpy()
 
@@ -297,9 +350,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for batch in batches:
             block = batch.column(0).to_numpy()
             for first, data, offsets in K.text_buffers(batch.column(1)):
-                at, keys = anchors(data, offsets)
-                text = np.searchsorted(offsets, at, side="right") - 1
-                yield from sender.add(keys, np.zeros(len(keys), dtype=np.uint64), block[first + text])
+                for at, keys in anchors(data, offsets):
+                    text = np.searchsorted(offsets, at, side="right") - 1
+                    yield from sender.add(keys, np.zeros(len(keys), dtype=np.uint64), block[first + text])
         yield from sender.flush()
 
     def gather(pieces) -> Iterator[pa.RecordBatch]:
@@ -307,16 +360,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part, got in pieces:
             block, ids = part.column(0).to_numpy(), _ids(part)
             for first, data, offsets in K.text_buffers(part.column(4)):
-                at, keys = anchors(data, offsets)
-                hit = X.among(keys, known(got))
-                if not hit.any():
-                    continue
-                around = Surroundings(data, offsets, at[hit])
-                padded = np.concatenate([np.zeros(LEFT, dtype=np.uint8), data, np.zeros(LENGTH, dtype=np.uint8)])
-                columns = np.arange(LEFT + LENGTH)
-                bytes_ = padded[around.at[:, None] + columns]
-                bytes_[(columns < LEFT - around.left[:, None]) | (columns >= LEFT + around.right[:, None])] = 0
-                yield from gatherer.add(keys[hit], around, ids[first + around.text], around.at - offsets[around.text], bytes_, block[first + around.text])
+                for at, keys in anchors(data, offsets):
+                    hits = np.flatnonzero(X.among(keys, known(got)))
+                    for hit in np.split(hits, range(GATHER_ROWS, len(hits), GATHER_ROWS)):
+                        if len(hit):
+                            around = Surroundings(data, offsets, at[hit])
+                            yield from gatherer.add(keys[hit], around, ids[first + around.text], around.at - offsets[around.text],
+                                                    around.rows(data), block[first + around.text])
         yield from gatherer.flush()
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,16 +380,19 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for part, got in pieces:
             block, ids = part.column(0).to_numpy(), _ids(part)
             for first, data, offsets in K.text_buffers(part.column(4)):
-                at, keys = anchors(data, offsets)
-                at = at[X.among(keys, known(got))]
-                starts = np.unique((at[:, None] - np.arange(SPAN)).ravel())
-                starts = starts[starts >= 0]
-                text = np.searchsorted(offsets, starts, side="right") - 1
-                inside = offsets[np.minimum(text + 1, len(offsets) - 1)] - starts >= LENGTH
-                starts, text = starts[inside], text[inside]
-                hi, lo = (K.range_codes(K.byte_codes(data, w), starts, starts + LENGTH, w).view(np.int64) for w in (0, 1))
-                yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(block[first + text]), pa.array(ids[first + text]),
-                                                  pa.array(starts - offsets[text])], names=["hi", "lo", "block", "doc_id", "start"])
+                for at, keys in anchors(data, offsets):
+                    at = at[X.among(keys, known(got))]
+                    starts = np.unique((at[:, None] - np.arange(SPAN)).ravel())
+                    starts = starts[starts >= 0]
+                    text = np.searchsorted(offsets, starts, side="right") - 1
+                    inside = offsets[np.minimum(text + 1, len(offsets) - 1)] - starts >= LENGTH
+                    starts, text = starts[inside], text[inside]
+                    if not len(starts):
+                        continue
+                    low, high = int(starts[0]), int(starts[-1]) + LENGTH
+                    hi, lo = (K.range_codes(K.byte_codes(data[low:high], w), starts - low, starts - low + LENGTH, w).view(np.int64) for w in (0, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(hi), pa.array(lo), pa.array(block[first + text]), pa.array(ids[first + text]),
+                                                      pa.array(starts - offsets[text])], names=["hi", "lo", "block", "doc_id", "start"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -359,34 +412,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             ids = _ids(part)
             for first, data, offsets in K.text_buffers(part.column(4)):
                 n = len(offsets) - 1
-                edge = np.zeros(len(data) + 1, dtype=np.int64)
-                if len(classes):
-                    around = Surroundings(data, offsets, anchors(data, offsets)[0])
-                    at = np.minimum(np.searchsorted(classes["hi"], around.hi), len(classes) - 1)
-                    hit = classes["hi"][at] == around.hi
-                    at, p = at[hit], around.at[hit]
-                    doc, pos = ids[first + around.text[hit]], p - offsets[around.text[hit]]
-                    is_first = (classes["doc"][at] == doc) & (classes["pos"][at] == pos)
-                    np.add.at(edge, p - np.where(is_first, classes["left"][at], around.left[hit]), 1)
-                    np.add.at(edge, p + np.where(is_first, classes["right"][at], around.right[hit]), -1)
-                if len(repeats):
-                    for i in range(n):
-                        a, b = np.searchsorted(repeats["doc"], ids[first + i], side="left"), np.searchsorted(repeats["doc"], ids[first + i], side="right")
-                        starts = np.unique(repeats["start"][a:b]) + offsets[i]
-                        edge[starts] += 1
-                        edge[starts + LENGTH] -= 1
-                gone = np.cumsum(edge[:-1]) > 0
-                total = np.concatenate([[0], np.cumsum(gone)])
-                opens = gone.copy()
-                opens[1:] &= ~gone[:-1]
-                inner = offsets[1:-1][offsets[1:-1] < len(data)]
-                opens[inner] = gone[inner]
-                spans = np.diff(np.concatenate([[0], np.cumsum(opens)])[offsets])
-                left = data[~gone].tobytes()
-                to = offsets - total[offsets]
+                begin, end, text = covered(data, offsets, ids[first:first + n], classes, repeats)
+                edge = np.zeros(len(data) + 1, dtype=np.int8)
+                edge[begin] += 1
+                edge[end] -= 1
+                left = data[np.cumsum(edge[:-1], dtype=np.int8) == 0].tobytes()
+                removed = np.bincount(text, weights=end - begin, minlength=n).astype(np.int64)
+                to = np.concatenate([[0], np.cumsum(np.diff(offsets) - removed)])
                 kept = [left[a:b] for a, b in zip(to[:-1], to[1:])]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(3).slice(first, n), pa.array(np.diff(offsets)), pa.array(np.diff(total[offsets])), pa.array(spans),
+                    [part.column(3).slice(first, n), pa.array(np.diff(offsets)), pa.array(removed), pa.array(np.bincount(text, minlength=n)),
                      pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string()),
                      pa.array([k.decode("utf-8", "replace") for k in kept] if with_text else [None] * n, pa.string())],
                     names=[f.split()[0] for f in RESULT.split(", ")])
@@ -398,8 +433,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     common_kmers = repeated.filter("block < 0")
     if not common_kmers.isEmpty():
         found = settle(X.at_blocks(rows, common_kmers, blocks, strings, WINDOWS), "strings")
-        earliest = (found.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
-                    .filter("n > 1").drop("n"))
-        later = (found.join(earliest, ["hi", "lo"]).filter("struct(doc_id, start) != first").select("block", "doc_id", "start"))
+        earliest = settle(found.groupBy("hi", "lo").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count(F.lit(1)).alias("n"))
+                          .filter("n > 1"), "earliest-strings")
+        later = (join_groups(found, earliest, ["hi", "lo"], hot_floor(found.count()))
+                 .filter("struct(doc_id, start) != first").select("block", "doc_id", "start"))
         answers = answers.unionByName(settle(later.mapInArrow(pack, X.ANSWERED), "later-strings"))
     return X.at_blocks(rows, answers, blocks, cut, RESULT)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.llm import decontaminate, exact_dedup, minhash, substring_dedup, suffix_dedup
 from tallyforge.llm import text_keys as K
+from tallyforge.llm.columns import join_groups
 from tallyforge.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -87,8 +88,9 @@ def shingle_sets(rows, k):
     return out
 
 
-@pytest.mark.parametrize("k,block", [(2, 256), (5, 256), (2, 3)], ids=["pairs of words", "five words", "many blocks"])
-def test_near_duplicates(spark, corpus, k, block):
+@pytest.mark.parametrize("k,block,least", [(2, 256, 1000), (5, 256, 1000), (2, 3, 1000), (5, 256, 3)],
+                         ids=["pairs of words", "five words", "many blocks", "hot keys"])
+def test_near_duplicates(spark, corpus, k, block, least):
     sets = shingle_sets(corpus, k)
     up = {i: i for i, _ in sets if i is not None}
 
@@ -102,7 +104,7 @@ def test_near_duplicates(spark, corpus, k, block):
             if i is not None and j is not None and s and t and 100 * len(s & t) >= 80 * len(s | t):
                 p, q = find(i), find(j)
                 up[max(p, q)] = min(p, q)
-    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, corpus), k=k, block=block).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(frame(spark, corpus), k=k, block=block, least=least).collect()}
     assert got == {i: (len(s), None if i is None else find(i), i is None or find(i) == i) for i, s in sets}
 
 
@@ -129,12 +131,22 @@ def test_components(spark):
     for _ in up:
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
-    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     linked = {x for a, b in edges if a != b for x in (a, b)}
-    assert got == {x: up[x] for x in linked}
+    for least in (1000, 5):
+        got = {r.id: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), least).collect()}
+        assert got == {x: up[x] for x in linked}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_joins_of_hot_keys(spark):
+    rows = spark.createDataFrame([(i, k) for i, k in enumerate(["a"] * 9 + ["b", "b", "c", None, "d"])], "id long, key string")
+    groups = spark.createDataFrame([("a", 1, 9), ("b", 2, 2), ("c", 3, 1)], "key string, value int, n long")
+    for how in ("inner", "left", "left_semi"):
+        want = sorted(map(str, rows.join(groups.drop("n"), "key", how).collect()))
+        for floor in (1, 2, 5, 100):
+            assert sorted(map(str, join_groups(rows, groups, ["key"], floor, how).collect())) == want
+
+
 # --- repeated words and bytes -------------------------------------------------------
 
 @pytest.mark.parametrize("settings", [{}, {"block_bytes": 3000, "common": 2}], ids=["usual", "common keys"])
@@ -176,6 +188,35 @@ def test_repeated_strings(spark, corpus, settings):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and sum(w[3] for w in want) > 30
 
 
+def test_repeats_across_stretches_of_a_long_text(spark):
+    """Texts of several stretches, with repeats over their limits, copies within a text, and ids that come twice."""
+    rng = random.Random(3)
+    noise = lambda n: rng.randbytes(n // 2).hex()
+    size = suffix_dedup.STRETCH
+    passage, run = noise(5000), "z" * 700
+    long_text = noise(size - 2500) + passage + noise(size - 4000) + run + noise(3000) + passage[100:900] + noise(60)
+    rows = [(1, noise(300) + passage[2000:4000] + noise(200)), (2, long_text), (3, noise(size // 2) + long_text[size - 90:size + 200] + noise(9)),
+            (4, passage[:99]), (5, passage[:101]), (5, passage[:101])]
+    first: dict[bytes, tuple[int, int]] = {}
+    for i, t in rows:
+        b = t.encode()
+        for s in range(len(b) - suffix_dedup.LENGTH + 1):
+            first.setdefault(b[s:s + suffix_dedup.LENGTH], (i, s))
+    want = []
+    for i, t in rows:
+        b, gone = t.encode(), bytearray(len(t))
+        for s in range(len(b) - suffix_dedup.LENGTH + 1):
+            if first[b[s:s + suffix_dedup.LENGTH]] != (i, s):
+                gone[s:s + suffix_dedup.LENGTH] = b"\1" * suffix_dedup.LENGTH
+        kept = bytes(c for c, g in zip(b, gone) if not g)
+        want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    assert sum(w[2] for w in want) > 3000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for settings in ({}, {"common": 2, "entries": 3}):
+        got = suffix_dedup.remove_repeats(docs, with_text=False, **settings).drop("kept_text").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_repeats_on_empty_tables(spark, corpus):
     docs = frame(spark, corpus).limit(0)
     assert substring_dedup.remove_repeats(docs).count() == 0 and suffix_dedup.remove_repeats(docs).count() == 0
