@@ -34,7 +34,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyforge.llm.columns import col, parts_for, short_batches
+from tallyforge.llm.columns import HOT_LEAST, col, hot_floor, join_groups, parts_for, short_batches
 from tallyforge.session import scratch_path, settle
 
 ARCHIVE, INDEX = "archive/data.warc.gz", "indexes/index.jsonl"
@@ -106,15 +106,18 @@ class ArchiveWriter:
 
 
 def with_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                  min_bytes: int = 0) -> DataFrame:
-    """page_id, url, html, first_id, repeated. Payloads are told apart by SHA-256, as SHA-1 can be forged."""
+                  min_bytes: int = 0, least: int = HOT_LEAST) -> DataFrame:
+    """page_id, url, html, first_id, revisit. Payloads are told apart by SHA-256, as SHA-1 can be forged.
+
+    The pages of a payload that a sizeable share of all pages has, and ``least`` at least, stay where they are read.
+    """
     short_batches(pages.sparkSession)
     html = F.coalesce(col(html_col), F.lit(""))
     rows = pages.select(col(id_col).cast("long").alias("page_id"), col(url_col).alias("url"), html.alias("html"),
                         F.when(F.octet_length(html) >= min_bytes, F.sha2(html, 256)).alias("content"))
     shared = (rows.filter("content IS NOT NULL").groupBy("content")
-              .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n"))
-    return (rows.join(shared, "content", "left")
+              .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    return (join_groups(rows, settle(shared, "shared-payloads"), ["content"], hot_floor(pages.count(), least=least), "left")
             .select("page_id", "url", "html", "first_id",
                     (F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id"))).alias("revisit")))
 

@@ -8,6 +8,7 @@ import io
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -187,6 +188,17 @@ def test_small_payloads_are_never_revisits(spark):
     assert {r.record_type for r in warc.round_trip(pages, min_bytes=3).collect()} == {"response"}
 
 
+def test_pages_of_a_frequent_payload_revisit_the_first(spark):
+    rows = [(i, "same" if i % 3 else f"own {i}") for i in range(5, 30)] + [(40, None), (41, ""), (42, "own 9")]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string")
+    first = {h or "": min(i for i, x in rows if (x or "") == (h or "")) for _, h in rows}
+    count = Counter(h or "" for _, h in rows)
+    want = sorted((i, first[h or ""] if count[h or ""] > 1 else None, i != first[h or ""]) for i, h in rows)
+    for least in (2, 10, 1000):
+        got = warc.with_revisits(pages, least=least).select("page_id", "first_id", "revisit").collect()
+        assert sorted(map(tuple, got)) == want
+
+
 def test_zip64_directory_and_broken_files():
     sink = io.BytesIO()
     writer = warc.ArchiveWriter(sink)
