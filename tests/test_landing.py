@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tallyforge.session import scratch_path, write_folders
 from tallyforge.workload import landing
+from tallyforge.workload.q_billing import run_inputs
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,18 @@ def test_more_folders_than_are_open_at_once(spark):
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
     back = spark.read.parquet(path).groupBy("folder").agg(F.sum("id").alias("total")).collect()
     assert {r["folder"]: r["total"] for r in back} == {f: sum(range(f, 1000, 100)) for f in range(100)}
+
+
+@pytest.mark.parametrize("name, lands", [
+    ("one_price", {"sku-export", "price-rows"}), ("disk_cost", {"sku-export", "price-rows"}),
+    ("burn_projection", {"sku-export", "price-rows", "price-cards", "disk-card", "vm-state"})])
+def test_queries_land_what_they_read(spark, monkeypatch, name, lands):
+    monkeypatch.setattr(landing, "_LANDED", {})
+    entry.queries()[name](spark, SF)
+    assert {table for *_, table in landing._LANDED} == lands
+
+
+def test_a_run_does_not_land_a_state_it_replaces(spark, monkeypatch):
+    monkeypatch.setattr(landing, "_LANDED", {})
+    run_inputs(spark, SF)
+    assert "listed-state" in {table for *_, table in landing._LANDED} and "vm-state" not in {table for *_, table in landing._LANDED}
