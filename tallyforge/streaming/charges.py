@@ -17,7 +17,7 @@ from tallyforge import constants as C
 from tallyforge.functions.keys import money
 from tallyforge.session import settle
 from tallyforge.sources.state import StateTable, load_state, save_state
-from tallyforge.streaming.sink import keep_state, start
+from tallyforge.streaming.sink import combined, keep_state, start
 
 HOURLY = T.StructType([
     T.StructField("project_id", T.StringType()),
@@ -52,14 +52,12 @@ def hour_parts(billing: DataFrame, min_charge: float = C.MIN_CHARGE) -> DataFram
         *_SKU, hour.alias("usage_hour"), F.col("cost").cast(_COST).alias("total_cost"),
         F.unix_micros("export_time").alias("first_export"), F.unix_micros("export_time").alias("last_export"))
 
-    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sums = pa.Table.from_batches([batch]).group_by(_KEYS).aggregate(
-                [("total_cost", "sum"), ("first_export", "min"), ("last_export", "max")])
-            yield from sums.select([*_KEYS, "total_cost_sum", "first_export_min", "last_export_max"]).rename_columns(
-                batch.schema.names).cast(batch.schema).to_batches()
+    def combine(part: pa.Table) -> pa.Table:
+        sums = part.group_by(_KEYS).aggregate([("total_cost", "sum"), ("first_export", "min"), ("last_export", "max")])
+        return sums.select([*_KEYS, "total_cost_sum", "first_export_min", "last_export_max"]).rename_columns(
+            part.schema.names).cast(part.schema)
 
-    return rows.mapInArrow(combine, rows.schema)
+    return rows.mapInArrow(lambda batches: combined(batches, combine), rows.schema)
 
 
 class OpenHours(StatefulProcessor):

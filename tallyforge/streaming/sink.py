@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
@@ -12,6 +13,26 @@ from tallyforge.sources.state import StateTable, save_state
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Combined rows that a task holds before it passes them on.
+HELD = 200_000
+
+
+def combined(batches: Iterator[pa.RecordBatch], combine: Callable[[pa.Table], pa.Table]) -> Iterator[pa.RecordBatch]:
+    """What ``combine`` leaves of a task's rows, over all its batches while few rows are left of them.
+
+    ``combine`` must give the same when parts are combined first. Where keys are many, held rows go on and others are begun.
+    """
+    held: list[pa.Table] = []
+    for batch in batches:
+        held.append(combine(pa.Table.from_batches([batch])))
+        if sum(t.num_rows for t in held) >= HELD:
+            held = [combine(pa.concat_tables(held))]
+            if held[0].num_rows >= HELD // 2:
+                yield from held.pop().to_batches()
+    if held:
+        yield from combine(pa.concat_tables(held)).to_batches()
+
+
 def start(changes: DataFrame, checkpoint: str, store: Callable[[DataFrame, int], None], once: bool = True) -> StreamingQuery:
     """Run ``store`` on every batch of a stateful stream; ``once`` processes what is there and stops.
 

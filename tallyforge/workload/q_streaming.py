@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallyforge.operators import inventory as I
 from tallyforge.plans import budget
-from tallyforge.session import scratch_path
+from tallyforge.session import scratch_path, write_folders
 from tallyforge.sources.exports import stream_billing_export
 from tallyforge.sources.state import read_run
 from tallyforge.streaming import alerts as SA
@@ -29,7 +29,7 @@ from tallyforge.workload.q_billing import _ACTION_SQL, _ALERT_SQL, LIMITS, messa
 from tallyforge.workload.registry import query
 
 SLICES = 5
-#: Files of a slice; more for larger tables.
+#: Files of a slice at least; as many as a scan of the table has tasks if those are more.
 FILES = 4
 _DAY = 86400
 
@@ -52,7 +52,7 @@ def landed_so_far(name: str, last: int, slices: int = SLICES, first: int = 0) ->
 
 
 class Landing:
-    """A given table landed in slices, each ``FILES`` files that the stream takes as one batch, with one restart.
+    """A given table landed in slices, each so many files that the stream takes as one batch, with one restart.
 
     The last slice comes after the restart, and with ``repeats`` a tenth of all
     rows once more.
@@ -62,12 +62,13 @@ class Landing:
         self.spark, self.name, self.repeats, self.slices = spark, name, repeats, slices
         self.table = A.FLAT[name][1][0]
         self.rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet")
+        self.files = max(FILES, self.rows.rdd.getNumPartitions())
         self.path = scratch_path(spark, f"{self.table}-landed")
         self.waiting = scratch_path(spark, f"{self.table}-slices")
-        self.rows.withColumn("_slice", F.expr(slice_of(A.Spark, self.table, slices)).cast("int")).write.partitionBy("_slice").parquet(self.waiting)
+        write_folders(self.rows.withColumn("_slice", F.expr(slice_of(A.Spark, self.table, slices)).cast("int")), self.waiting, ("_slice",))
 
     def stream(self) -> DataFrame:
-        source = self.spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", FILES).parquet(self.path)
+        source = self.spark.readStream.schema(self.rows.schema).option("maxFilesPerTrigger", self.files).parquet(self.path)
         return self.spark.sql(A.FLAT[self.name][0](A.Spark), **{self.table: source})
 
     def run(self, start) -> None:
@@ -76,10 +77,10 @@ class Landing:
             if k == self.slices - 1:
                 start().awaitTermination()
             new = self.spark.read.schema(self.rows.schema).parquet(f"{self.waiting}/_slice={k}")
-            new.repartition(FILES).write.mode("append").parquet(self.path)
+            new.repartition(self.files).write.mode("append").parquet(self.path)
         if self.repeats:
             again = self.rows.where(F.pmod(F.xxhash64(F.lit("again"), *self.rows.columns), F.lit(10)) == 0)
-            again.repartition(FILES).write.mode("append").parquet(self.path)
+            again.repartition(self.files).write.mode("append").parquet(self.path)
         start().awaitTermination()
 
 
@@ -217,7 +218,7 @@ def _dated_export(spark: SparkSession, sf_dir: str, start: Callable[[DataFrame],
     dates = sorted(r["export_date"] for r in export.select("export_date").distinct().collect())
     for k in range(SLICES):
         new = [d for i, d in enumerate(dates) if i * 3 % SLICES == k]
-        export.where(F.col("export_date").isin(new)).write.mode("append").partitionBy("export_date").parquet(path)
+        write_folders(export.where(F.col("export_date").isin(new)), path, ("export_date",), "append")
         start(stream_billing_export(spark, path)).awaitTermination()
 
 

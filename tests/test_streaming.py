@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from datetime import datetime, timedelta, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,9 +13,12 @@ from tallyforge import schemas
 from tallyforge.operators import billing as B
 from tallyforge.operators import inventory as I
 from tallyforge.sources.exports import stream_billing_export
+from tallyforge.session import session_conf
 from tallyforge.streaming import alerts as SA
 from tallyforge.streaming import charges as SC
 from tallyforge.streaming import inventory as SI
+from tallyforge.streaming import sink
+from tallyforge.workload import q_streaming
 from tallyforge.workload.adapters import encoded_alerts
 
 UTC = timezone.utc
@@ -197,3 +201,26 @@ def test_control_decides_after_each_batch(spark, messages, tmp_path):
     batch = B.cumulative_spend(B.interval_costs(spark.createDataFrame(messages, ALERT)))
     assert sorted(p.name for p in (tmp_path / "decided").iterdir()) == ["version=0", "version=1"]
     same(read_run(spark, decided, 1, batch.schema), batch)
+
+
+def test_task_combines_its_rows_over_all_batches(spark):
+    rows = [(("p", "P"), ("Compute",), ("S", "text"), 1.0, (1.0, "hour"), ("202012",), T0, T0, T0, T0.date()) for _ in range(500)]
+    with session_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "20"):
+        got = SC.hour_parts(spark.createDataFrame(rows, schemas.BILLING_EXPORT).coalesce(1)).collect()
+    assert [float(r["total_cost"]) for r in got] == [500.0]
+
+
+def test_combining_goes_on_when_few_rows_can_be_combined(monkeypatch):
+    monkeypatch.setattr(sink, "HELD", 10)
+    sums = lambda t: t.group_by("k").aggregate([("n", "sum")]).rename_columns(["k", "n"])
+    batches = [pa.record_batch({"k": [b * 4 + i for i in range(4)] + [0], "n": [1] * 5}) for b in range(30)]
+    out = list(sink.combined(iter(batches), sums))
+    total = sums(pa.Table.from_batches(out)).to_pydict()
+    assert len(out) > 1 and dict(zip(total["k"], total["n"])) == {0: 31, **{k: 1 for k in range(1, 120)}}
+
+
+def test_large_tables_land_in_more_files(spark, tmp_path):
+    spark.range(0, 100, 1, 7).selectExpr("id AS o_orderkey", "id AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet")
+    with session_conf(spark, "spark.sql.files.openCostInBytes", "134217728"):
+        landing = q_streaming.Landing(spark, str(tmp_path), "alerts_flat", repeats=False)
+        assert landing.files == 7
