@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from datetime import date
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,7 +18,7 @@ from tallyforge.operators import control as K
 from tallyforge.session import settle
 from tallyforge.sources.alerts import decode_budget_alerts
 from tallyforge.sources.state import StateTable, load_state, save_state
-from tallyforge.streaming.sink import keep_state, start
+from tallyforge.streaming.sink import combined, keep_state, start
 
 MESSAGES = T.StructType([
     T.StructField("event_time", T.TimestampType()),
@@ -68,8 +70,8 @@ class FiredWeeks(StatefulProcessor):
     row of a held or newer week fires; rows of older weeks come out marked late.
     """
 
-    def __init__(self, columns: list[str]):
-        self.columns = columns
+    def __init__(self, columns: list[str], order: list[str]):
+        self.columns, self.order = columns, order
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.weeks = handle.getListState("weeks", "monday int")
@@ -77,7 +79,7 @@ class FiredWeeks(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held = {w[0] for w in self.weeks.get()}
         before = set(held)
-        for r in sorted(rows, key=lambda r: r["_order"]):
+        for r in sorted(rows, key=lambda r: [(r[c] is not None, r[c]) for c in self.order]):
             monday = date.fromisocalendar(r["iso_year"], r["iso_week"], 1).toordinal()
             late = bool(held) and monday < max(held) - 7
             if late or monday not in held:
@@ -91,26 +93,28 @@ class FiredWeeks(StatefulProcessor):
         pass
 
 
-def _first_of_each_week(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_of_each_week(rows: DataFrame, order: list[str]) -> DataFrame:
     """The earliest row per week key of what a task reads, so that few rows of a busy project meet."""
-    for rows in batches:
-        yield rows.sort_values("_order").drop_duplicates(K.WEEK_KEY)
+    def firsts(part: pa.Table) -> pa.Table:
+        ordered = part.take(pc.sort_indices(part, sort_keys=[(c, "ascending") for c in order], null_placement="at_start"))
+        placed = ordered.select(K.WEEK_KEY).append_column("_place", pa.array(np.arange(ordered.num_rows)))
+        return ordered.take(placed.group_by(K.WEEK_KEY).aggregate([("_place", "min")])["_place_min"])
+
+    return rows.mapInArrow(lambda batches: combined(batches, firsts), rows.schema)
 
 
 def throttled_alerts(alerts: DataFrame) -> DataFrame:
     """The alerts that fire, as a stream, with ``late``: throttled kinds once per project and ISO week, the first to arrive.
 
-    Of a batch's alerts of one week the earliest counts as the first. The state is two weeks per project and
+    Of a batch's alerts of one week the earliest counts as the first, of equal times the least in the other columns. The state is two weeks per project and
     kind. Whether an alert of an older week (``late``) fires is for the sink to say, which has what fired then.
     """
     dated = K.with_iso_week(alerts)
     throttled = F.col("alert").isin(*K.THROTTLED)
-    rest = [c for c in alerts.columns if c not in ("project_id", "alert", "event_time")]
-    order = F.to_json(F.struct(F.date_format("event_time", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), *rest))
-    ordered = dated.where(throttled).withColumn("_order", order)
-    firsts = ordered.mapInPandas(_first_of_each_week, ordered.schema)
+    order = ["event_time", *[c for c in alerts.columns if c not in ("project_id", "alert", "event_time")]]
+    firsts = _first_of_each_week(dated.where(throttled), order)
     schema = T.StructType([*dated.schema.fields, T.StructField("late", T.BooleanType())])
-    once = firsts.groupBy("project_id", "alert").transformWithState(FiredWeeks(dated.columns), schema, "Update", "None")
+    once = firsts.groupBy("project_id", "alert").transformWithState(FiredWeeks(dated.columns, order), schema, "Update", "None")
     return once.unionByName(dated.where(~throttled).withColumn("late", F.lit(False)))
 
 

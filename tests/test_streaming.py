@@ -13,6 +13,7 @@ from tallyforge import schemas
 from tallyforge.operators import billing as B
 from tallyforge.operators import inventory as I
 from tallyforge.sources.exports import stream_billing_export
+from tallyforge.operators import control as K
 from tallyforge.session import session_conf
 from tallyforge.streaming import alerts as SA
 from tallyforge.streaming import charges as SC
@@ -203,6 +204,17 @@ def test_control_decides_after_each_batch(spark, messages, tmp_path):
     same(read_run(spark, decided, 1, batch.schema), batch)
 
 
+def test_first_of_equal_times_is_the_least_value(spark, tmp_path):
+    source, table = str(tmp_path / "in"), str(tmp_path / "fired")
+    columns = "project_id string, alert string, event_time timestamp, value double, message_id long"
+    rows = [("p", "2", T0, 10.0, 1), ("p", "2", T0, 9.0, 2), ("q", "2", T0, 100.0, 3), ("q", "2", T0, None, 4)]
+    spark.createDataFrame(rows, columns).coalesce(1).write.parquet(source)
+    alerts = spark.readStream.schema(columns).parquet(source)
+    SA.stream_weekly_throttle(alerts, table, str(tmp_path / "checkpoint")).awaitTermination()
+    fired = {(r["project_id"], r["message_id"]) for r in SA.fired_alerts(spark, table, alerts).collect()}
+    assert fired == {("p", 2), ("q", 4)} == {(r["project_id"], r["message_id"]) for r in K.weekly_throttle(spark.createDataFrame(rows, columns)).collect()}
+
+
 def test_task_combines_its_rows_over_all_batches(spark):
     rows = [(("p", "P"), ("Compute",), ("S", "text"), 1.0, (1.0, "hour"), ("202012",), T0, T0, T0, T0.date()) for _ in range(500)]
     with session_conf(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "20"):
