@@ -236,3 +236,20 @@ def test_large_tables_land_in_more_files(spark, tmp_path):
     with session_conf(spark, "spark.sql.files.openCostInBytes", "134217728"):
         landing = q_streaming.Landing(spark, str(tmp_path), "alerts_flat", repeats=False)
         assert landing.files == 7
+
+
+def test_uptime_state_is_one_row_per_group(spark, tmp_path):
+    """Machines of one group leave one by one, each as of its own last listing."""
+    source, table = str(tmp_path / "in"), str(tmp_path / "intervals")
+    columns = "project_id string, vm_id string, inventory_time timestamp, status string, started timestamp, last_stop timestamp"
+    day = lambda n: T0 + timedelta(days=n)
+    seen = lambda vm, n: ("p", f"vm{vm}", day(n), "RUNNING", day(vm % 2), None)
+    # vm0 to vm9 are listed last on day 1, vm10 to vm19 on day 6, vm20 to vm39 on days 12 and 14 as well
+    for rows in ([seen(i, 1) for i in range(40)], [seen(i, 6) for i in range(10, 40)], [seen(i, 12) for i in range(20, 40)],
+                 [seen(i, 14) for i in range(20, 40)]):
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(source)
+    query = SI.stream_vm_uptime(stream, table, str(tmp_path / "checkpoint"), "1 hour", timedelta(days=7), groups=2)
+    query.awaitTermination()
+    assert {r["vm_id"] for r in SI.current_intervals(spark, table).collect()} == {f"vm{i}" for i in range(20, 40)}
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) < 20
