@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tallyforge.session import scratch_path, write_folders
+from tallyforge.workload import adapters
 from tallyforge.workload import landing
 from tallyforge.workload.q_billing import run_inputs
 
@@ -46,3 +47,10 @@ def test_a_run_does_not_land_a_state_it_replaces(spark, monkeypatch):
     monkeypatch.setattr(landing, "_LANDED", {})
     run_inputs(spark, SF)
     assert "listed-state" in {table for *_, table in landing._LANDED} and "vm-state" not in {table for *_, table in landing._LANDED}
+
+
+@pytest.mark.parametrize("build", [adapters.sku_export, adapters.listed_disk_pages])
+def test_dear_rows_of_one_row_group_are_spread(spark, build):
+    rows = build(spark, SF)
+    cores = spark.sparkContext.defaultParallelism
+    assert cores > 1 and len([n for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect() if n]) == cores
